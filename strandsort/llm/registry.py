@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandsort.llm import quality_rules
+from strandsort.llm import jaccard_join, quality_rules
+
+
+#: Name, query and SQL (None where SQL can't express it; tests hold it against brute force).
+_ALL = (
+    ("op9_quality_rules", quality_rules.op9_quality_rules, quality_rules.OP9_SQL),
+    ("op5_jaccard_join", jaccard_join.op5_jaccard_join, jaccard_join.OP5_SQL),
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality_rules": quality_rules.op9_quality_rules}
+    return {name: query for name, query, _ in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_rules.OP9_SQL}
+    return {name: sql for name, _, sql in _ALL if sql is not None}
