@@ -107,12 +107,12 @@ class Measured:
         return self.rejects / max(self.cost, 1e-9)
 
 
-def order_rules(statistics: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7) -> list[Measured]:
-    """Cost (seconds) and rejected share of each rule on a sample of about ``sample_rows`` rows, best first."""
-    total = statistics.select(F.count(F.lit(1))).first()[0]
+def order_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7) -> list[Measured]:
+    """Cost (seconds) and rejected share of each rule on a sample of about ``sample_rows`` documents, best first."""
+    total = documents.select(F.count(F.lit(1))).first()[0]
     if not total:
         return [Measured(r, 0.0, 0.0) for r in rules]
-    sample = statistics.sample(fraction=min(1.0, sample_rows / total), seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+    sample = with_statistics(documents.sample(fraction=min(1.0, sample_rows / total), seed=seed)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = max(1, sample.count())
 
@@ -142,9 +142,9 @@ def cascade(ordered: list[Measured]) -> Column:
 
 def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
     """doc_id, text, the statistics, base_failed, failed_rule (in the order found) and kept."""
-    statistics = with_statistics(pick(documents, doc_id=id_col, text=text_col))
-    ordered = order_rules(statistics, rules, sample_rows)
-    judged = statistics.withColumn("failed_rule", cascade(ordered))
+    docs = pick(documents, doc_id=id_col, text=text_col)
+    ordered = order_rules(docs, rules, sample_rows)
+    judged = with_statistics(docs).withColumn("failed_rule", cascade(ordered))
     return judged.withColumn("kept", F.col("failed_rule").isNull()).drop("_words")
 
 
