@@ -86,12 +86,13 @@ class Walks:
 
 def edit_distances(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Exact word edit distances of the rows of a (size words each, then PAD) and of b (all of its columns), a table row at a time."""
-    n, span = b.shape[1], np.arange(b.shape[1] + 1)
+    kind = np.int16 if a.shape[1] + b.shape[1] < 30_000 else np.int64
+    n, span = b.shape[1], np.arange(b.shape[1] + 1, dtype=kind)
     line = np.repeat(span[None, :], len(a), axis=0)
     out = np.where(size == 0, n, 0)
     for i in range(a.shape[1]):
         best = np.minimum(line[:, 1:] + 1, line[:, :-1] + (b != a[:, i : i + 1]))
-        line = np.minimum.accumulate(np.concatenate([np.full((len(a), 1), i + 1), best], axis=1) - span, axis=1) + span
+        line = np.minimum.accumulate(np.concatenate([np.full((len(a), 1), i + 1, kind), best], axis=1) - span, axis=1) + span
         out[size == i + 1] = line[size == i + 1, n]
     return out
 
@@ -237,13 +238,23 @@ def compare(seq: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarra
         times = (z - a)[r, w]
         owner = items.owner[np.repeat(a[r, w], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
         tried = np.unique(np.stack([np.repeat(w, times) + lo, owner]), axis=1)
-        for k in range(0, tried.shape[1], 4096):
-            w, i = tried[:, k : k + 4096]
-            edits = edit_distances(seq[w], items.seq[i], size[w])
-            for t in np.flatnonzero(edits <= search.reach(items.n)):
-                to, new = (int(doc[w[t]]), int(items.ids[i[t]])), (int(edits[t]), int(start[w[t]]), int(end[w[t]]))
-                if to not in best or new < best[to]:
-                    best[to] = new
+        w, i = tried
+        equal = (seq[w] == items.seq[i]).all(axis=1)
+        note(best, doc, start, end, items, w[equal], i[equal], np.zeros(int(equal.sum()), int))
+        exact = np.array([best.get((int(doc[x]), int(items.ids[y])), (1,))[0] == 0 for x, y in zip(w, i, strict=True)], bool)
+        w, i = w[~exact], i[~exact]  # nothing is nearer than a copy
+        for k in range(0, len(w), 4096):
+            x, y = w[k : k + 4096], i[k : k + 4096]
+            edits = edit_distances(seq[x], items.seq[y], size[x])
+            near = edits <= search.reach(items.n)
+            note(best, doc, start, end, items, x[near], y[near], edits[near])
+
+
+def note(best: dict, doc: np.ndarray, start: np.ndarray, end: np.ndarray, items: Items, w: np.ndarray, i: np.ndarray, edits: np.ndarray) -> None:
+    for x, y, n in zip(w.tolist(), i.tolist(), edits.tolist(), strict=True):
+        to, new = (int(doc[x]), int(items.ids[y])), (n, int(start[x]), int(end[x]))
+        if to not in best or new < best[to]:
+            best[to] = new
 
 
 def blocks(benchmark: DataFrame, search: Search) -> Iterator[tuple[list[int], list[str]]]:
