@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandsort.llm import decontamination, jaccard_join, quality_rules
+from strandsort.llm import decontamination, jaccard_join, pii, quality_rules
 
 
 #: Name, query and SQL (None where SQL can't express it; tests hold it against brute force).
@@ -14,6 +14,7 @@ _ALL = (
     ("op9_quality_rules", quality_rules.op9_quality_rules, quality_rules.OP9_SQL),
     ("op5_jaccard_join", jaccard_join.op5_jaccard_join, jaccard_join.OP5_SQL),
     ("op10_decontamination", decontamination.op10_decontamination, None),
+    ("op7_pii", pii.op7_pii, None),
 )
 
 
