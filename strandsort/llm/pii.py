@@ -107,7 +107,8 @@ def with_base(documents: DataFrame) -> DataFrame:
     }
     df = df.withColumns({f"_{k}": F.filter(f"_{k}", keep) for k, keep in keeps.items()})
     plain = {"email": lambda v: F.lower(F.translate(v, MARK, ".")), "ip": lambda v: v, "card": digits, "phone": lambda v: F.concat(F.lit("+"), digits(v))}
-    df = df.withColumns({f"_{k}": F.transform(f"_{k}", lambda s, f=f: s.withField("value", f(s["value"]))) for k, f in plain.items()})
+    normal = lambda f: lambda s: s.withField("value", f(s["value"]))
+    df = df.withColumns({f"_{k}": F.transform(f"_{k}", normal(f)) for k, f in plain.items()})
     return df.drop("_t", *[f"_has_{k}" for k in KINDS], *[f"_s_{k}" for k in KINDS])
 
 
