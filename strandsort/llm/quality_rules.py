@@ -148,6 +148,15 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return judged.withColumn("kept", F.col("failed_rule").isNull()).drop("_words")
 
 
+def keep_good(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
+    """The documents that pass, with their own columns. Cascade and statistics are computed where a row is read."""
+    columns = documents.columns
+    source = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_source")
+    ordered = order_rules(documents.select(F.col("text")), rules, sample_rows)
+    judged = with_statistics(documents.select(source, F.col("text"))).withColumn("_failed", cascade(ordered))
+    return judged.filter("_failed IS NULL").select(*[F.col(f"_source.`{c}`").alias(c) for c in columns])
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
