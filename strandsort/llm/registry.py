@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandsort.llm import decontamination, jaccard_join, packing, pii, quality_rules
+from strandsort.llm import decontamination, jaccard_join, packing, pii, quality_rules, sharding
 
 
 #: Name, query and SQL (None where SQL can't express it; tests hold it against brute force).
@@ -16,6 +16,7 @@ _ALL = (
     ("op10_decontamination", decontamination.op10_decontamination, None),
     ("op7_pii", pii.op7_pii, None),
     ("op6_packing", packing.op6_packing, None),
+    ("op2_sharding", sharding.op2_sharding, None),
 )
 
 
