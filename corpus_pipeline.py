@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandsort.llm import decontamination, jaccard_join, packing, pii, quality_rules
-from strandsort.llm.common import cut, table
+from strandsort.llm.common import table, written_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +48,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = written_table(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
