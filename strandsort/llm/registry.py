@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandsort.llm import decontamination, jaccard_join, packing, pii, quality_rules, sharding
+from strandsort.llm import decontamination, jaccard_join, packing, pii, quality_rules, sharding, token_counts
 
 
 #: Name, query and SQL (None where SQL can't express it; tests hold it against brute force).
@@ -17,6 +17,7 @@ _ALL = (
     ("op7_pii", pii.op7_pii, None),
     ("op6_packing", packing.op6_packing, None),
     ("op2_sharding", sharding.op2_sharding, None),
+    ("op4_token_counts", token_counts.op4_token_counts, None),
 )
 
 
