@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strandsort.llm import words as W
 from strandsort.llm.common import cut, pick, table
-from strandsort.llm.token_ids import TokenIds
+from strandsort.llm.token_ids import token_ids
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -44,7 +44,7 @@ def tokenised(documents: DataFrame, plan: Plan) -> DataFrame:
     end, size = np.array([plan.end_id], "<u4").tobytes(), 4 * plan.window
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenIds(plan.tokenizer)
+        tokens = token_ids(plan.tokenizer)
         for batch in batches:
             rows: list[tuple] = []
             for first, texts in W.pieces(batch.column("text")):

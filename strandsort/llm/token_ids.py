@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from itertools import filterfalse
+from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 
@@ -36,7 +38,7 @@ class TokenIds:
     Chunks that are not kept are put one after another and encoded in one call; the lengths of the tokens tell whose they are.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,8 +54,6 @@ class TokenIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, new: set[str]) -> None:
-        if len(self.young) > self.keep:
-            self.old, self.young = self.young, {}
         ahead, rest = [], []
         for c in new:
             known = self.old.get(c)
@@ -74,14 +74,23 @@ class TokenIds:
                 begin = end
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > self.keep:
+            self.old, self.young = self.young, {}
         lists = [None if any(s in t for s in self.special) else chunks(t) for t in texts]
+        found = [None if x is None else list(map(self.young.get, x)) for x in lists]
         new: set[str] = set()
-        for x in lists:
+        for x, ids in zip(lists, found, strict=True):
             if x:
-                new.update(filterfalse(self.young.__contains__, x))
-        flipped = len(self.young) > self.keep
-        if flipped:  # all chunks of these texts must be in the younger generation
-            new = set().union(*[x for x in lists if x])
+                new.update(compress(x, map(not_, ids)))
         self.learn(new)
-        get = self.young.__getitem__
-        return [self.whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, lists, strict=True)]
+        for x, ids in zip(lists, found, strict=True):
+            if x:
+                for i in list(compress(range(len(x)), map(not_, ids))):
+                    ids[i] = self.young[x[i]]
+        return [self.whole(t) if ids is None else b"".join(ids) for t, ids in zip(texts, found, strict=True)]
+
+
+@lru_cache(1)
+def token_ids(path: str) -> TokenIds:
+    """Kept, with the chunks it knows, for the next task in this Python worker."""
+    return TokenIds(path)
