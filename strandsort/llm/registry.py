@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandsort.llm import decontamination, jaccard_join, language_id, packing, pii, quality_rules, sharding, token_counts
+from strandsort.llm import decontamination, jaccard_join, language_id, packing, pii, quality_rules, sharding, token_counts, url_rules
 
 
 #: Name, query and SQL (None where SQL can't express it; tests hold it against brute force).
@@ -19,6 +19,7 @@ _ALL = (
     ("op2_sharding", sharding.op2_sharding, None),
     ("op4_token_counts", token_counts.op4_token_counts, None),
     ("op8_language_id", language_id.op8_language_id, None),
+    ("op1_url_rules", url_rules.op1_url_rules, None),
 )
 
 
