@@ -154,7 +154,9 @@ def keep_good(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
     source = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_source")
     ordered = order_rules(documents.select(F.col("text")), rules, sample_rows)
     judged = with_statistics(documents.select(source, F.col("text"))).withColumn("_failed", cascade(ordered))
-    return judged.filter("_failed IS NULL").select(*[F.col(f"_source.`{c}`").alias(c) for c in columns])
+    # a filter would be pushed below the statistics, each use of which would then compute them again; not past this id
+    judged = judged.withColumn("_row", F.monotonically_increasing_id())
+    return judged.filter("_failed IS NULL AND _row >= 0").select(*[F.col(f"_source.`{c}`").alias(c) for c in columns])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
