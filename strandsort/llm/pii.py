@@ -177,12 +177,13 @@ def sanitise(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """_source (the input row), doc_id, sanitised, n_<kind>, base_spans and spans (arrays of kind, start, end, value), a row per document."""
     c = F.col
     docs = documents.select(F.struct(*[c(f"`{x}`") for x in documents.columns]).alias("_source"), c(f"`{id_col}`").alias("_id"), c(f"`{text_col}`").alias("_text"))
-    some = " OR ".join(f"size(_{k}) > 0" for k in KINDS)
-    judged = with_base(docs)
-    based = cut(judged.filter(some).withColumn("_row", F.monotonically_increasing_id()))
+    # the filters would be pushed below the patterns, which would then be searched once more; not past this id
+    judged = with_base(docs).withColumn("_row", F.monotonically_increasing_id())
+    some = "_row >= 0 AND (" + " OR ".join(f"size(_{k}) > 0" for k in KINDS) + ")"
+    based = cut(judged.filter(some))
     terms = cut(disclosing(docs, based, policy))
     none = F.array().cast(NO_SPANS)
-    rest = judged.filter(f"NOT ({some})").withColumns({"_term": none, "_removed": none})
+    rest = judged.filter(f"NOT ({some})").drop("_row").withColumns({"_term": none, "_removed": none})
     df = term_spans(based, terms, policy).unionByName(rest)
     base = F.concat(*[f"_{k}" for k in KINDS])
     return df.select(
