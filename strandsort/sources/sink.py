@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+import csv
+import itertools
+import math
+import os
+import shutil
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from strandsort.read_structure import FILE_LETTER, ReadStructure, outputs
 from strandsort.samples import Sample
+from strandsort.sources import bgzf
 
 
 def output_name(sample: Sample, kind: str, number: int) -> str:
@@ -14,3 +27,67 @@ def output_name(sample: Sample, kind: str, number: int) -> str:
 def output_names(samples: list[Sample], structures: list[ReadStructure], kinds: list[str]) -> dict[tuple[int, int], str]:
     """File name, under the output folder, of each (sample, output)."""
     return {(s.ordinal, k): output_name(s, kind, n) for s in samples for k, (_, kind, n) in enumerate(outputs(structures, kinds))}
+
+
+def write_outputs(records: DataFrame, names: dict[tuple[int, int], str], folder: str, rows_per_part: int = 2_000_000) -> dict[str, int]:
+    """Write records (sample_ordinal, output, file_idx, rec_idx, head, seq, qual) to one file for each name; counts by name.
+
+    Rows are dealt by output and range of records, so that a sample with most of the reads is written by many tasks.
+    Each task writes its range as a fragment of compressed blocks, first under a name of its own attempt, then renamed;
+    a task that runs again writes the same bytes. Fragments are put together in the order of records: block gzip files
+    can be concatenated. Names without records get an empty file. The folder is one that all executors share.
+    """
+    scratch = os.path.join(folder, f".parts-{uuid.uuid4().hex}")
+    os.makedirs(scratch)
+    order = ["sample_ordinal", "output", "file_idx", "_part"]
+    dealt = records.withColumn("_part", F.floor(F.col("rec_idx") / rows_per_part)).repartition(*order).sortWithinPartitions(*order, "rec_idx")
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (dict(zip(b.column_names, r, strict=True)) for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        for key, group in itertools.groupby(rows, key=lambda r: tuple(r[k] for k in order)):
+            path = os.path.join(scratch, "{:06d}-{:03d}-{:06d}-{:08d}".format(*key))
+            attempt, n = f"{path}.{uuid.uuid4().hex}", 0
+
+            def lines(group=group) -> Iterator[bytes]:
+                nonlocal n
+                for r in group:
+                    n += 1
+                    yield f"@{r['head']}\n{r['seq']}\n+\n{r['qual']}\n".encode()
+
+            with open(attempt, "wb") as out:
+                for block in bgzf.compress(lines()):
+                    out.write(block)
+            os.replace(attempt, path)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([path], pa.string()), pa.array([n], pa.int64())], names=["sample_ordinal", "output", "path", "n"])
+
+    parts = dealt.select(*order, "head", "seq", "qual").mapInArrow(written, "sample_ordinal int, output int, path string, n long").collect()
+    by: dict[tuple[int, int], list[tuple[str, int]]] = {}
+    for p in parts:  # a row for each fragment, a few a file
+        by.setdefault((p["sample_ordinal"], p["output"]), []).append((p["path"], p["n"]))
+    counts = {}
+    for key, name in names.items():
+        target = os.path.join(folder, name)
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        with open(target, "wb") as out:
+            for path, _ in sorted(by.get(key, [])):
+                with open(path, "rb") as part:
+                    shutil.copyfileobj(part, out, 1 << 20)
+            out.write(bgzf.EOF)
+        counts[name] = sum(n for _, n in by.get(key, []))
+    shutil.rmtree(scratch)
+    return counts
+
+
+def text_of(value) -> str:
+    if isinstance(value, float):
+        return "NaN" if math.isnan(value) else "inf" if math.isinf(value) else repr(value)
+    return "" if value is None else str(value)
+
+
+def write_tsv(rows: DataFrame, columns: list[str], path: str) -> None:
+    """A report as one file. Reports have a row for each sample, project or barcode that is asked for."""
+    with open(path, "w", newline="") as out:
+        w = csv.writer(out, delimiter="\t", lineterminator="\n")
+        w.writerow(columns)
+        for r in rows.toLocalIterator():
+            w.writerow([text_of(r[c]) for c in columns])
