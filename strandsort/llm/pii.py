@@ -119,16 +119,17 @@ def written(spans: Column) -> Column:
 def disclosing(documents: DataFrame, based: DataFrame, policy: Policy) -> DataFrame:
     """(value, term, disclosure): terms at or above the lower threshold, from counts over all documents."""
     c = F.col
-    side = 64 * policy.window
+    side, near_by = 64 * policy.window, 8 * policy.window
     letters = lambda t: F.filter(F.split(t, r"[^\p{L}]+"), lambda w: F.length(w) > 0)
     entities = based.select("_row", "_text", F.explode(F.concat(*[f"_{k}" for k in KINDS])).alias("e")).select(
         "_row",
         c("e.value").alias("value"),
+        # what makes two windows the same one: the text close by, as it stands
+        F.xxhash64(F.substring("_text", F.greatest(c("e.start") - near_by, F.lit(0)) + 1, F.least(c("e.start"), F.lit(near_by))), F.substring("_text", c("e.end") + 1, F.lit(near_by))).alias("_context"),
         F.slice(F.reverse(letters(F.substring("_text", F.greatest(c("e.start") - side, F.lit(0)) + 1, F.least(c("e.start"), F.lit(side))))), 1, policy.window).alias("_l"),
         F.slice(letters(F.substring("_text", c("e.end") + 1, F.lit(side))), 1, policy.window).alias("_r"),
     )
-    near = entities.select("_row", "value", F.array_distinct(F.transform(F.filter(F.concat("_l", "_r"), lambda w: F.length(w) > 2), F.lower)).alias("terms"))
-    near = near.withColumn("_context", F.xxhash64(F.array_join("terms", " ")))
+    near = entities.select("_row", "value", "_context", F.array_distinct(F.transform(F.filter(F.concat("_l", "_r"), lambda w: F.length(w) > 2), F.lower)).alias("terms"))
     n_entity = near.groupBy("value").agg(F.count_distinct("_row").alias("n_e"))
     pairs = near.select("_row", "value", "_context", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("value", "term").agg(F.count_distinct("_row").alias("n_te"), F.count_distinct("_context").alias("support")).filter(c("support") >= policy.support)
