@@ -11,6 +11,8 @@ import numpy as np
 
 #: The white space of the tokenizer's own splitting pattern (Unicode White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
+#: The same characters one by one.
+_BLANKS = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_WS}]", c))
 #: No token spans two of these chunks: the tokenizer's pattern starts anew at each. A run of white space gives its last
 #: blank to the word behind it if that is a plain space.
 CHUNK = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -61,7 +63,7 @@ class TokenIds:
                 self.young[c] = known
             else:
                 # after a blank another chunk may begin; what has none in front is encoded alone
-                (rest if c[0] in _WS and len(c) > 1 and c[-1] not in _WS else ahead).append(c)
+                (rest if c[0] in _BLANKS and c[-1] not in _BLANKS else ahead).append(c)
         for c in ahead:
             self.young[c] = self.whole(c)
         if rest:
