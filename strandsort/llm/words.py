@@ -34,13 +34,13 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     known = _powers.get(base)
     if known is None or len(known) < n:
-        known = np.full(max(1 << 20, 1 << n.bit_length()), base, np.uint64)
+        known = np.full(max(1 << 19, 1 << n.bit_length()), base, np.uint64)
         known[0] = 1
         known = _powers[base] = np.multiply.accumulate(known)
     return known[:n]
 
 
-def pieces(texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, pa.Array]]:
+def pieces(texts: pa.Array, most_bytes: int = 500_000) -> Iterator[tuple[int, pa.Array]]:
     """Slices of about ``most_bytes``, with the index of their first row. A longer text is a slice of its own."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)) if len(texts) else np.zeros(0, np.int64)
     at = 0
