@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as Java, Python and DuckDB patterns write it.
@@ -50,3 +50,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the names given; other columns, whatever their names, are left behind."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+
+
+def text_key(text: Column | str) -> Column:
+    """A 64-bit digest of a text as it stands: with the id, what a row is known by where ids may be null or repeated."""
+    return F.xxhash64(text)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandsort.llm import words as W
-from strandsort.llm.common import cut, pick, table
+from strandsort.llm.common import cut, pick, table, text_key
 
 PAD = np.uint64(0x5BD1E9955BD1E995)
 
@@ -190,8 +190,11 @@ def windows_within_reach(first: np.ndarray, doc: np.ndarray, own: np.ndarray, n:
     return starts[(starts + n <= end) | ((starts == begin) & (end - begin < n))]
 
 
+FOUND = ("doc_id", "key", "item_id", "start", "end", "edits")
+
+
 def matches(documents: DataFrame, compiled: list[Items], search: Search) -> DataFrame:
-    """(doc_id, item_id, start, end, edits): character span, in the lower-cased text, of the best window of each document and item."""
+    """(doc_id, key, item_id, start, end, edits): character span, in the lower-cased text, of the best window of each document and item."""
     pairs = Pairs(compiled)
     short = any(i.n - 1 - 2 * search.reach(i.n) < 1 for i in compiled)
 
@@ -224,10 +227,10 @@ def matches(documents: DataFrame, compiled: list[Items], search: Search) -> Data
             rows = []
             for (d, item), (edits, a, z) in best.items():
                 text = lowered[d].as_py().encode()
-                rows.append((batch.column("doc_id")[d].as_py(), item, len(text[:a].decode()), len(text[:z].decode()), edits))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "start", "end", "edits"])
+                rows.append((batch.column("doc_id")[d].as_py(), batch.column("key")[d].as_py(), item, len(text[:a].decode()), len(text[:z].decode()), edits))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(FOUND))], names=list(FOUND))
 
-    return documents.mapInArrow(found, "doc_id long, item_id long, start long, end long, edits long")
+    return documents.mapInArrow(found, ", ".join(f"{x} long" for x in FOUND))
 
 
 def compare(seq: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, items: Items, search: Search, best: dict) -> None:
@@ -270,25 +273,31 @@ def blocks(benchmark: DataFrame, search: Search) -> Iterator[tuple[list[int], li
             yield [r["item_id"] for r in rows], [r["text"] for r in rows]
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
-    """(doc_id, item_id, start, end, edits), one row for each document and each item that it contains."""
-    docs = pick(documents, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
+def keyed_matches(documents: DataFrame, benchmark: DataFrame, search: Search) -> DataFrame:
+    """contaminated() with each document's text_key()."""
+    docs = pick(documents, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("key", text_key("text"))
     out = None
     for ids, texts in blocks(benchmark, search):
         if compiled := compile_items(ids, texts, search):
             part = matches(docs, compiled, search)
             out = part if out is None else out.union(part)
     if out is None:
-        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, start long, end long, edits long")
+        return documents.sparkSession.createDataFrame([], ", ".join(f"{x} long" for x in FOUND))
     return out
 
 
+def contaminated(documents: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
+    """(doc_id, item_id, start, end, edits), one row for each document and each item that it contains."""
+    return keyed_matches(documents, benchmark, search).drop("key")
+
+
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, search: Search = Search(), broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The documents that contain no item; rows without an id or text stay."""
-    found = cut(contaminated(documents, benchmark, search).select(F.col("doc_id").alias("_id")).distinct())
+    """The documents that contain no item. Rows are told apart by id and text together: null and repeated ids are ids like any others."""
+    found = cut(keyed_matches(documents, benchmark, search).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
-    return documents.join(found, documents.doc_id == found["_id"], "left_anti")
+    same = documents.doc_id.cast("long").eqNullSafe(found["_id"]) & (text_key(documents.text) == found["_key"])
+    return documents.join(found, same, "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ and the least text it is connected with), so that no pairs are written and no gr
 Edge cases: words are maximal runs of characters other than ASCII white space, lower-cased. A text of one to four words
 has one shingle, all of its words. A null text or one without words has no links and is its own class. Repeated rows and
 equal texts are copies: each counts as a link of the other. A null id stays null and its row is kept; a class whose ids
-are all null has a null class id. Rows are keyed by the words' 64-bit digest, so that repeated ids do no harm. Only the
-id and text columns are read.
+are all null has a null class id. Rows are keyed by the words' 64-bit digest, so that repeated ids do no harm; what stays
+of a class is found by its id together with a 64-bit digest of its text. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandsort.llm import words as W
-from strandsort.llm.common import cut, pick, table
+from strandsort.llm.common import cut, pick, table, text_key
 from strandsort.llm.graph import components
 
 
@@ -44,7 +44,7 @@ class Forest:
     #: Texts in a block; a task holds two blocks.
     block: int = 256
     seed: int = 11
-    #: Up to so many ids are broadcast (16 bytes each); more are joined by a shuffle.
+    #: Up to so many ids are broadcast (24 bytes each); more are joined by a shuffle.
     broadcast_rows: int = 1_000_000
 
     def meets(self, similarity: np.ndarray, k: int) -> np.ndarray:
@@ -52,7 +52,7 @@ class Forest:
         return 1 - (1 - similarity**k) ** self.trees
 
 
-SIGNED = "doc_id long, node long, n long, sig binary"
+SIGNED = "doc_id long, key long, node long, n long, sig binary"
 
 
 def signatures(documents: DataFrame, forest: Forest) -> DataFrame:
@@ -76,11 +76,12 @@ def signatures(documents: DataFrame, forest: Forest) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(at, len(texts)),
+                        batch.column("key").slice(at, len(texts)),
                         pa.array(W.sequence_digest(h, first).view(np.int64)),
                         pa.array(np.diff(off), pa.int64()),
                         pa.array([r.tobytes() for r in sig], pa.binary()),
                     ],
-                    names=["doc_id", "node", "n", "sig"],
+                    names=["doc_id", "key", "node", "n", "sig"],
                 )
 
     return documents.mapInArrow(signed, SIGNED)
@@ -221,9 +222,9 @@ def shared(sets: list[np.ndarray], slab: int = 4096) -> np.ndarray:
     return both.astype(float)
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: Forest = Forest()) -> DataFrame:
-    """One row per document: doc_id, class_id (the least id it is connected with) and n_links (documents at the threshold or above)."""
-    docs = pick(documents, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+def classes(documents: DataFrame, id_col: str, text_col: str, forest: Forest) -> DataFrame:
+    """near_duplicates() with each row's text_key() and its class as a component; the component is null for texts without words."""
+    docs = pick(documents, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("key", text_key("text"))
     signed = cut(signatures(docs, forest))
     nodes = cut(signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"), F.first("sig").alias("sig")))
     pairs = cut(verified(docs, nodes, clusters(nodes, forest), forest))
@@ -232,21 +233,33 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     known = nodes.drop("sig").join(links, "node", "left").join(joined, "node", "left")
     known = known.withColumn("component", F.coalesce("component", "node"))
     heads = known.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    known = cut(known.join(heads, "component").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links")))
-    full, empty = signed.filter("n > 0").select("doc_id", "node"), signed.filter("n = 0")
-    return full.join(known, "node").select("doc_id", "class_id", "n_links").union(empty.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    known = cut(known.join(heads, "component").select("node", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links")))
+    full, empty = signed.filter("n > 0").select("doc_id", "key", "node"), signed.filter("n = 0")
+    alone = empty.select("doc_id", "key", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return full.join(known, "node").select("doc_id", "key", "component", "class_id", "n_links").union(alone)
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: Forest = Forest()) -> DataFrame:
+    """One row per document: doc_id, class_id (the least id it is connected with) and n_links (documents at the threshold or above)."""
+    return classes(documents, id_col, text_col, forest).select("doc_id", "class_id", "n_links")
 
 
 def keep_one(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """The documents without all but the first of each class; of repeated rows with the id that stays, one stays."""
-    found = near_duplicates(documents, forest=forest)
-    first = cut(found.filter("doc_id <=> class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times")))
+    """One row of each class, one with the class id; every row without words stays, as it is its own class.
+
+    Rows are told apart by id and text together, so that null and repeated ids are ids like any others.
+    """
+    found = classes(documents, "doc_id", "text", forest).filter("doc_id <=> class_id")
+    times = found.filter("component IS NOT NULL").groupBy("component", "doc_id", "key").agg(F.count(F.lit(1)).alias("_times"))
+    heads = times.groupBy("component", "doc_id").agg(F.min(F.struct("key", "_times")).alias("head")).select("doc_id", "head.key", "head._times")
+    alone = found.filter("component IS NULL").select("doc_id", "key").distinct().withColumn("_times", F.lit(1).cast("long"))
+    first = cut(heads.union(alone)).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     if first.count() <= forest.broadcast_rows:
         first = F.broadcast(first)
-    first = first.withColumnRenamed("doc_id", "_id")
-    kept = documents.join(first, documents.doc_id.eqNullSafe(first["_id"])).drop("_id")
-    once = kept.filter("_times = 1").drop("_times")
-    return once.union(kept.filter("_times > 1").drop("_times").dropDuplicates(["doc_id"]))
+    same = documents.doc_id.cast("long").eqNullSafe(first["_id"]) & (text_key(documents.text) == first["_key"])
+    kept = documents.join(first, same)
+    once = kept.filter("_times = 1").drop("_id", "_key", "_times")
+    return once.union(kept.filter("_times > 1").dropDuplicates(["_id", "_key"]).drop("_id", "_key", "_times"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,23 @@ def test_jaccard_join(corpus, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_null_and_repeated_ids_keep_their_rows(spark):
+    """Rows are known by id and text: what shares an id, or has none, is neither dropped for another's sake nor spared."""
+    rng = random.Random(12)
+    a, b, c, d, item = (words(rng, 60, 4000) for _ in range(5))
+    held = f"{words(rng, 30, 4000)} {item} {words(rng, 30, 4000)}"
+    rows = [(None, a), (None, b), (None, b), (None, b + " tail"), (7, c), (7, d), (3, d), (7, held), (None, held + " x"), (None, None), (None, ""), (8, ""), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for forest in (jaccard_join.Forest(), jaccard_join.Forest(broadcast_rows=0)):
+        kept = sorted([tuple(r) for r in jaccard_join.keep_one(df, forest).collect()], key=str)
+        assert [r for r in kept if r[1] in (b, b + " tail")] in ([(None, b)], [(None, b + " tail")])
+        assert [r for r in kept if r[1] not in (b, b + " tail")] == sorted([(None, a), (7, c), (3, d), (7, held), (None, None), (None, ""), (8, ""), (8, "")], key=str)
+    for most in (1_000_000, 0):
+        clean = decontamination.drop_contaminated(df, bench, broadcast_rows=most)
+        assert sorted(map(str, clean.collect())) == sorted(str(r) for r in df.collect() if item not in (r.text or ""))
+
+
 def test_decontamination(spark, corpus, empty):
     rng = random.Random(5)
     items = [(i, words(rng, n)) for i, n in enumerate((12, 20, 20, 35))] + [(9, None), (10, "")]
