@@ -10,8 +10,11 @@ repetition draws a walk and a few of its first 3n / 2 steps (on average it reads
 Repetitions are added until items that were edited at random up to the allowed distance are met with the target recall.
 Candidates are verified by the exact edit distance.
 
-Only windows that can be near an item are embedded: d edits of a sequence destroy at most 2d of its n - 1 word pairs, so
-that a window within reach has at least n - 1 - 2d pairs that occur in some item of its length. This loses no window.
+Only windows that can be near an item are looked at: d edits of a sequence destroy at most 2d of its n - 1 word pairs, so
+that a window within reach has at least n - 1 - 2d pairs of that item. This loses no window. The walks miss windows of
+which one end is missing, as the pointers part at once; so what they have not met is verified too: every window and item
+that pass this filter, in the order of the least distance that their common pairs allow, until no window left can be
+nearer than the best one found. The walks find most matches cheaply; the result does not depend on their recall.
 
 The benchmark is bounded by ``block_words``: it is collected to the driver in blocks of that many words at most, and the
 documents are scanned once for each block. Nothing else leaves the executors but matches.
@@ -153,14 +156,20 @@ def compile_items(ids: list[int], texts: list[str], search: Search) -> list[Item
 
 
 class Pairs:
-    """Word pairs of all items and, for each, the lengths of the items that have it. A bit table spares most look-ups."""
+    """Word pairs of all items and, for each length, the items that have it. A bit table spares most look-ups."""
 
     def __init__(self, compiled: list[Items], size: int = 1 << 22):
-        have = [(c, pair_hash(s)) for c, i in enumerate(compiled) for s in i.seq if i.n > 1]
-        self.values = np.unique(np.concatenate([v for _, v in have] or [np.zeros(1, np.uint64)]))
+        have = [[pair_hash(s) for s in i.seq] if i.n > 1 else [] for i in compiled]
+        self.values = np.unique(np.concatenate([v for h in have for v in h] or [np.zeros(1, np.uint64)]))
+        self.which, self.item = [], []
         self.of = np.zeros((len(compiled), len(self.values)), bool)
-        for c, v in have:
-            self.of[c, np.searchsorted(self.values, v)] = True
+        for c, h in enumerate(have):
+            which = np.searchsorted(self.values, np.concatenate(h or [np.zeros(0, np.uint64)]))
+            item = np.repeat(np.arange(len(h)), [len(v) for v in h])
+            which, item = np.unique(np.stack([which, item]), axis=1)
+            self.of[c, which] = True
+            self.which.append(which)
+            self.item.append(item)
         self.mask, self.bits = np.uint64(size - 1), np.zeros(size, bool)
         self.bits[(self.values & self.mask).astype(np.int64)] = True
 
@@ -171,23 +180,39 @@ class Pairs:
         known = self.values[which] == h[at]
         return at[known], which[known]
 
+    def of_items(self, c: int, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) of all pairs that items of length number c have, sorted."""
+        at, which = at[self.of[c, which]], which[self.of[c, which]]
+        a, z = np.searchsorted(self.which[c], which, "left"), np.searchsorted(self.which[c], which, "right")
+        item, place = self.item[c][spread(a, z)], np.repeat(at, z - a)
+        order = np.lexsort((place, item))
+        return item[order], place[order]
 
-def windows_within_reach(first: np.ndarray, doc: np.ndarray, own: np.ndarray, n: int, d: int) -> np.ndarray:
-    """First words of the windows of n words with n - 1 - 2d or more of the pairs at own, and of shorter texts as a whole."""
-    least = n - 1 - 2 * d
+
+def spread(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """a[0] .. z[0] - 1, a[1] .. z[1] - 1 and so on."""
+    times = z - a
+    return np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+
+def windows_within_reach(first: np.ndarray, doc: np.ndarray, item: np.ndarray, place: np.ndarray, items: int, n: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, item, least distance) of the windows of n words, and of shorter texts as a whole, with n - 1 - 2d or more pairs of an item."""
+    least, span = n - 1 - 2 * d, len(doc) + n
+    own = item * span + place
     if least < 1:
-        starts = np.arange(len(doc))
+        found = (np.arange(items if d else 1)[:, None] * span + np.arange(len(doc))[None, :]).ravel()  # single words: equal keys are equal words
     else:
-        if len(own) < least:
-            return np.zeros(0, int)
         # pairs k .. k + least - 1 lie in a window if they span n - 2 places or fewer
-        low, high = own[least - 1 :] - (n - 2), own[: len(own) - least + 1]
-        ok = low <= high
-        if not ok.any():
-            return np.zeros(0, int)
-        starts = np.unique(np.concatenate([np.arange(max(0, x), y + 1) for x, y in zip(low[ok], high[ok], strict=True)]))
+        k = np.arange(max(0, len(own) - least + 1))
+        k = k[(item[k] == item[k + least - 1]) & (place[k + least - 1] - place[k] <= n - 2)]
+        low, high = np.maximum(0, place[k + least - 1] - (n - 2)), place[k]
+        found = np.unique(spread(item[k] * span + low, item[k] * span + high + 1))
+    which, starts = found // span, found % span
     begin, end = first[doc[starts]], first[doc[starts] + 1]
-    return starts[(starts + n <= end) | ((starts == begin) & (end - begin < n))]
+    inside = (starts + n <= end) | ((starts == begin) & (end - begin < n))
+    found, which, starts = found[inside], which[inside], starts[inside]
+    have = np.searchsorted(own, which * span + np.minimum(starts + n, end[inside]) - 1) - np.searchsorted(own, found)
+    return starts, which, np.maximum(0, -(-(n - 1 - have) // 2))
 
 
 FOUND = ("doc_id", "key", "item_id", "start", "end", "edits")
@@ -202,6 +227,8 @@ def matches(documents: DataFrame, compiled: list[Items], search: Search) -> Data
         for batch in batches:
             lowered = pc.utf8_lower(pc.fill_null(batch.column("text"), ""))
             near: list[list[tuple]] = [[] for _ in compiled]
+            able: list[list[tuple]] = [[] for _ in compiled]
+            known = [0] * len(compiled)
             for base, texts in W.pieces(lowered):
                 h, s, e, first = W.words(texts, lower=False, inside=W.ALNUM)
                 if not len(h):
@@ -213,17 +240,23 @@ def matches(documents: DataFrame, compiled: list[Items], search: Search) -> Data
                 if not short and not len(at):
                     continue
                 for c, items in enumerate(compiled):
-                    starts = windows_within_reach(first, doc, at[pairs.of[c, which]], items.n, search.reach(items.n))
-                    if len(starts):
+                    begins, item, least = windows_within_reach(first, doc, *pairs.of_items(c, at, which), len(items.ids), items.n, search.reach(items.n))
+                    if len(begins):
+                        starts, of = np.unique(begins, return_inverse=True)
                         d = doc[starts]
                         size = np.minimum(items.n, first[d + 1] - starts)
                         place = np.minimum(starts[:, None] + np.arange(items.n)[None, :], len(h) - 1)
                         seq = np.where(np.arange(items.n)[None, :] < size[:, None], h[place], PAD)
                         near[c].append((seq, size, d + base, s[starts] - off[d], e[starts + size - 1] - off[d]))
+                        able[c].append((of + known[c], item, least))
+                        known[c] += len(starts)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for items, windows in zip(compiled, near, strict=True):
+            for items, windows, left in zip(compiled, near, able, strict=True):
                 if windows:
-                    compare(*[np.concatenate(x) for x in zip(*windows, strict=True)], items, search, best)
+                    told = [np.concatenate(x) for x in zip(*windows, strict=True)]
+                    compare(*told, items, search, best)
+                    if search.reach(items.n):
+                        verify_rest(*told, *[np.concatenate(x) for x in zip(*left, strict=True)], items, search, best)
             rows = []
             for (d, item), (edits, a, z) in best.items():
                 text = lowered[d].as_py().encode()
@@ -240,7 +273,7 @@ def compare(seq: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarra
         a, z = np.searchsorted(items.keys, keys, "left"), np.searchsorted(items.keys, keys, "right")
         r, w = np.nonzero(z > a)
         times = (z - a)[r, w]
-        owner = items.owner[np.repeat(a[r, w], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        owner = items.owner[spread(a[r, w], z[r, w])]
         tried = np.unique(np.stack([np.repeat(w, times) + lo, owner]), axis=1)
         w, i = tried
         equal = (seq[w] == items.seq[i]).all(axis=1)
@@ -254,6 +287,45 @@ def compare(seq: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarra
             note(best, doc, start, end, items, x[near], y[near], edits[near])
 
 
+def verify_rest(
+    seq: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, w: np.ndarray, i: np.ndarray, least: np.ndarray, items: Items, search: Search, best: dict
+) -> None:
+    """As compare(), for the windows w and items i whose distance, least or more, may be less than the best one known."""
+    reach = search.reach(items.n)
+    _, to = np.unique(np.stack([doc[w], items.ids[i]]), axis=1, return_inverse=True)
+    to = to.ravel()
+    edits, first = np.full(to.max(initial=-1) + 1, reach), np.full(to.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    for k, x, y in zip(*[v.tolist() for v in firsts(to, w, i)], strict=True):
+        if (have := best.get((int(doc[x]), int(items.ids[y])))) is not None:
+            edits[k], first[k] = have[:2]
+    open_ = lambda k: (least[k] < edits[to[k]]) | ((least[k] == edits[to[k]]) & (start[w[k]] < first[to[k]]))
+    rest = np.lexsort((start[w], least))
+    rest, step, some = rest[open_(rest)], max(64, 4_000_000 // items.n), 2
+    while len(rest):
+        # of each document and item the most hopeful windows first, a few at a time, as they may settle the others
+        turn = np.argsort(to[rest], kind="stable")
+        rank = np.empty(len(rest), np.int64)
+        begin = np.flatnonzero(np.diff(to[rest][turn], prepend=-1))
+        rank[turn] = np.arange(len(rest)) - np.repeat(begin, np.diff(np.append(begin, len(rest))))
+        now = np.zeros(len(rest), bool)
+        now[np.flatnonzero(rank < some)[:step]] = True
+        some *= 4
+        x, y, k = w[rest[now]], i[rest[now]], to[rest[now]]
+        got = edit_distances(seq[x], items.seq[y], size[x])
+        near = got <= reach
+        note(best, doc, start, end, items, x[near], y[near], got[near])
+        for a, b, c in zip(k[near].tolist(), x[near].tolist(), y[near].tolist(), strict=True):
+            edits[a], first[a] = best[(int(doc[b]), int(items.ids[c]))][:2]
+        rest = rest[~now]
+        rest = rest[open_(rest)]
+
+
+def firsts(to: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The values of to, and for each the columns' entries where it stands first."""
+    values, at = np.unique(to, return_index=True)
+    return values, *[c[at] for c in columns]
+
+
 def note(best: dict, doc: np.ndarray, start: np.ndarray, end: np.ndarray, items: Items, w: np.ndarray, i: np.ndarray, edits: np.ndarray) -> None:
     for x, y, n in zip(w.tolist(), i.tolist(), edits.tolist(), strict=True):
         to, new = (int(doc[x]), int(items.ids[y])), (n, int(start[x]), int(end[x]))

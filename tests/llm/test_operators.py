@@ -135,6 +135,36 @@ def test_decontamination(spark, corpus, empty):
     assert decontamination.edit_distances(a, b, np.array([4]))[0] == 2
 
 
+def test_decontamination_finds_every_window_within_reach(spark):
+    """Against all windows' edit distances: items without their first or last words, edits at one place, and scattered ones."""
+    rng = random.Random(6)
+    search = decontamination.Search()
+    items = [words(rng, n, 4000).split() for n in (15, 40, 40, 120, 300)]
+    docs = []
+    for own in items:
+        n, d = len(own), search.reach(len(own))
+        for cut in (d // 2, d // 2 + 1, d):
+            more = words(rng, n, 4000).split()
+            docs += [own[cut:] + more, more + own[: n - cut], own[: n // 2] + more[:cut] + own[n // 2 :], own[: n // 3] + own[n // 3 + cut :]]
+        spots = rng.sample(range(n), d)
+        docs += [[("other" if k in spots else x) for k, x in enumerate(own)]]
+    items += [["zz"], ["yy"], ["zz", "yy"]]
+    docs += [["zz"], ["a", "zz", "b", "yy"], ["a", "zz", "yy"], ["zzyy"]]
+
+    def brute(doc, item):
+        n = len(item)
+        code = {x: k for k, x in enumerate({*doc, *item})}
+        windows = [doc[k : k + n] for k in range(max(1, len(doc) - n + 1))]
+        wide = np.array([[code[x] for x in w] + [-1] * (n - len(w)) for w in windows])
+        least = decontamination.edit_distances(wide, np.array([[code[x] for x in item]]), np.array([len(w) for w in windows])).min()
+        return int(least) if least <= search.reach(n) else None
+
+    want = {(k, i, e) for k, doc in enumerate(docs) for i, item in enumerate(items) if (e := brute(doc, item)) is not None}
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.edits) for r in decontamination.contaminated(df, bench).collect()} == want and len(want) > 35
+
+
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
