@@ -10,8 +10,10 @@ and transitions are made when they are first met and kept up to a bound.
 No piece has a blank behind another character, and unknown characters (which become their UTF-8 bytes) join nothing; so
 the state is the start state before each blank that follows another character, whatever was read before. The state map
 of a chunk of text is therefore (head, count, tail): what stands before the first such place, the tokens between, and
-what stands after the last. Maps compose associatively, and a text is the scan of the maps of its chunks. Counts of
-complete stretches that were met before are kept.
+what stands after the last. Maps compose associatively, but they are not scanned in parallel: the maps of a text's chunks are
+folded from left to right inside one call, and most texts, of one chunk without odd blanks, are sums of the counts of
+their words. Counts of complete stretches that were met before are kept. The map of a chunk without such a place is the
+chunk's own text; a very long text without blanks is put together again at each step and counted in one go.
 
 Edge cases: a null text is empty and has no tokens. Repeated rows are counted each. An empty table gives an empty result.
 Texts are read whole, in chunks. Strings of special tokens inside texts are ordinary text. Only ids and texts are read.
