@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from strandsort.read_structure import ReadStructure, Segment
 
 
+#: The quality of the last printable character.
+HIGHEST = 93
+
+
 @dataclass(frozen=True)
 class Read:
     """Columns of one read of a template."""
@@ -50,6 +54,7 @@ def mask(seq: Column, qual: Column, threshold: int) -> Column:
     """
     if threshold <= 0:
         return seq
+    threshold = min(threshold, HIGHEST + 1)
     low = f"[\\x00-\\x{33 + threshold - 1:02x}]"
     per_base = F.array_join(
         F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1))), lambda i: F.when(F.ascii(F.substring(qual, i, F.lit(1))) - 33 < threshold, F.lit("N")).otherwise(F.substring(seq, i, F.lit(1)))),
@@ -63,8 +68,13 @@ def n_calls(bases: Column) -> Column:
     return F.length(bases) - F.length(F.translate(bases, "N", ""))
 
 
+def _checked(qual: Column, value: Column) -> Column:
+    """The value; a quality character below 33 is an error."""
+    return F.when(qual.rlike("[\\x00-\\x20]"), F.raise_error(F.concat(F.lit("Quality below 33 in: "), qual)).cast("long")).otherwise(value)
+
+
 def _at_least(qual: Column, q: int) -> Column:
-    return F.length(F.regexp_replace(qual, f"[^\\x{33 + q:02x}-\\x7e]", "")).cast("long")
+    return _checked(qual, F.length(F.regexp_replace(qual, f"[^\\x{33 + q:02x}-\\x7e]+", "")).cast("long"))
 
 
 def q30_bases(qual: Column) -> Column:
@@ -75,9 +85,10 @@ def q20_bases(qual: Column) -> Column:
     return _at_least(qual, 20)
 
 
-def quality_sum(qual: Column) -> Column:
-    """Sum of the qualities; a character below 33 is an error."""
-    bad = F.raise_error(F.concat(F.lit("Quality below 33 in: "), qual)).cast("long")
+def quality_sum(qual: Column, length: int | None = None) -> Column:
+    """Sum of the qualities. Where their number is known, as in sample barcodes, it is generated code, a term for each."""
+    if length is not None and length <= 64:
+        terms = [F.ascii(F.substring(qual, i, 1)) for i in range(1, length + 1)]
+        return _checked(qual, (sum(terms[1:], terms[0]) - 33 * F.length(qual)).cast("long")) if terms else F.lit(0).cast("long")
     codes = F.transform(F.split(qual, ""), lambda c: (F.ascii(c) - 33).cast("long"))
-    total = F.aggregate(F.filter(codes, lambda c: c > -33), F.lit(0).cast("long"), lambda a, c: a + c)
-    return F.when(qual.rlike("[\\x00-\\x20]"), bad).otherwise(total)
+    return _checked(qual, F.aggregate(F.filter(codes, lambda c: c > -33), F.lit(0).cast("long"), lambda a, c: a + c))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandsort.operators.numbering import numbered
+
 
 def sanitized(barcode: Column) -> Column:
     return F.regexp_replace(F.upper(barcode), "[^ACGT]", "")
@@ -16,10 +18,7 @@ def semantic(raw: Column, index1: Column, index2: Column) -> Column:
 
 
 def coalesced(rows: DataFrame, lanes: list[int]) -> DataFrame:
-    """Rows (sample_id, barcode, lane, line_number) of the lanes, one for each id and barcode, with ordinal by line.
-
-    Ordinals number the whole sheet: a sheet, one row a sample, is ordered in one task.
-    """
+    """Rows (sample_id, barcode, lane, line_number) of the lanes, one for each id and barcode, with ordinal by line."""
     chosen = rows.filter(F.col("lane").isin(lanes)) if lanes else rows
     merged = chosen.groupBy("sample_id", "barcode").agg(F.when(F.count(F.lit(1)) == 1, F.min("lane")).alias("lane"), F.min("line_number").alias("line_number"))
-    return merged.withColumn("ordinal", (F.row_number().over(Window.orderBy("line_number")) - 1).cast("long"))
+    return numbered(merged, ["line_number", "sample_id", "barcode"], "ordinal")

@@ -1,9 +1,11 @@
-"""Nearest-barcode matching without a join.
+"""Nearest-barcode matching.
 
 A barcode is put as one-hot bits, four to a base, 15 bases to a long; N and other characters have none. The bases in
 which it agrees with an expected barcode are the bits that both have, so that a distance is a few AND and bit counts on
-literals, inside generated code. Samples are few (their sheet is read by the driver), reads are many: matching is a
-projection of the reads, with no shuffle, whatever share of them one barcode has.
+literals, inside generated code. Samples are few (their sheet is read by the driver), reads are many: up to ``INLINE``
+samples, matching is a projection of the reads, with no join or shuffle, whatever share of them one barcode has. With
+more samples, or a matcher of the user's own, each distinct barcode is matched once and the matches are joined back:
+broadcast if they are few, else by a shuffle that adaptive execution splits where a barcode is frequent.
 
 Two rules decide, which differ near the thresholds: ``cached`` (best and runner-up by distance with free Ns) and
 ``precompute`` (all Ns are mismatches; a runner-up counts only within a horizon).
@@ -11,7 +13,9 @@ Two rules decide, which differ near the thresholds: ``cached`` (best and runner-
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from enum import Enum
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +27,13 @@ WORD = 15
 SHIFT = 1 << 20
 #: Barcodes up to this length are matched by the precompute rule.
 PRECOMPUTE_LENGTH = 12
+#: Up to so many samples have a column each for their distance, which keeps the code generated for a row small.
+INLINE = 64
+#: Up to so many distinct barcodes with a match are broadcast.
+BROADCAST_BARCODES = 500_000
+
+#: A matcher: from distinct barcodes (bc) and the expected ones to (bc, sample_ordinal, hamming_dist), rows that match only.
+Matcher = Callable[[DataFrame, list[str]], DataFrame]
 
 
 class MatcherKind(Enum):
@@ -66,41 +77,70 @@ def distance(words: list[Column], compared: Column, expected: str) -> Column:
     return compared - total
 
 
-def with_match(reads: DataFrame, barcode: str, expected: list[str], kind: MatcherKind, max_mismatches: int, min_delta: int, free_ns: int = 1, max_no_calls: int | None = None) -> DataFrame:
-    """Add sample_ordinal and hamming_dist, null for reads that match no expected barcode."""
-    c = F.col
-    columns = reads.columns
-    if not expected:
-        return reads.withColumns({"sample_ordinal": F.lit(None).cast("int"), "hamming_dist": F.lit(None).cast("int")})
-    length = len(expected[0])
-    compared = F.least(F.length(barcode), F.lit(length))
-    df = reads.withColumns({f"_w{i}": w for i, w in enumerate(one_hot(c(barcode), length))} | {"_len": compared, "_n": n_calls(F.substring(c(barcode), 1, length))})
-    words = [c(f"_w{i}") for i in range(-(-length // WORD))]
-    free = c("_n") - F.greatest(c("_n") - free_ns, F.lit(0)) if kind is MatcherKind.CACHED else F.lit(0)
-    ranked = [((distance(words, c("_len"), e) - free) * SHIFT + i).cast("long") for i, e in enumerate(expected)]
-    # One fold over the sorted distances, which holds the nearest and counts its rivals. Nothing in it refers to another
-    # column that is made of all distances, so that it costs the same wherever the optimiser moves it.
-    d = lambda r: F.shiftright(r, 20).cast("int")
-    has_n = F.when(c("_n") > 0, 1).otherwise(0)
+def nearest(df: DataFrame, expected: list[str], free: Column, rival: Callable[[Column, Column], Column]) -> DataFrame:
+    """Add _best, the nearest expected barcode as distance and number in one, and _near, how many are rivals of it, itself included."""
+    c, words = F.col, [f"_w{i}" for i in range(-(-len(expected[0]) // WORD))]
+    if len(expected) <= INLINE:
+        ranks = [f"_d{i}" for i in range(len(expected))]
+        df = df.withColumns({r: ((distance([c(w) for w in words], c("_len"), e) - free) * SHIFT + i).cast("long") for i, (r, e) in enumerate(zip(ranks, expected, strict=True))})
+        df = df.withColumn("_best", F.least(*ranks) if len(ranks) > 1 else c(ranks[0]))
+        near = [F.when(rival(c("_best"), c(r)), 1).otherwise(0) for r in ranks]
+        return df.withColumn("_near", reduce(lambda x, y: x + y, near)).drop(*ranks)
+    told = F.array(*[F.array(*[F.lit(x) for x in (*_hot(e), i)]) for i, e in enumerate(expected)])
+    same = lambda e: reduce(lambda x, y: x + y, [F.bit_count(c(w).bitwiseAND(e[i])) for i, w in enumerate(words)])
+    df = df.withColumn("_ranks", F.transform(told, lambda e: ((c("_len") - same(e) - free) * SHIFT + e[len(words)]).cast("long")))
+    df = df.withColumn("_best", F.array_min("_ranks"))
+    return df.withColumn("_near", F.size(F.filter("_ranks", lambda r: rival(c("_best"), r)))).drop("_ranks")
+
+
+def decided(reads: DataFrame, barcode: str, expected: list[str], kind: MatcherKind, max_mismatches: int, min_delta: int, free_ns: int) -> DataFrame:
+    """Add sample_ordinal and hamming_dist by one of the two rules."""
+    c, columns, length = F.col, reads.columns, len(expected[0])
+    df = reads.withColumns(
+        {f"_w{i}": w for i, w in enumerate(one_hot(c(barcode), length))} | {"_len": F.least(F.length(barcode), F.lit(length)), "_n": n_calls(F.substring(c(barcode), 1, length))}
+    )
+    dist = lambda r: F.shiftright(r, 20).cast("int")
     if kind is MatcherKind.CACHED:
-        rival = lambda best, r: d(r) - d(best) <= min_delta
+        free = F.least(c("_n"), F.lit(free_ns))
+        rival = lambda best, r: dist(r) - dist(best) <= min_delta
     else:
-        in_reach = lambda r: (d(r) <= max_mismatches) | ((d(r) - has_n >= max_mismatches + 1) & (d(r) <= max_mismatches + min_delta - 1))
-        rival = lambda best, r: in_reach(r) & (d(r) - d(best) <= min_delta)
-    start = F.struct(F.lit(None).cast("long").alias("best"), F.lit(0).alias("near"))
-    fold = lambda acc, r: F.struct(
-        F.coalesce(acc["best"], r).alias("best"), (acc["near"] + F.when(rival(F.coalesce(acc["best"], r), r), 1).otherwise(0)).alias("near")
-    )
+        free, has_n = F.lit(0), F.when(c("_n") > 0, 1).otherwise(0)
+        in_reach = lambda r: (dist(r) <= max_mismatches) | ((dist(r) - has_n >= max_mismatches + 1) & (dist(r) <= max_mismatches + min_delta - 1))
+        rival = lambda best, r: in_reach(r) & (dist(r) - dist(best) <= min_delta)
     # a filter on the match stops at the id, and so does not compute the distances once more below
-    df = df.withColumns({"_m": F.aggregate(F.sort_array(F.array(*ranked)), start, fold), "_row": F.monotonically_increasing_id()})
-    best = d(c("_m.best"))
-    found = (c("_row") >= 0) & (best <= max_mismatches) & (c("_m.near") == 1)
+    df = nearest(df, expected, free, rival).withColumn("_row", F.monotonically_increasing_id())
+    best = dist(c("_best"))
+    found = (c("_row") >= 0) & (best <= max_mismatches) & (c("_near") == 1)
     if kind is MatcherKind.PRECOMPUTE:
         if max_mismatches == 0 and min_delta == 0:
             found = (c("_row") >= 0) & (best == 0)
         found = found & c(barcode).rlike(f"^[ACGTN]{{{length}}}$")
-    if max_no_calls is not None:
-        found = found & (n_calls(c(barcode)) <= max_no_calls)
     hit = F.coalesce(found, F.lit(False))
-    df = df.withColumns({"sample_ordinal": F.when(hit, F.pmod(c("_m.best"), F.lit(SHIFT)).cast("int")), "hamming_dist": F.when(hit, best)})
-    return df.select(*columns, "sample_ordinal", "hamming_dist")
+    return df.select(*columns, F.when(hit, F.pmod(c("_best"), F.lit(SHIFT)).cast("int")).alias("sample_ordinal"), F.when(hit, best).alias("hamming_dist"))
+
+
+def by_distinct(reads: DataFrame, barcode: str, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Match each distinct barcode once, and join what matched."""
+    seen = reads.select(F.col(barcode).alias("bc")).distinct()
+    found = decide(seen).filter("sample_ordinal IS NOT NULL").select(F.col("bc").alias("_bc"), F.col("sample_ordinal").cast("int").alias("sample_ordinal"), F.col("hamming_dist").cast("int").alias("hamming_dist"))
+    if found.count() <= BROADCAST_BARCODES:
+        found = F.broadcast(found)
+    return reads.join(found, F.col(barcode) == F.col("_bc"), "left").drop("_bc")
+
+
+def with_match(
+    reads: DataFrame, barcode: str, expected: list[str], kind: MatcherKind | Matcher, max_mismatches: int, min_delta: int, free_ns: int = 1, max_no_calls: int | None = None
+) -> DataFrame:
+    """Add sample_ordinal and hamming_dist, null for reads that match no expected barcode."""
+    if not expected:
+        return reads.withColumns({"sample_ordinal": F.lit(None).cast("int"), "hamming_dist": F.lit(None).cast("int")})
+    if not isinstance(kind, MatcherKind):
+        found = by_distinct(reads, barcode, lambda seen: kind(seen, expected))
+    elif len(expected) > INLINE:
+        found = by_distinct(reads, barcode, lambda seen: decided(seen, "bc", expected, kind, max_mismatches, min_delta, free_ns))
+    else:
+        found = decided(reads, barcode, expected, kind, max_mismatches, min_delta, free_ns)
+    if max_no_calls is None:
+        return found
+    few = n_calls(F.col(barcode)) <= max_no_calls
+    return found.withColumns({x: F.when(few, F.col(x)) for x in ("sample_ordinal", "hamming_dist")})

@@ -7,13 +7,14 @@ output records are columns of the templates, and only reports and sinks shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandsort.functions import header as H
 from strandsort.functions import segments as G
-from strandsort.operators.matching import MatcherKind, choose, with_match
+from strandsort.operators.matching import Matcher, MatcherKind, choose, with_match
 from strandsort.operators.metrics import QUALITY
 from strandsort.read_structure import ReadStructure, outputs
 from strandsort.samples import Sample, is_bypass
@@ -28,7 +29,7 @@ class Rules:
     filter_control_reads: bool = False
     filter_failing_quality: bool = False
     mask_thresholds: tuple[int, ...] = ()
-    matcher: MatcherKind | None = None
+    matcher: MatcherKind | Matcher | None = None
     strict_override: bool = False
     skip_read_name_check: bool = False
     barcode_in_header: bool = False
@@ -84,9 +85,10 @@ class Demultiplexer:
         if self.rules.skip_read_name_check or len(self.structures) == 1:
             return templates
         first, *rest = [H.read_name(r.head) for r in self.reads()]
-        same = F.forall(F.array(*rest), lambda n: n == first)
-        wrong = F.raise_error(F.concat_ws(" ", F.lit("Read names differ:"), first, *rest)).cast("string")
-        return templates.withColumn("head_0", F.when(same, F.col("head_0")).otherwise(wrong))
+        same = [n.eqNullSafe(first) for n in rest]
+        wrong = F.raise_error(F.concat_ws(" ", F.lit("Read names differ:"), first, *rest)).cast("boolean")
+        # a filter, as a column that nobody asks for would not be computed
+        return templates.filter(F.when(reduce(Column.__and__, same), F.lit(True)).otherwise(wrong))
 
     def with_drop_reason(self, templates: DataFrame) -> DataFrame:
         """Reads in their order, in each quality before control; the first that applies is the reason."""
@@ -108,13 +110,18 @@ class Demultiplexer:
             bc, delim = G.barcode(reads, self.structures, "B")
         return templates.withColumns({"bc": bc, "bc_delim": delim, "umi_delim": G.barcode(reads, self.structures, "M")[1]})
 
-    def matcher(self) -> MatcherKind:
+    def matcher(self) -> MatcherKind | Matcher:
+        if self.rules.matcher is not None and not isinstance(self.rules.matcher, MatcherKind):
+            return self.rules.matcher
         return choose(len(self.samples[0].barcode), self.rules.matcher, self.rules.strict_override)
 
     def assign(self, templates: DataFrame) -> DataFrame:
         """Templates that stay, with bc, bc_delim, umi_delim, sample_ordinal, matched and hamming_dist."""
-        kept = self.with_drop_reason(self.checked(templates)).filter("drop_reason IS NULL").drop("drop_reason")
-        barcoded = self.with_barcodes(kept)
+        return self.assign_all(self.with_drop_reason(self.checked(templates)).filter("drop_reason IS NULL").drop("drop_reason"))
+
+    def assign_all(self, templates: DataFrame) -> DataFrame:
+        """assign() for templates that are checked already, none of which is left out."""
+        barcoded = self.with_barcodes(templates)
         if is_bypass(self.samples):
             return barcoded.withColumns({"sample_ordinal": F.lit(0), "hamming_dist": F.lit(None).cast("int"), "matched": F.lit(False)})
         r = self.rules
@@ -125,15 +132,15 @@ class Demultiplexer:
     def with_quality(self, assigned: DataFrame) -> DataFrame:
         """Add the quality counts, of unmasked qualities, whatever is written."""
         reads = list(zip(self.reads(), self.structures, strict=True))
-        over = lambda kind: [G.joined(r, s, kind, "qual") for r, s in reads if s.of_kind(kind)]
+        over = lambda kind: [(G.joined(r, s, kind, "qual"), s) for r, s in reads if s.of_kind(kind)]
         total = lambda cols: sum(cols[1:], cols[0]) if cols else F.lit(0).cast("long")
-        template, index = over("T"), over("B")
+        template, index = [q for q, _ in over("T")], over("B")
         values = (
             total([G.q20_bases(q) for q in template]),
             total([G.q30_bases(q) for q in template]),
             total([F.length(q).cast("long") for q in template]),
-            total([G.quality_sum(q) for q in index]),
-            total([F.length(q).cast("long") for q in index]),
+            total([G.quality_sum(q, s.barcode_length) for q, s in index]),
+            total([F.length(q).cast("long") for q, _ in index]),
         )
         return assigned.withColumns(dict(zip(QUALITY, values, strict=True)))
 
@@ -156,12 +163,12 @@ class Demultiplexer:
 
     def output_records(self, assigned: DataFrame, keep: list[str]) -> DataFrame:
         """(sample_ordinal, output, head, seq, qual) and the columns to keep, a row for each output of each template."""
-        out = []
-        for k, (i, kind, _) in enumerate(self.outputs):
-            head, seq, qual = self.record(i, kind)
-            out.append(F.struct(F.lit(k).alias("output"), head.alias("head"), seq.alias("seq"), qual.alias("qual")))
-        rows = self.with_headers(assigned).select("sample_ordinal", *keep, F.explode(F.array(*out)).alias("r"))
-        return rows.select("sample_ordinal", *keep, "r.*")
+        numbers = F.array(*[F.lit(k) for k in range(len(self.outputs))])
+        # columns that nobody asks for are not computed, and of the others only those of the row's own output
+        rows = self.with_headers(assigned).withColumn("output", F.explode(numbers))
+        parts = [self.record(i, kind) for i, kind, _ in self.outputs]
+        of = lambda n: F.coalesce(*[F.when(F.col("output") == k, p[n]) for k, p in enumerate(parts)])
+        return rows.select("sample_ordinal", *keep, "output", of(0).alias("head"), of(1).alias("seq"), of(2).alias("qual"))
 
 
 def zip_reads(reads: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -171,6 +178,6 @@ def zip_reads(reads: list[DataFrame], keys: list[str]) -> DataFrame:
         joined = joined.join(r.select(*keys, *[F.col(c).alias(f"{c}_{i}") for c in ("head", "seq", "qual")]), keys, "full_outer")
     if len(reads) == 1:
         return joined
-    all_there = F.forall(F.array(*[F.col(f"head_{i}") for i in range(len(reads))]), lambda h: h.isNotNull())
-    uneven = F.raise_error(F.lit("FASTQs have different numbers of records")).cast("string")
-    return joined.withColumn("head_0", F.when(all_there, F.col("head_0")).otherwise(uneven))
+    all_there = reduce(Column.__and__, [F.col(f"head_{i}").isNotNull() for i in range(len(reads))])
+    uneven = F.raise_error(F.lit("FASTQs have different numbers of records")).cast("boolean")
+    return joined.filter(F.when(all_there, F.lit(True)).otherwise(uneven))

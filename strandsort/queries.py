@@ -7,6 +7,7 @@ lineitem: the expected barcode of the key's sample with substitutions and Ns, a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,11 +49,11 @@ ORDERS = ("orders", "o_orderkey", "o_custkey", "CASE WHEN o_orderstatus = 'P' TH
 LINES = ("lineitem", "l_orderkey", "l_partkey", "CASE WHEN l_returnflag = 'R' THEN 'Y' ELSE 'N' END", "CASE WHEN l_partkey % 13 = 0 THEN '1' ELSE '0' END", "l_quantity")
 
 
-def reads(spark: SparkSession, sf_dir: str, of: tuple[str, ...], times: int) -> DataFrame:
-    """The reads as rows of a generator: the optimiser then leaves the nested text of their making where it is, as if they were scanned."""
+def reads(spark: SparkSession, sf_dir: str, of: tuple[str, ...], times: int, *columns: str) -> DataFrame:
+    """These columns of the reads, as rows of a generator: the optimiser then leaves the nested text of their making where it is, as if they were scanned."""
     source = spark.read.parquet(f"{sf_dir}/{of[0]}.parquet")
     made = spark.sql(reads_sql("{source}", *of[1:], times), source=source)
-    return made.select(F.explode(F.array(F.struct("*"))).alias("r")).select("r.*")
+    return made.select(F.explode(F.array(F.struct(*columns))).alias("r")).select("r.*")
 
 
 def samples(spark: SparkSession, sf_dir: str, times: int) -> list[Sample]:
@@ -72,25 +73,26 @@ def demultiplexer(spark: SparkSession, sf_dir: str, times: int = 5, **rules) ->
     return Demultiplexer(samples(spark, sf_dir, times), [ReadStructure.parse(f"{3 * times}B6M"), ReadStructure.parse("+T")], ["T"], Rules(**rules))
 
 
-def templates(spark: SparkSession, sf_dir: str, of: tuple[str, ...], times: int = 5) -> DataFrame:
-    r = reads(spark, sf_dir, of, times)
-    return r.select(
-        "read_key",
-        "other",
-        F.col("head").alias("head_0"),
-        F.concat("bc", "umi").alias("seq_0"),
-        F.concat("bqual", F.lit("IIIIII")).alias("qual_0"),
-        F.col("head").alias("head_1"),
-        F.col("template").alias("seq_1"),
-        F.col("tqual").alias("qual_1"),
-    )
+def templates(spark: SparkSession, sf_dir: str, of: tuple[str, ...], times: int = 5, keep: tuple[str, ...] = ("read_key",), parts: tuple[str, ...] = ("head", "seq", "qual")) -> DataFrame:
+    """Two FASTQs with the parts that a query reads."""
+    made = {
+        "head_0": (["head"], F.col("head")),
+        "seq_0": (["bc", "umi"], F.concat("bc", "umi")),
+        "qual_0": (["bqual"], F.concat("bqual", F.lit("IIIIII"))),
+        "head_1": (["head"], F.col("head")),
+        "seq_1": (["template"], F.col("template")),
+        "qual_1": (["tqual"], F.col("tqual")),
+    }
+    wanted = {f"{p}_{i}": made[f"{p}_{i}"] for i in range(2) for p in parts}
+    r = reads(spark, sf_dir, of, times, *dict.fromkeys([*keep, *[c for needs, _ in wanted.values() for c in needs]]))
+    return r.select(*keep, *[value.alias(name) for name, (_, value) in wanted.items()])
 
 
 # --- rows -----------------------------------------------------------------------------------------------------------
 
 
 def parse_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reads(spark, sf_dir, ORDERS, 5).withColumn("h", H.parse_header(F.col("head")))
+    r = reads(spark, sf_dir, ORDERS, 5, "read_key", "head").withColumn("h", H.parse_header(F.col("head")))
     h = F.col("h")
     return r.select("read_key", h["instrument"].alias("instrument"), h["lane"].alias("lane"), h["x_pos"].alias("x_pos"), h["y_pos"].alias("y_pos"), h["read_number"].alias("read_number"), h["sample_barcode"].alias("sample_barcode"), H.is_control(h).alias("is_control"), H.is_failed_quality_filter(h).alias("is_failed"))
 
@@ -112,7 +114,7 @@ SELECT read_key, concat(split_part(head, ' ', 1), ':', umi, ' ', regexp_replace(
 
 
 def extract_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = reads(spark, sf_dir, ORDERS, 5)
+    t = reads(spark, sf_dir, ORDERS, 5, "read_key", "head", "bc", "umi", "template", "bqual", "tqual")
     read = G.Read(F.col("head"), F.concat("bc", "umi", "template"), F.concat("bqual", F.lit("IIIIII"), "tqual"))
     s = ReadStructure.parse("7B6M8B3S4T5S+T")
     cut = t.select("read_key", *[G.joined(read, s, k).alias(f"{k.lower()}_bases") for k in "TBMS"], G.joined(read, s, "T", "qual").alias("t_quals"))
@@ -126,7 +128,7 @@ SELECT read_key, concat(substr(s, 25, 4), substr(s, 34)) AS t_bases, concat(subs
 
 
 def mask_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reads(spark, sf_dir, ORDERS, 5)
+    r = reads(spark, sf_dir, ORDERS, 5, "read_key", "template", "tqual")
     return r.select("read_key", *[G.mask(F.col("template"), F.col("tqual"), t).alias(f"masked_{t}") for t in (0, 15, 30)])
 
 
@@ -135,8 +137,8 @@ MASK_QUALITY = f"WITH r AS ({reads_sql(*ORDERS, 5)}) SELECT read_key, template A
 
 
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reads(spark, sf_dir, ORDERS, 5)
-    return r.select("read_key", G.q20_bases(F.col("tqual")).alias("q20"), G.q30_bases(F.col("tqual")).alias("q30"), G.quality_sum(F.col("bqual")).alias("index_sum"), G.n_calls(F.col("bc")).cast("long").alias("n_calls"))
+    r = reads(spark, sf_dir, ORDERS, 5, "read_key", "tqual", "bqual", "bc")
+    return r.select("read_key", G.q20_bases(F.col("tqual")).alias("q20"), G.q30_bases(F.col("tqual")).alias("q30"), G.quality_sum(F.col("bqual"), 15).alias("index_sum"), G.n_calls(F.col("bc")).cast("long").alias("n_calls"))
 
 
 _atleast = "CAST(len(list_filter(range(1, 21), lambda i: ascii(substr(tqual, i, 1)) - 33 >= {t})) AS BIGINT)"
@@ -148,7 +150,7 @@ SELECT read_key, {_atleast.format(t=20)} AS q20, {_atleast.format(t=30)} AS q30,
 
 def filter_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = demultiplexer(spark, sf_dir, filter_control_reads=True, filter_failing_quality=True)
-    return d.with_drop_reason(templates(spark, sf_dir, ORDERS)).select("read_key", F.coalesce("drop_reason", F.lit("kept")).alias("outcome"))
+    return d.with_drop_reason(templates(spark, sf_dir, ORDERS, parts=("head",))).select("read_key", F.coalesce("drop_reason", F.lit("kept")).alias("outcome"))
 
 
 _reason = "CASE WHEN split_part(split_part(head, ' ', 2), ':', 2) = 'Y' THEN 'quality' WHEN split_part(split_part(head, ' ', 2), ':', 3) <> '0' THEN 'control' END"
@@ -157,7 +159,7 @@ FILTER_READS = f"WITH r AS ({reads_sql(*ORDERS, 5)}) SELECT read_key, coalesce({
 
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = demultiplexer(spark, sf_dir, filter_control_reads=True, filter_failing_quality=True)
-    return R.run_counts(d.with_drop_reason(templates(spark, sf_dir, LINES)))
+    return R.run_counts(d.with_drop_reason(templates(spark, sf_dir, LINES, keep=(), parts=("head",))))
 
 
 RUN_METRICS = f"""
@@ -167,13 +169,13 @@ SELECT count(*) FILTER (why = 'control') AS control_reads_omitted, count(*) FILT
 
 def no_call_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = demultiplexer(spark, sf_dir, max_no_calls=0)
-    return d.assign(templates(spark, sf_dir, ORDERS)).select("read_key", "sample_ordinal", "matched")
+    return d.assign(templates(spark, sf_dir, ORDERS, parts=("head", "seq"))).select("read_key", "sample_ordinal", "matched")
 
 
-def _cached_sql(of: tuple[str, ...], m: int = 1, delta: int = 2, extra: str = "true") -> str:
+def _cached_sql(of: tuple[str, ...], m: int = 1, delta: int = 2, extra: str = "true", times: int = 5) -> str:
     """CTEs r (reads), s (samples) and a (assigned: ordinal 25 and matched false where nothing matches)."""
     return f"""
-    r AS ({reads_sql(*of, 5)}), s AS ({SAMPLES_15}),
+    r AS ({reads_sql(*of, times)}), s AS ({SAMPLES_15 if times == 5 else SAMPLES_9}),
     b AS (SELECT DISTINCT bc FROM r),
     d AS (SELECT bc, ordinal, hamming(bc, barcode) - n + greatest(0, n - 1) AS dist FROM (SELECT *, length(bc) - length(replace(bc, 'N', '')) AS n FROM b CROSS JOIN s)),
     k AS (SELECT bc, min(dist) AS best, arg_min(ordinal, dist * 1000 + ordinal) AS ordinal FROM d GROUP BY bc),
@@ -186,7 +188,7 @@ NO_CALL_FILTER = f"WITH {_cached_sql(ORDERS, extra="bc NOT LIKE '%N%'")} SELECT
 
 
 def hamming_free_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reads(spark, sf_dir, ORDERS, 5)
+    r = reads(spark, sf_dir, ORDERS, 5, "read_key", "bc")
     expected = samples(spark, sf_dir, 5)[7].barcode
     n = G.n_calls(F.col("bc"))
     d = M.distance(M.one_hot(F.col("bc"), 15), F.length("bc"), expected)
@@ -200,7 +202,7 @@ SELECT read_key, CAST(d AS INT) AS strict, {", ".join(f"CAST(d - n + greatest(n
 
 def match_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = demultiplexer(spark, sf_dir, allowed_mismatches=2, min_delta=1)
-    return d.assign(templates(spark, sf_dir, ORDERS)).select("read_key", "sample_ordinal", F.coalesce("hamming_dist", F.lit(-1)).alias("hamming_dist"))
+    return d.assign(templates(spark, sf_dir, ORDERS, parts=("head", "seq"))).select("read_key", "sample_ordinal", F.coalesce("hamming_dist", F.lit(-1)).alias("hamming_dist"))
 
 
 MATCH_CACHED = f"WITH {_cached_sql(ORDERS, 2, 1)} SELECT read_key, CAST(sample_ordinal AS INT) AS sample_ordinal, CAST(coalesce(hamming_dist, -1) AS INT) AS hamming_dist FROM a"
@@ -208,19 +210,24 @@ MATCH_CACHED = f"WITH {_cached_sql(ORDERS, 2, 1)} SELECT read_key, CAST(sample_o
 
 def match_precompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = demultiplexer(spark, sf_dir, 3)
-    return d.assign(templates(spark, sf_dir, ORDERS, 3)).select("read_key", "sample_ordinal", F.coalesce("hamming_dist", F.lit(-1)).alias("hamming_dist"))
+    return d.assign(templates(spark, sf_dir, ORDERS, 3, parts=("head", "seq"))).select("read_key", "sample_ordinal", F.coalesce("hamming_dist", F.lit(-1)).alias("hamming_dist"))
 
 
-MATCH_PRECOMPUTE = f"""
-WITH r AS ({reads_sql(*ORDERS, 3)}), s AS ({SAMPLES_9}), b AS (SELECT DISTINCT bc FROM r),
-d AS (SELECT bc, ordinal, hamming(bc, barcode) AS dist, CASE WHEN bc LIKE '%N%' THEN 1 ELSE 0 END AS n FROM b CROSS JOIN s),
-k AS (SELECT bc, min(dist) AS best, arg_min(ordinal, dist * 1000 + ordinal) AS ordinal FROM d GROUP BY bc),
-c AS (SELECT k.bc, k.best, k.ordinal, count(*) FILTER ((dist <= 1 OR (dist - n >= 2 AND dist <= 2)) AND dist - best <= 2) AS rivals FROM k JOIN d ON k.bc = d.bc GROUP BY ALL)
-SELECT read_key, CAST(coalesce(c.ordinal, 25) AS INT) AS sample_ordinal, CAST(coalesce(best, -1) AS INT) AS hamming_dist FROM r LEFT JOIN (SELECT * FROM c WHERE best <= 1 AND rivals = 1) c ON r.bc = c.bc"""
+def _precompute_sql(of: tuple[str, ...], times: int) -> str:
+    """As _cached_sql(), by the other rule."""
+    return f"""
+    r AS ({reads_sql(*of, times)}), s AS ({SAMPLES_15 if times == 5 else SAMPLES_9}), b AS (SELECT DISTINCT bc FROM r),
+    d AS (SELECT bc, ordinal, hamming(bc, barcode) AS dist, CASE WHEN bc LIKE '%N%' THEN 1 ELSE 0 END AS n FROM b CROSS JOIN s),
+    k AS (SELECT bc, min(dist) AS best, arg_min(ordinal, dist * 1000 + ordinal) AS ordinal FROM d GROUP BY bc),
+    c AS (SELECT k.bc, k.best, k.ordinal, count(*) FILTER ((dist <= 1 OR (dist - n >= 2 AND dist <= 2)) AND dist - best <= 2) AS rivals FROM k JOIN d ON k.bc = d.bc GROUP BY ALL),
+    a AS (SELECT read_key, coalesce(c.ordinal, 25) AS sample_ordinal, best AS hamming_dist FROM r LEFT JOIN (SELECT * FROM c WHERE best <= 1 AND rivals = 1) c ON r.bc = c.bc)"""
+
+
+MATCH_PRECOMPUTE = f"WITH {_precompute_sql(ORDERS, 3)} SELECT read_key, CAST(sample_ordinal AS INT) AS sample_ordinal, CAST(coalesce(hamming_dist, -1) AS INT) AS hamming_dist FROM a"
 
 
 def zip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reads(spark, sf_dir, ORDERS, 5)
+    r = reads(spark, sf_dir, ORDERS, 5, "read_key", "head", "bc", "bqual", "template", "tqual")
     first = r.select("read_key", "head", F.col("bc").alias("seq"), F.col("bqual").alias("qual"))
     second = r.select("read_key", "head", F.col("template").alias("seq"), F.col("tqual").alias("qual"))
     return zip_reads([first, second], ["read_key"]).select("read_key", "seq_0", "seq_1", (F.col("head_0") == F.col("head_1")).alias("same_head"))
@@ -234,7 +241,7 @@ ZIP_JOIN = f"WITH r AS ({reads_sql(*ORDERS, 5)}) SELECT x.read_key, x.bc AS seq_
 
 def _per_sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Demultiplexer]:
     d = demultiplexer(spark, sf_dir)
-    counted = R.per_sample_counts(d.with_quality(d.assign(templates(spark, sf_dir, LINES))))
+    counted = R.per_sample_counts(d.with_quality(d.assign(templates(spark, sf_dir, LINES, keep=()))))
     return R.with_all_samples(counted, R.sample_table(spark, d.samples)), d
 
 
@@ -274,7 +281,7 @@ SELECT sample_id AS "sample_ID", repeat('N', 15) AS barcode, {_counts}, {_ratios
 
 def top_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = demultiplexer(spark, sf_dir)
-    return R.most_frequent(R.unmatched_counts(d.assign(templates(spark, sf_dir, LINES))), 100)
+    return R.most_frequent(R.unmatched_counts(d.assign(templates(spark, sf_dir, LINES, keep=(), parts=("head", "seq")))), 100)
 
 
 TOP_UNMATCHED = f"WITH {_cached_sql(LINES)} SELECT bc AS barcode, count(*) AS count FROM a WHERE NOT matched GROUP BY bc ORDER BY 2 DESC, 1 LIMIT 100"
@@ -284,12 +291,9 @@ def barcode_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The barcode in two reads of 5 and 10 bases, the second half of reads of odd part keys from another sample."""
     base = demultiplexer(spark, sf_dir)
     d = Demultiplexer(base.samples, [ReadStructure.parse("5B"), ReadStructure.parse("10B6M"), ReadStructure.parse("+T")], ["T"], base.rules)
-    t = templates(spark, sf_dir, LINES)
-    split = t.select(
-        F.col("head_0"), F.substring("seq_0", 1, 5).alias("seq_0"), F.substring("qual_0", 1, 5).alias("qual_0"),
-        F.col("head_1"), F.substring("seq_0", 6, 16).alias("seq_1"), F.substring("qual_0", 6, 16).alias("qual_1"),
-        F.col("head_1").alias("head_2"), F.col("seq_1").alias("seq_2"), F.col("qual_1").alias("qual_2"),
-    )
+    t = templates(spark, sf_dir, LINES, keep=(), parts=("head", "seq"))
+    first, second = F.substring("seq_0", 1, 5), F.substring("seq_0", 6, 16)
+    split = t.select("head_0", first.alias("seq_0"), "head_1", second.alias("seq_1"), F.col("head_1").alias("head_2"), F.col("seq_1").alias("seq_2"))
     return R.hop_counts(d.assign(split), *d.hop_lengths, d.samples)
 
 
@@ -306,7 +310,7 @@ def output_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Demultiplexer(d.samples, d.structures, ["T", "M"], d.rules)
     names = output_names(d.samples, d.structures, d.output_kinds)
     table = spark.createDataFrame([(o, k, n) for (o, k), n in names.items()], "sample_ordinal int, output int, path string")
-    records = d.output_records(d.assign(templates(spark, sf_dir, LINES)), [])
+    records = d.output_records(d.assign(templates(spark, sf_dir, LINES, keep=())), [])
     return records.groupBy("sample_ordinal", "output").agg(F.count(F.lit(1)).alias("n_records"), F.sum(F.length("seq")).alias("n_bases")).join(F.broadcast(table), ["sample_ordinal", "output"]).select("path", "n_records", "n_bases")
 
 
@@ -348,19 +352,120 @@ SELECT sample_id, barcode, lane, line_number, row_number() OVER (ORDER BY line_n
 
 
 def sample_pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of all pairs of sample barcodes against the observed barcodes' counts: how often either sample's own barcode was read."""
-    s = [x for x in samples(spark, sf_dir, 5)[:-1]]
-    counts = reads(spark, sf_dir, LINES, 5).groupBy("bc").agg(F.count(F.lit(1)).alias("n"))
-    from strandsort.samples import hamming
-
-    pairs = spark.createDataFrame([(a.ordinal, b.ordinal, hamming(a.barcode, b.barcode), a.barcode) for i, a in enumerate(s) for b in s[i + 1 :]], "a int, b int, distance int, bc string")
-    return pairs.join(counts, "bc", "left").select("a", "b", "distance", F.coalesce("n", F.lit(0)).alias("reads_of_a"))
+    """Distances of all pairs of sample barcodes, and how often the first one's own barcode was read."""
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    s = spark.sql(SAMPLES_15.replace("nation ", "{nation} ").replace("region ", "{region} "), nation=nation, region=region)
+    s = s.select("ordinal", "barcode", M.one_hot(F.col("barcode"), 15)[0].alias("bits"))
+    a, b = (s.select(*[F.col(c).alias(f"{c}_{x}") for c in s.columns]) for x in "ab")
+    counts = reads(spark, sf_dir, LINES, 5, "bc").groupBy("bc").agg(F.count(F.lit(1)).alias("n"))
+    pairs = a.join(F.broadcast(b), F.col("ordinal_a") < F.col("ordinal_b"))  # samples of a sheet
+    pairs = pairs.select(F.col("ordinal_a").alias("a"), F.col("ordinal_b").alias("b"), (15 - F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b")))).cast("int").alias("distance"), F.col("barcode_a").alias("bc"))
+    own = counts.join(F.broadcast(s.select(F.col("barcode").alias("bc"))), "bc", "left_semi")
+    return pairs.join(own, "bc", "left").select("a", "b", "distance", F.coalesce("n", F.lit(0)).alias("reads_of_a"))
 
 
 SAMPLE_PAIR_DISTANCES = f"""
 WITH r AS ({reads_sql(*LINES, 5)}), s AS ({SAMPLES_15}), c AS (SELECT bc, count(*) AS n FROM r GROUP BY bc)
 SELECT a.ordinal AS a, b.ordinal AS b, CAST(hamming(a.barcode, b.barcode) AS INT) AS distance, coalesce(c.n, 0) AS reads_of_a FROM s a JOIN s b ON a.ordinal < b.ordinal LEFT JOIN c ON c.bc = a.barcode"""
 
+# --- other ways to run ---------------------------------------------------------------------------------------------
+
+
+def header_barcode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample barcode as the header has it, in two parts; reads without barcode segments."""
+    base = demultiplexer(spark, sf_dir)
+    d = Demultiplexer(base.samples, [ReadStructure.parse("6M+T")], ["T"], Rules(barcode_in_header=True))
+    r = reads(spark, sf_dir, ORDERS, 5, "read_key", "head", "bc", "umi", "template")
+    told = F.concat(F.regexp_replace("head", "NNNNNNNN$", ""), F.substring("bc", 1, 7), F.lit("+"), F.substring("bc", 8, 8))
+    t = r.select("read_key", told.alias("head_0"), F.concat("umi", "template").alias("seq_0"))
+    return d.assign(t).select("read_key", "bc", "bc_delim", "umi_delim", "sample_ordinal")
+
+
+HEADER_BARCODE = f"""
+WITH {_cached_sql(ORDERS)}
+SELECT read_key, bc, concat(substr(bc, 1, 7), '+', substr(bc, 8)) AS bc_delim, umi AS umi_delim, CAST(sample_ordinal AS INT) AS sample_ordinal FROM a"""
+
+
+def no_demultiplexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sample without barcode takes all reads, none of which counts as matched."""
+    d = Demultiplexer([Sample("all", ordinal=0)], [ReadStructure.parse("15B6M"), ReadStructure.parse("+T")], ["T"], Rules(filter_failing_quality=True))
+    counts = R.per_sample_counts(d.with_quality(d.assign(templates(spark, sf_dir, LINES, keep=()))))
+    return counts.select("ordinal", *R.COUNTS)
+
+
+NO_DEMULTIPLEXING = f"""
+WITH r AS ({reads_sql(*LINES, 5)}), q AS (SELECT {_list_q.format(n=21, q="tqual")} AS t, {_list_q.format(n=16, q="bqual")} AS i FROM r WHERE filtered_of(head) <> 'Y')
+SELECT 0 AS ordinal, count(*) AS total_matches, CAST(0 AS BIGINT) AS perfect_matches, CAST(0 AS BIGINT) AS one_mismatch_matches,
+       CAST(sum(len(list_filter(t, lambda x: x >= 20))) AS BIGINT) AS q20_bases, CAST(sum(len(list_filter(t, lambda x: x >= 30))) AS BIGINT) AS q30_bases,
+       CAST(sum(len(t)) AS BIGINT) AS total_number_of_bases, CAST(sum(list_sum(i)) AS BIGINT) AS index_quality_sum, CAST(sum(len(i)) AS BIGINT) AS index_bases FROM q""".replace("filtered_of(head)", "split_part(split_part(head, ' ', 2), ':', 2)")
+
+
+def mask_per_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A threshold for each FASTQ: templates are masked by that of their own, barcodes and UMIs by none."""
+    base = demultiplexer(spark, sf_dir)
+    d = Demultiplexer(base.samples, [ReadStructure.parse("15B6M4T"), ReadStructure.parse("+T")], ["T", "M"], Rules(mask_thresholds=(20, 10)))
+    t = templates(spark, sf_dir, ORDERS).withColumns({"seq_0": F.concat("seq_0", F.substring("seq_1", 1, 4)), "qual_0": F.concat("qual_0", F.substring("qual_1", 6, 4))})
+    rows = d.output_records(d.with_barcodes(t).withColumn("sample_ordinal", F.lit(0)), ["read_key"])
+    return rows.select("read_key", F.col("output").cast("int").alias("output"), "seq", "qual")
+
+
+_masked_part = "array_to_string(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN ascii(substr(q, i, 1)) - 33 < {t} THEN 'N' ELSE substr(s, i, 1) END), '')"
+MASK_PER_FASTQ = f"""
+WITH r AS ({reads_sql(*ORDERS, 5)}),
+p AS (SELECT read_key, 0 AS output, umi AS s, 'IIIIII' AS q, 0 AS t FROM r UNION ALL
+      SELECT read_key, 1, substr(template, 1, 4), substr(tqual, 6, 4), 20 FROM r UNION ALL SELECT read_key, 2, template, tqual, 10 FROM r)
+SELECT read_key, CAST(output AS INT) AS output, {_masked_part.format(t="t")} AS seq, q AS qual FROM p"""
+
+
+def output_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of every kind as outputs of their own, numbered by kind over the FASTQs."""
+    from strandsort.sources.sink import output_names
+
+    base = demultiplexer(spark, sf_dir)
+    d = Demultiplexer(base.samples, [ReadStructure.parse("9B3S6B3M"), ReadStructure.parse("4S6T2M+T")], ["S", "M", "T", "B"])
+    names = output_names(d.samples[:1], d.structures, d.output_kinds)
+    table = spark.createDataFrame([(k, n.split("_L001_")[1]) for (_, k), n in names.items()], "output int, file string")
+    t = templates(spark, sf_dir, ORDERS).withColumn("seq_0", F.concat(F.substring("seq_0", 1, 9), F.lit("GAT"), F.substring("seq_0", 10, 9)))
+    return d.output_records(d.assign(t), ["read_key"]).join(F.broadcast(table), "output").select("read_key", "sample_ordinal", "file", "seq", "qual")
+
+
+OUTPUT_TYPES = f"""
+WITH {_cached_sql(ORDERS)}, q AS (SELECT *, concat(bqual, 'IIIIII') AS q0 FROM a), p AS (
+SELECT read_key, sample_ordinal, 'I1' AS f, bc AS seq, concat(substr(q0, 1, 9), substr(q0, 13, 6)) AS qual FROM q UNION ALL
+SELECT read_key, sample_ordinal, 'U1', substr(umi, 1, 3), substr(q0, 19, 3) FROM q UNION ALL
+SELECT read_key, sample_ordinal, 'S1', 'GAT', substr(q0, 10, 3) FROM q UNION ALL
+SELECT read_key, sample_ordinal, 'U2', substr(template, 11, 2), substr(tqual, 11, 2) FROM q UNION ALL
+SELECT read_key, sample_ordinal, 'S2', substr(template, 1, 4), substr(tqual, 1, 4) FROM q UNION ALL
+SELECT read_key, sample_ordinal, 'R1', concat(substr(template, 5, 6), substr(template, 13)), concat(substr(tqual, 5, 6), substr(tqual, 13)) FROM q)
+SELECT read_key, CAST(sample_ordinal AS INT) AS sample_ordinal, concat(f, '_001.fastq.gz') AS file, seq, qual FROM p"""
+
+
+#: Bases a third of the barcode, what is asked for and whether strictly, what is taken.
+CHOICES = (
+    (3, None, False, "precompute"),
+    (3, M.MatcherKind.CACHED, False, "precompute"),
+    (3, M.MatcherKind.CACHED, True, "cached"),
+    (5, None, False, "cached"),
+    (5, M.MatcherKind.PRECOMPUTE, False, "precompute"),
+)
+
+
+def matcher_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rule finds that is taken for short and long barcodes, without and with an override."""
+    out = []
+    for i, (times, asked, strict, _) in enumerate(CHOICES):
+        d = demultiplexer(spark, sf_dir, times, matcher=asked, strict_override=strict)
+        assigned = d.assign(templates(spark, sf_dir, ORDERS, times, keep=(), parts=("head", "seq")))
+        out.append(assigned.groupBy("sample_ordinal").agg(F.count(F.lit(1)).alias("n_reads")).select(F.lit(i).alias("choice"), "sample_ordinal", "n_reads"))
+    return reduce(DataFrame.unionByName, out)
+
+
+MATCHER_CHOICE = " UNION ALL ".join(
+    f"SELECT {i} AS choice, CAST(sample_ordinal AS INT) AS sample_ordinal, count(*) AS n_reads FROM (WITH {(_cached_sql if taken == 'cached' else _precompute_sql)(ORDERS, times=times)} SELECT sample_ordinal FROM a) z{i} GROUP BY sample_ordinal"
+    for i, (times, _, _, taken) in enumerate(CHOICES)
+)
+
+
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "parse_header": (parse_header, PARSE_HEADER),
     "rewrite_header": (rewrite_header, REWRITE_HEADER),
@@ -382,6 +487,11 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "semantic_barcode": (semantic_barcode, SEMANTIC_BARCODE),
     "coalesce_samples": (coalesce_samples, COALESCE_SAMPLES),
     "sample_pair_distances": (sample_pair_distances, SAMPLE_PAIR_DISTANCES),
+    "header_barcode": (header_barcode, HEADER_BARCODE),
+    "no_demultiplexing": (no_demultiplexing, NO_DEMULTIPLEXING),
+    "mask_per_fastq": (mask_per_fastq, MASK_PER_FASTQ),
+    "output_types": (output_types, OUTPUT_TYPES),
+    "matcher_choice": (matcher_choice, MATCHER_CHOICE),
 }
 
 
