@@ -6,7 +6,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from strandsort import __version__
+from strandsort import version
 from strandsort.options import parse_args
 from strandsort.run import run
 
@@ -14,7 +14,7 @@ from strandsort.run import run
 def main(argv: list[str] | None = None) -> int:
     argv = sys.argv[1:] if argv is None else argv
     if argv == ["--version"]:
-        print(__version__)
+        print(version())
         return 0
     try:
         options = parse_args(argv)

@@ -37,6 +37,8 @@ class Options:
     writer_threads: int = 5
     decompression_threads_per_reader: int = 4
     override_matcher: MatcherKind | None = None
+    #: The override also counts where it asks for the cached rule and barcodes are short.
+    strict_override: bool = False
     skip_read_name_check: bool = False
     sample_barcode_in_fastq_header: bool = False
     metric_prefix: str | None = None
@@ -92,7 +94,7 @@ def load_sheet(options: Options) -> tuple[list[S.Sample], Options]:
     """Samples, checked and with the undetermined one, and the options with those of the sheet's [Demux] section over them."""
     text = Path(options.sample_metadata).read_text()
     if not text.strip():
-        raise S.EmptySheet("The sample sheet was empty")
+        raise S.EmptySheet("There is nothing in the sample sheet")
     if any(line.startswith(("[Demux]", "[Data]")) for line in text.splitlines()):
         rows = S.records(text, trim=True)
         if (demux := S.find_section(rows, "[Demux]")) is not None:
@@ -100,10 +102,10 @@ def load_sheet(options: Options) -> tuple[list[S.Sample], Options]:
             try:
                 options = parse_args(args, options)
             except (ValueError, argparse.ArgumentError) as e:
-                raise S.DemuxOptionsError(f"Could not parse the demultiplexing options, {e}: {' '.join(args)}") from e
+                raise S.DemuxOptionsError(f"[Demux] has options that can't be read ({e}): {' '.join(args)}") from e
         data = S.find_section(rows, "[Data]")
         if data is None:
-            raise S.NoData("The '[Data]' section is missing")
+            raise S.NoData("The sheet has no [Data] section with samples")
         found = S.read_data_rows(rows[slice(*data)], data[0] + 1)
     else:
         found = S.parse_simple(text)

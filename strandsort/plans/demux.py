@@ -172,7 +172,10 @@ class Demultiplexer:
 
 
 def zip_reads(reads: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Join reads (keys, head, seq, qual) of several FASTQs by position; a read without its mates is an error."""
+    """Join reads (keys, head, seq, qual) of several FASTQs by position; a read without its mates is an error.
+
+    All rows that are read are checked. A later filter that no row without a mate can pass leaves those out before.
+    """
     joined = reads[0].select(*keys, *[F.col(c).alias(f"{c}_0") for c in ("head", "seq", "qual")])
     for i, r in enumerate(reads[1:], 1):
         joined = joined.join(r.select(*keys, *[F.col(c).alias(f"{c}_{i}") for c in ("head", "seq", "qual")]), keys, "full_outer")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -14,7 +13,7 @@ from strandsort.options import Options, load_sheet
 from strandsort.plans.demux import Demultiplexer, Rules
 from strandsort.read_structure import output_kinds
 from strandsort.samples import Sample
-from strandsort.sources import sink
+from strandsort.sources import files, sink
 from strandsort.sources.discovery import Group, resolve
 from strandsort.sources.fastq import read_templates
 
@@ -30,13 +29,13 @@ class Prepared:
 def prepare(options: Options) -> Prepared:
     """Everything that is checked before a read is looked at. Output types are those of the sheet's options, if it has some."""
     samples, options = load_sheet(options)
-    if not os.path.isdir(options.output_dir):
+    if not files.is_folder(options.output_dir):
         raise ValueError(f"Output folder does not exist: {options.output_dir}")
     groups = resolve(options.fastqs, options.read_structures, options.sample_barcode_in_fastq_header, options.lane)
     thresholds = tuple(options.mask_thresholds(len(groups)))
     rules = Rules(
         options.allowed_mismatches, options.min_delta, options.free_ns, options.max_no_calls, options.filter_control_reads, options.filter_failing_quality,
-        thresholds if any(thresholds) else (), options.override_matcher, False, options.skip_read_name_check, options.sample_barcode_in_fastq_header,
+        thresholds if any(thresholds) else (), options.override_matcher, options.strict_override, options.skip_read_name_check, options.sample_barcode_in_fastq_header,
     )
     plan = Demultiplexer(samples, [g.structure for g in groups], output_kinds(options.output_types), rules)
     return Prepared(options, samples, groups, plan)
@@ -59,19 +58,25 @@ def reports(spark: SparkSession, p: Prepared, assigned: DataFrame) -> dict[str,
 
 
 def run(spark: SparkSession, options: Options, records_per_task: int = 1_000_000) -> dict[str, int]:
-    """Demultiplex; records written by file name. Only a slim projection of the templates is kept for the reports."""
+    """Demultiplex; records written by file name.
+
+    The input is read once to count its lines, once for the outputs and once for a slim projection of all templates, kept
+    with their drop reasons, from which totals and reports are made.
+    """
     p = prepare(options)
-    templates = read_templates(spark, [g.files for g in p.groups], records_per_task)
-    assigned = p.plan.assign(templates)
+    checked = p.plan.checked(read_templates(spark, [g.files for g in p.groups], records_per_task))
+    told = p.plan.with_drop_reason(checked)
     names = sink.output_names(p.samples, p.plan.structures, p.plan.output_kinds)
-    counts = sink.write_outputs(p.plan.output_records(assigned, ["file_idx", "rec_idx"]), names, options.output_dir)
-    slim = p.plan.with_quality(assigned).select("sample_ordinal", "matched", "hamming_dist", "bc", "bc_delim", *R.QUALITY).persist(StorageLevel.MEMORY_AND_DISK)
-    path = lambda name: os.path.join(options.output_dir, (p.options.metric_prefix or "") + name)
+    kept = p.plan.assign_all(told.filter("drop_reason IS NULL"))
+    counts = sink.write_outputs(p.plan.output_records(kept, ["file_idx", "rec_idx"]), names, options.output_dir)
+    slim = p.plan.with_quality(p.plan.assign_all(told)).select("drop_reason", "sample_ordinal", "matched", "hamming_dist", "bc", "bc_delim", *R.QUALITY)
+    slim = slim.persist(StorageLevel.MEMORY_AND_DISK)
+    path = lambda name: f"{options.output_dir}/{p.options.metric_prefix or ''}{name}"
     try:
-        for name, (rows, columns) in reports(spark, p, slim).items():
+        totals = R.run_counts(slim)
+        sink.write_tsv(totals, totals.columns, path("metrics.tsv"))
+        for name, (rows, columns) in reports(spark, p, slim.filter("drop_reason IS NULL")).items():
             sink.write_tsv(rows, columns, path(name))
     finally:
         slim.unpersist()
-    totals = R.run_counts(p.plan.with_drop_reason(templates))
-    sink.write_tsv(totals, totals.columns, path("metrics.tsv"))
     return counts

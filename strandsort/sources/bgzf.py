@@ -48,6 +48,36 @@ def compress(parts: Iterator[bytes], level: int = 5) -> Iterator[bytes]:
         yield block(bytes(held), level)
 
 
+def next_block(stream: BinaryIO, at: int, end: int, span: int = 1 << 17) -> int:
+    """Where the first block begins that starts in [at, end); end if none does.
+
+    Its first bytes may also stand inside compressed data: a block counts if another one, or the file's end, follows it.
+    """
+
+    def header(place: int) -> bytes:
+        stream.seek(place)
+        return stream.read(HEADER)
+
+    def begins(head: bytes) -> bool:
+        return len(head) == HEADER and head[:4] == b"\x1f\x8b\x08\x04" and head[12:14] == b"BC"
+
+    while at < end:
+        stream.seek(at)
+        data = stream.read(span)
+        if not data:
+            return end
+        found = data.find(b"\x1f\x8b\x08\x04")
+        while found >= 0 and at + found < end:
+            head = header(at + found)
+            if begins(head):
+                after = header(at + found + struct.unpack_from("<H", head, 16)[0] + 1)
+                if not after or begins(after):
+                    return at + found
+            found = data.find(b"\x1f\x8b\x08\x04", found + 1)
+        at += max(1, len(data) - 3)
+    return end
+
+
 def blocks(stream: BinaryIO, at: int = 0, end: int | None = None) -> Iterator[tuple[int, int, bytes]]:
     """(start, size, data) of the blocks from a block's start on, up to ``end``."""
     stream.seek(at)

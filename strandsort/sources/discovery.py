@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import re
 from dataclasses import dataclass
 
 from strandsort.read_structure import KIND_OF_LETTER, KIND_ORDER, ReadStructure
+from strandsort.sources import files
 from strandsort.sources.fastq import first_record
 
 NAME = re.compile(r"(.*)_L00(\d)_([RIUS])(\d)_001\.fastq\.gz")
@@ -29,12 +29,9 @@ class Group:
 
 def find(path: str) -> list[InputFile]:
     """Files in a folder, or beside a prefix, that are named like sequencer output."""
-    folder, prefix = (path, "") if os.path.isdir(path) else os.path.split(path)
-    found = []
-    for e in sorted(os.scandir(folder or "."), key=lambda e: e.name):
-        if e.is_file() and e.name.startswith(prefix) and (m := NAME.fullmatch(e.name)):
-            found.append(InputFile(e.path, m[1], int(m[2]), KIND_OF_LETTER[m[3]], int(m[4])))
-    return found
+    folder, prefix = (path.rstrip("/"), "") if files.is_folder(path) else (path.rpartition("/")[0] or ("/" if path.startswith("/") else "."), path.rpartition("/")[2])
+    named = [(name, NAME.fullmatch(name)) for name in files.names_in(folder) if name.startswith(prefix)]
+    return [InputFile(f"{folder.rstrip('/')}/{name}", m[1], int(m[2]), KIND_OF_LETTER[m[3]], int(m[4])) for name, m in named if m]
 
 
 def from_prefixes(paths: list[str], lanes: list[int]) -> list[Group]:
@@ -47,7 +44,7 @@ def from_prefixes(paths: list[str], lanes: list[int]) -> list[Group]:
 
 def resolve(fastqs: list[str], structures: list[ReadStructure], barcode_in_header: bool, lanes: list[int]) -> list[Group]:
     """Groups of files with their read structures, checked: sizes, first names, barcode lengths."""
-    are_files = [os.path.isfile(p) for p in fastqs]
+    are_files = [files.is_file(p) for p in fastqs]
     if not fastqs:
         raise ValueError("Give at least one FASTQ or path prefix")
     if all(are_files):

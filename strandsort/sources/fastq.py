@@ -1,82 +1,131 @@
 """Block-gzip FASTQ files as a Spark data source, read by ranges of records.
 
 ``spark.read.format("fastq")`` with option ``groups``, a JSON list of lists of paths: the files of each FASTQ of a
-template, in order. Planning looks at line counts of blocks (``index`` builds them as a Spark job for large files), cuts
-each file at record boundaries into ranges of about ``records`` records, and each task reads the same range of all
-groups, so that the reads of a template meet without a shuffle. Files of unequal length are an error.
+template, in order. Planning needs the files' line counts: ``index`` counts them by a Spark job over ranges of bytes, each
+of which begins at its first compressed block. Files are cut at record boundaries into ranges of about ``records``
+records, and each task reads the same range of all groups, so that the reads of a template meet without a shuffle. Lines
+become Arrow columns a few thousand records at a time. Files of unequal length are an error.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from strandsort.sources import bgzf
+from strandsort.sources import bgzf, files
 
+#: (block start, lines before it) in ascending order; the last one is the file's end.
+Marks = list[tuple[int, int]]
 
-def line_index(path: str, every: int) -> list[tuple[int, int]]:
-    """(block start, lines before it) at about every so many lines, and (size, lines) at the end."""
-    marks, lines, last = [(0, 0)], 0, b""
-    end = 0
-    with open(path, "rb") as f:
-        for at, size, data in bgzf.blocks(f):
-            if lines - marks[-1][1] >= every:
+
+def count_range(path: str, start: int, end: int, every: int) -> tuple[Marks, int, bool | None]:
+    """Marks of the blocks that begin in a range of bytes, its lines, and whether its last byte ends a line (null: it has none)."""
+    marks, lines, last = [], 0, b""
+    with files.reading(path) as f:
+        first = bgzf.next_block(f, start, end)
+        for at, _, data in bgzf.blocks(f, first, end) if first < end else ():
+            if not marks or lines - marks[-1][1] >= every:
                 marks.append((at, lines))
             lines += data.count(b"\n")
-            last, end = data or last, at + size
-    return [*marks, (end, lines + (1 if last and not last.endswith(b"\n") else 0))]
-
-
-def index(spark: SparkSession, paths: list[str], records: int) -> dict[str, list[tuple[int, int]]]:
-    """line_index of each file, one task a file."""
-    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
+            last = data or last
+    return marks, lines, last.endswith(b"\n") if last else None
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [json.dumps(line_index(p, 4 * records)) for p in b.column("path").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(found, pa.string())], names=["path", "marks"])
 
-    return {r["path"]: [tuple(m) for m in json.loads(r["marks"])] for r in rows.mapInArrow(counted, "path string, marks string").collect()}
+def put_together(size: int, ranges: list[tuple[Marks, int, bool | None]]) -> Marks:
+    """The marks of a file from those of its ranges."""
+    out, before, closed = [], 0, True
+    for marks, lines, ends in ranges:
+        out += [(at, before + n) for at, n in marks]
+        before, closed = before + lines, closed if ends is None else ends
+    return [*(out or [(0, 0)]), (size, before + (not closed))]
 
 
-def lines_from(path: str, marks: list[tuple[int, int]], first: int) -> Iterator[bytes]:
-    """Lines from number ``first`` on."""
-    at, before = max((m for m in marks[:-1] if m[1] <= first), default=marks[0])
+def line_index(path: str, every: int) -> Marks:
+    size = files.size(path)
+    return put_together(size, [count_range(path, 0, size, every)])
 
-    def all_lines() -> Iterator[bytes]:
-        held = b""
-        with open(path, "rb") as f:
-            for _, _, data in bgzf.blocks(f, at):
-                *whole, held = (held + data).split(b"\n")
-                yield from whole
-        if held:
-            yield held
 
-    return itertools.islice(all_lines(), first - before, None)
+def index(spark: SparkSession, paths: list[str], records: int, range_bytes: int = 64 << 20) -> dict[str, Marks]:
+    """line_index of each file, counted by many tasks. The driver gets a few numbers for each range."""
+    sizes = {p: files.size(p) for p in paths}
+    ranges = [(p, at, min(at + range_bytes, n)) for p, n in sizes.items() for at in range(0, max(n, 1), range_bytes)]
+    rows = spark.createDataFrame(ranges, "path string, start long, stop long").repartition(len(ranges))
 
-
-def records_of(path: str, marks: list[tuple[int, int]], first: int, count: int) -> Iterator[tuple[str, str, str]]:
-    lines = lines_from(path, marks, 4 * first)
-    for _ in range(count):
-        four = [x.rstrip(b"\r").decode("ascii") for x in itertools.islice(lines, 4)]
-        if len(four) < 4 or not four[0].startswith("@") or not four[2].startswith("+") or len(four[1]) != len(four[3]):
-            raise ValueError(f"Malformed FASTQ record in {path}: {four}")
-        yield four[0][1:], four[1], four[3]
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [json.dumps(count_range(p, a, z, 4 * records)) for p, a, z in zip(*[b.column(c).to_pylist() for c in ("path", "start", "stop")], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("start"), pa.array(found, pa.string())], names=["path", "start", "found"])
+
+    by: dict[str, list] = {p: [] for p in paths}
+    for r in sorted(rows.mapInArrow(counted, "path string, start long, found string").collect(), key=lambda r: (r["path"], r["start"])):
+        by[r["path"]].append(json.loads(r["found"]))
+    return {p: put_together(sizes[p], [(list(map(tuple, m)), n, e) for m, n, e in found]) for p, found in by.items()}
+
+
+def record_columns(data: bytes, path: str) -> list[pa.Array]:
+    """head, seq and qual of records, from whole lines, four a record."""
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(raw == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    sizes = ends - starts - (raw[np.maximum(ends - 1, 0)] == 13)
+    wrong = (raw[starts[0::4]] != ord("@")) | (raw[starts[2::4]] != ord("+")) | (sizes[1::4] != sizes[3::4])
+    if wrong.any() or (raw > 127).any():
+        at = 4 * int(np.flatnonzero(wrong)[0]) if wrong.any() else 0
+        raise ValueError(f"Malformed FASTQ record in {path}: {data[starts[at] : ends[at + 3]]!r}")
+    lines = pa.Array.from_buffers(pa.large_utf8(), len(ends), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)])
+    part = lambda k: pc.utf8_rtrim(lines.take(pa.array(np.arange(k, len(ends), 4))), characters="\r\n")
+    return [x.cast(pa.string()) for x in (pc.utf8_slice_codeunits(part(0), 1), part(1), part(3))]
+
+
+def records_of(path: str, marks: Marks, first: int, count: int, at_once: int = 4096) -> Iterator[list[pa.Array]]:
+    """head, seq and qual of ``count`` records from number ``first`` on, ``at_once`` at a time."""
+    at, before = max((m for m in marks[:-1] if m[1] <= 4 * first), default=marks[0])
+    skip, held, lines, left = 4 * first - before, [], 0, count
+
+    def taken(n: int) -> bytes:
+        """The first n lines of what is held; the rest stays."""
+        nonlocal held, lines
+        data = b"".join(held)
+        to = int(np.flatnonzero(np.frombuffer(data, np.uint8) == 10)[n - 1]) + 1 if n else 0
+        held, lines = [data[to:]], lines - n
+        return data[:to]
+
+    with files.reading(path) as f:
+        for _, _, data in bgzf.blocks(f, at, marks[-1][0]):
+            held.append(data)
+            lines += data.count(b"\n")
+            if skip:
+                n = min(skip, lines)
+                taken(n)
+                skip -= n
+            while not skip and left and lines >= 4 * min(at_once, left):
+                n = min(at_once, left)
+                yield record_columns(taken(4 * n), path)
+                left -= n
+            if not left:
+                return
+    if any(held) and not b"".join(held[-1:]).endswith(b"\n"):
+        held.append(b"\n")
+        lines += 1
+    if lines < 4 * left:
+        raise ValueError(f"Malformed FASTQ record in {path}: it is cut off")
+    yield record_columns(taken(4 * left), path)
 
 
 def first_record(path: str) -> tuple[str, str, str]:
-    marks = [(0, 0), (0, 0)]
-    with open(path, "rb") as f:
+    with files.reading(path) as f:
         bgzf.check(f.read(bgzf.HEADER), path)
     try:
-        return next(records_of(path, marks, 0, 1))
+        head, seq, qual = next(records_of(path, [(0, 0), (files.size(path), 4)], 0, 1))
     except ValueError as e:
         raise ValueError(f"FASTQ has no whole record: {path}") from e
+    return head[0].as_py(), seq[0].as_py(), qual[0].as_py()
 
 
 class Range(InputPartition):
@@ -93,20 +142,24 @@ class FastqReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out = []
-        for i, files in enumerate(zip(*self.groups, strict=True)):
-            lines = {self.marks[p][-1][1] for p in files}
+        for i, together in enumerate(zip(*self.groups, strict=True)):
+            lines = {self.marks[p][-1][1] for p in together}
             if len(lines) > 1 or next(iter(lines)) % 4:
-                raise ValueError(f"FASTQs have different numbers of records or a record is cut off: {', '.join(files)}")
+                raise ValueError(f"FASTQs have different numbers of records or a record is cut off: {', '.join(together)}")
             total = lines.pop() // 4
             out += [Range(i, k, min(self.records, total - k)) for k in range(0, total, self.records)]
         return out or [Range(0, 0, 0)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.count:
             return
-        paths = [g[partition.file] for g in self.groups]
-        for k, reads in enumerate(zip(*[records_of(p, self.marks[p], partition.first, partition.count) for p in paths], strict=True)):
-            yield (partition.file, partition.first + k, *itertools.chain.from_iterable(reads))
+        paths, at = [g[partition.file] for g in self.groups], partition.first
+        names = ["file_idx", "rec_idx", *[f"{part}_{i}" for i in range(len(paths)) for part in ("head", "seq", "qual")]]
+        for reads in zip(*[records_of(p, self.marks[p], partition.first, partition.count) for p in paths], strict=True):
+            n = len(reads[0][0])
+            numbers = [pa.array(np.full(n, partition.file, np.int32)), pa.array(np.arange(at, at + n))]
+            yield pa.RecordBatch.from_arrays([*numbers, *[c for r in reads for c in r]], names=names)
+            at += n
 
 
 class FastqSource(DataSource):

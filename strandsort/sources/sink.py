@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import csv
+import io
 import itertools
 import math
-import os
-import shutil
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandsort.read_structure import FILE_LETTER, ReadStructure, outputs
 from strandsort.samples import Sample
-from strandsort.sources import bgzf
+from strandsort.sources import bgzf, files
 
 
 def output_name(sample: Sample, kind: str, number: int) -> str:
@@ -34,48 +34,80 @@ def write_outputs(records: DataFrame, names: dict[tuple[int, int], str], folder:
 
     Rows are dealt by output and range of records, so that a sample with most of the reads is written by many tasks.
     Each task writes its range as a fragment of compressed blocks, first under a name of its own attempt, then renamed;
-    a task that runs again writes the same bytes. Fragments are put together in the order of records: block gzip files
-    can be concatenated. Names without records get an empty file. The folder is one that all executors share.
+    a task that runs again writes the same bytes. Block gzip files can be concatenated: a second job puts the fragments of
+    each file together, a task a file. The driver sees the fragments' names and counts only. Names without records get an
+    empty file. The folder is one that all executors share, on a mounted file system or in an object store.
     """
-    scratch = os.path.join(folder, f".parts-{uuid.uuid4().hex}")
-    os.makedirs(scratch)
+    scratch = f"{folder}/.parts-{uuid.uuid4().hex}"
+    files.make_folder(scratch)
     order = ["sample_ordinal", "output", "file_idx", "_part"]
+    text = F.concat(F.lit("@"), "head", F.lit("\n"), "seq", F.lit("\n+\n"), "qual", F.lit("\n")).alias("record")
     dealt = records.withColumn("_part", F.floor(F.col("rec_idx") / rows_per_part)).repartition(*order).sortWithinPartitions(*order, "rec_idx")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (dict(zip(b.column_names, r, strict=True)) for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
-        for key, group in itertools.groupby(rows, key=lambda r: tuple(r[k] for k in order)):
-            path = os.path.join(scratch, "{:06d}-{:03d}-{:06d}-{:08d}".format(*key))
-            attempt, n = f"{path}.{uuid.uuid4().hex}", 0
+        for key, group in itertools.groupby(runs(batches, order), key=lambda run: run[0]):
+            path, n = f"{scratch}/{'{:06d}-{:03d}-{:06d}-{:08d}'.format(*key)}", 0
 
-            def lines(group=group) -> Iterator[bytes]:
+            def data(group=group) -> Iterator[bytes]:
                 nonlocal n
-                for r in group:
-                    n += 1
-                    yield f"@{r['head']}\n{r['seq']}\n+\n{r['qual']}\n".encode()
-
-            with open(attempt, "wb") as out:
-                for block in bgzf.compress(lines()):
-                    out.write(block)
-            os.replace(attempt, path)
+                for _, rows, whole in group:
+                    n += rows
+                    yield whole
+
+            put(path, bgzf.compress(data()))
             yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([path], pa.string()), pa.array([n], pa.int64())], names=["sample_ordinal", "output", "path", "n"])
 
-    parts = dealt.select(*order, "head", "seq", "qual").mapInArrow(written, "sample_ordinal int, output int, path string, n long").collect()
+    parts = dealt.select(*order, text).mapInArrow(written, "sample_ordinal int, output int, path string, n long").collect()
     by: dict[tuple[int, int], list[tuple[str, int]]] = {}
     for p in parts:  # a row for each fragment, a few a file
         by.setdefault((p["sample_ordinal"], p["output"]), []).append((p["path"], p["n"]))
-    counts = {}
-    for key, name in names.items():
-        target = os.path.join(folder, name)
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        with open(target, "wb") as out:
-            for path, _ in sorted(by.get(key, [])):
-                with open(path, "rb") as part:
-                    shutil.copyfileobj(part, out, 1 << 20)
-            out.write(bgzf.EOF)
-        counts[name] = sum(n for _, n in by.get(key, []))
-    shutil.rmtree(scratch)
-    return counts
+    targets = {key: f"{folder}/{name}" for key, name in names.items()}
+    for parent in {t.rpartition("/")[0] for t in targets.values()}:
+        files.make_folder(parent)
+    put_together(records.sparkSession, [(t, [path for path, _ in sorted(by.get(key, []))]) for key, t in targets.items()])
+    files.remove_folder(scratch)
+    return {name: sum(n for _, n in by.get(key, [])) for key, name in names.items()}
+
+
+def runs(batches: Iterator[pa.RecordBatch], order: list[str]) -> Iterator[tuple[tuple, int, bytes]]:
+    """(key, rows, text) of each stretch of equal keys in sorted batches; its records lie side by side in Arrow's memory."""
+    for b in batches:
+        keys = np.stack([np.asarray(b.column(c), np.int64) for c in order], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+        text = b.column("record").cast(pa.large_string())
+        at = np.frombuffer(text.buffers()[1], np.int64)[text.offset :]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if y > x:
+                yield tuple(keys[x].tolist()), y - x, text.buffers()[2].slice(int(at[x]), int(at[y] - at[x])).to_pybytes()
+
+
+def put(path: str, data: Iterator[bytes]) -> None:
+    """Write under a name of this attempt, then rename, so that the path never holds half a file."""
+    attempt = f"{path}.{uuid.uuid4().hex}"
+    with files.writing(attempt) as out:
+        for block in data:
+            out.write(block)
+    files.move(attempt, path)
+
+
+def put_together(spark: SparkSession, targets: list[tuple[str, list[str]]]) -> None:
+    """Write each (path, fragments) as one file, a task for each."""
+    rows = spark.createDataFrame(targets, "path string, parts array<string>").repartition(len(targets), "path")
+
+    def copied(parts: list[str]) -> Iterator[bytes]:
+        for part in parts:
+            with files.reading(part) as f:
+                while block := f.read(1 << 20):
+                    yield block
+        yield bgzf.EOF
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, parts in zip(b.column("path").to_pylist(), b.column("parts").to_pylist(), strict=True):
+                put(path, copied(parts))
+            yield b.select(["path"])
+
+    rows.mapInArrow(joined, "path string").count()
 
 
 def text_of(value) -> str:
@@ -86,8 +118,8 @@ def text_of(value) -> str:
 
 def write_tsv(rows: DataFrame, columns: list[str], path: str) -> None:
     """A report as one file. Reports have a row for each sample, project or barcode that is asked for."""
-    with open(path, "w", newline="") as out:
-        w = csv.writer(out, delimiter="\t", lineterminator="\n")
-        w.writerow(columns)
-        for r in rows.toLocalIterator():
-            w.writerow([text_of(r[c]) for c in columns])
+    with files.writing(path) as out:
+        for line in [columns, *([text_of(r[c]) for c in columns] for r in rows.toLocalIterator())]:
+            text = io.StringIO(newline="")
+            csv.writer(text, delimiter="\t", lineterminator="\n").writerow(line)
+            out.write(text.getvalue().encode())

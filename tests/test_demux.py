@@ -193,3 +193,130 @@ def test_zip_join_needs_all_mates(spark):
     assert zip_reads([a, a], ["k"]).count() == 2
     with pytest.raises(Exception, match="different numbers"):
         zip_reads([a, a.limit(1)], ["k"]).collect()
+
+
+def many(n, length, rng):
+    """Barcodes with pairwise distances of three or more."""
+    out = []
+    while len(out) < n:
+        b = "".join(rng.choice("ACGT") for _ in range(length))
+        if all(S.hamming(b, o) > 3 for o in out[-200:]):
+            out.append(b)
+    return out
+
+
+@pytest.mark.parametrize("kind", list(MatcherKind))
+def test_many_samples(spark, kind):
+    """More samples than have a column each: by distinct barcodes, with the same results."""
+    rng = random.Random(9)
+    expected = many(1536, 16, rng)
+    seen = [e for e in expected[:40]] + ["".join(rng.choice("ACGTN") if rng.random() < 0.1 else c for c in rng.choice(expected)) for _ in range(200)] + ["", "ACGT"] + [expected[0]] * 50
+    df = spark.createDataFrame([(s,) for s in seen], "bc string")
+    want = sorted((s, *model(kind, s, expected, 1, 2, 1)) for s in seen)
+    got = sorted((r.bc, r.sample_ordinal, r.hamming_dist) for r in with_match(df, "bc", expected, kind, 1, 2, 1).collect())
+    assert sorted(map(str, got)) == sorted(map(str, want)) and sum(x[1] is not None for x in want) > 100
+
+
+def test_own_matcher(spark):
+    """A matcher is a function of distinct barcodes: here one that takes those that begin like a sample's."""
+    def by_start(seen, expected):
+        starts = spark.createDataFrame([(e[:3], i) for i, e in enumerate(expected)], "s string, sample_ordinal int")
+        return seen.join(starts, F.substring("bc", 1, 3) == F.col("s")).select("bc", "sample_ordinal", F.lit(0).alias("hamming_dist"))
+
+    samples = [S.Sample("a", barcode="AAAA"), S.Sample("b", barcode="CCCC", ordinal=1), S.Sample("u", barcode="NNNN", ordinal=2)]
+    t = spark.createDataFrame([(HEAD, s + "G", "IIIII") for s in ("AAAT", "CCCC", "GGGG", "NNNN", "AAAT")], "head_0 string, seq_0 string, qual_0 string")
+    d = Demultiplexer(samples, [ReadStructure.parse("4B+T")], ["T"], Rules(matcher=by_start))
+    assert sorted((r.bc, r.sample_ordinal, r.matched) for r in d.assign(t).collect()) == [("AAAT", 0, True), ("AAAT", 0, True), ("CCCC", 1, True), ("GGGG", 2, False), ("NNNN", 2, False)]
+
+
+def test_checks_are_not_pruned(spark):
+    from strandsort.operators.metrics import per_sample_counts
+
+    samples = [S.Sample("a", barcode="AAAA"), S.Sample("u", barcode="NNNN", ordinal=1)]
+    row = lambda a, b, q="IIIII": (f"{a} 1:N:0:N", "AAAAG", q, f"{b} 2:N:0:N", "ACG", "III")
+    schema = ", ".join(f"{p}_{i} string" for i in range(2) for p in ("head", "seq", "qual"))
+    d = Demultiplexer(samples, [ReadStructure.parse("4B+T"), ReadStructure.parse("+T")])
+    good, bad = spark.createDataFrame([row(HEAD, HEAD)], schema), spark.createDataFrame([row(HEAD, HEAD), row(HEAD, HEAD + "1")], schema)
+    assert d.assign(good).count() == 1 and Demultiplexer(samples, d.structures, ["T"], Rules(skip_read_name_check=True)).assign(bad).count() == 2
+    for ask in (lambda: d.assign(bad).count(), lambda: per_sample_counts(d.assign(bad)).collect(), lambda: d.output_records(d.assign(bad), []).count()):
+        with pytest.raises(Exception, match="Read names differ"):
+            ask()
+    a = spark.createDataFrame([(0, "h", "A", "I"), (1, "h", "A", "I")], "k int, head string, seq string, qual string")
+    for ask in (lambda z: z.count(), lambda z: z.select("seq_0", "seq_1").collect(), lambda z: z.filter("k = 1").count()):
+        with pytest.raises(Exception, match="different numbers"):
+            ask(zip_reads([a, a.limit(1)], ["k"]))
+    low = spark.createDataFrame([row(HEAD, HEAD, "IIII\x1f")], schema)
+    for q in (G.q20_bases, G.q30_bases, G.quality_sum):
+        with pytest.raises(Exception, match="Quality below 33"):
+            low.select(q(F.col("qual_0"))).collect()
+    with pytest.raises(Exception, match="Quality below 33"):
+        per_sample_counts(d.with_quality(d.assign(low))).collect()
+
+
+def test_high_thresholds_mask_all(spark):
+    df = spark.createDataFrame([("ACGT", "~I!~")], "s string, q string")
+    assert tuple(df.select(*[G.mask(F.col("s"), F.col("q"), t) for t in (93, 94, 223, 224, 255)]).first()) == ("ANNT", *["NNNN"] * 4)
+
+
+def test_source_by_ranges_of_bytes(spark, tmp_path):
+    """Every way to cut a file gives its records; URIs are read and written like paths."""
+    from strandsort.sources import fastq, files
+
+    rng = random.Random(5)
+    for name, n, end in (("a", 3000, "\n"), ("b", 3000, ""), ("none", 0, "\n")):
+        rows = [(f"{HEAD}{i} 1:N:0:N", "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 200))), "") for i in range(n)]
+        rows = [(h, s, "".join(chr(33 + rng.randrange(60)) for _ in s)) for h, s, _ in rows]
+        data = "\n".join(f"@{h}\r\n{s}\n+\n{q}" for h, s, q in rows).encode() + (end.encode() if rows else b"")
+        path = str(tmp_path / f"{name}.fastq.gz")
+        with open(path, "wb") as out:
+            for b in bgzf.compress(iter([data])):
+                out.write(b)
+            out.write(bgzf.EOF)
+        for size in (9_000, 50_000, 1 << 30):
+            marks = fastq.index(spark, [path], 100, size)[path]
+            assert marks[-1] == (files.size(path), 4 * n) and marks[-1] == fastq.line_index(path, 400)[-1]
+            for first, count in ((0, n), (1, n // 2), (n // 3, n - n // 3)):
+                got = [r for part in fastq.records_of(path, marks, first, count, 170) for r in zip(*[c.to_pylist() for c in part])] if count else []
+                assert got == rows[first : first + count]
+    assert fastq.read_templates(spark, [[f"file://{tmp_path}/a.fastq.gz"], [f"file://{tmp_path}/b.fastq.gz"]], 700).count() == 3000
+    (tmp_path / "bad.gz").write_bytes(bgzf.block(b"@h\nAC\n+\nI\n") + bgzf.EOF)
+    with pytest.raises(ValueError, match="no whole record"):
+        fastq.first_record(str(tmp_path / "bad.gz"))
+
+
+def test_outputs_go_to_a_uri(spark, tmp_path):
+    fq = write_fastq(tmp_path / "x.fastq.gz", [(f"{HEAD}{i} 1:N:0:N", ("AAAA" if i % 3 else "CCCC") + "ACGT", "IIIIIIII") for i in range(50)])
+    (tmp_path / "out").mkdir()
+    o = Options([fq], sheet(tmp_path / "s.csv", ["a,AAAA", "b,GGGG"]), [ReadStructure.parse("4B+T")], f"file://{tmp_path}/out")
+    counts = run(spark, o, records_per_task=7)
+    assert sum(counts.values()) == 50 and counts["b_S2_L001_R1_001.fastq.gz"] == 0
+    assert [h.split()[0] for h, _, _ in read_fastq(tmp_path / "out" / "a_S1_L001_R1_001.fastq.gz")] == [f"{HEAD}{i}" for i in range(50) if i % 3]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted([*counts, "metrics.tsv", "most_frequent_unmatched.tsv", "per_project_metrics.tsv", "per_sample_metrics.tsv"])
+
+
+def test_running_counts_of_a_stream(spark, tmp_path):
+    from strandsort.operators.metrics import per_sample_counts
+    from strandsort.streaming.runs import running_counts
+
+    samples = [S.Sample("a", barcode="AAAA"), S.Sample("u", barcode="NNNN", ordinal=1)]
+    d = Demultiplexer(samples, [ReadStructure.parse("4B+T")])
+    schema = "head_0 string, seq_0 string, qual_0 string"
+    batches = [[(HEAD, s, "I" * len(s)) for s in seqs] for seqs in (("AAAAC", "AAATC", "CCCCC"), ("AAAAG", "GGGGG"))]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = running_counts(stream, d).writeStream.outputMode("complete").format("memory").queryName(f"counts{i}").option("checkpointLocation", str(tmp_path / f"c{i}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        want = per_sample_counts(d.with_quality(d.assign(spark.createDataFrame([r for b in batches[: i + 1] for r in b], schema))))
+        assert sorted(map(str, spark.table(f"counts{i}").collect())) == sorted(map(str, want.collect()))
+
+
+def test_numbering(spark):
+    from strandsort.operators.numbering import numbered
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(50), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(5)
+    got = sorted((r.n, r.a, r.b) for r in numbered(df, ["a", "b"], "n").collect())
+    assert got == [(i, *r) for i, r in enumerate(sorted(rows))]
+    assert numbered(df.limit(0), ["a", "b"], "n").count() == 0
