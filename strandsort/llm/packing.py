@@ -48,9 +48,8 @@ def tokenised(documents: DataFrame, plan: Plan) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for first, texts in W.pieces(batch.column("text")):
-                ids_of = tokens.ids([t or "" for t in texts.to_pylist()])
-                for doc_id, ids in zip(batch.column("doc_id").slice(first, len(texts)).to_pylist(), ids_of, strict=True):
-                    ids += end
+                for doc_id, text in zip(batch.column("doc_id").slice(first, len(texts)).to_pylist(), texts.to_pylist(), strict=True):
+                    ids = tokens.ids(text or "") + end
                     for at in range(0, len(ids), size):
                         piece = ids[at : at + size]
                         rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
