@@ -8,25 +8,26 @@ from pyspark.sql import functions as F
 from strandsort.llm.common import cut
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     """(node, component) for every node of the edges (a, b); the component is its least node.
 
-    Alternates large-star and small-star steps, each of which hangs neighbours on the least one known, until the edge
-    list stays as it is: O(log n) rounds on any graph. A node with many neighbours is a key of ordinary joins and
-    aggregations, which combine before the shuffle and split when skewed.
+    Alternates large-star and small-star steps, each of which hangs neighbours on the least one known, until all that is
+    left are stars: every node has either one neighbour, a lesser one, or greater ones only. O(log n) rounds on any graph.
+
+    A node may have very many neighbours. Its least one is found by aggregations that combine before the shuffle. Then
+    the table of least neighbours, one row a node, is joined to the edges: broadcast up to ``broadcast_rows`` edges
+    (16 bytes a row), and beyond that by a shuffle join, whose partitions adaptive execution splits where one is skewed.
     """
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    known = None
+    held = (lambda df: F.broadcast(df)) if edges.count() <= broadcast_rows else (lambda df: df)  # rounds never add edges
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        edges = cut(small.select("a", F.col("m").alias("b")).union(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if state == known:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = cut(both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")))
+        if near.filter("NOT (low > a OR (low = high AND low < a))").isEmpty():
             break
-        known = state
-    found = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return found.union(found.select(F.col("component").alias("node"), "component").distinct())
+        least = near.select("a", F.least("low", "a").alias("m"))
+        large = both.join(held(least), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(held(low), "a")
+        edges = cut(small.select(F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")))
+    return near.select(F.col("a").alias("node"), F.least("low", "a").alias("component"))

@@ -2,10 +2,12 @@
 
 Method. One pass over the texts gives each a digest of its words and a signature of ``trees * depth`` minima. Texts with
 equal words form a class (a node); everything after works on one row per class. Each tree is a prefix trie of signature
-parts: texts that share a prefix of length k meet in one of its nodes. Matching starts at the deepest prefixes and
-shortens them by one symbol at a time until the estimated recall (Horvitz-Thompson, from the similarities of the pairs
-found at that level) reaches the target. Pairs whose estimated similarity is far below the threshold are dropped; the
-rest make clusters, and within clusters every pair is compared by its exact shingle sets.
+parts: texts that share a prefix of length k meet in one of its nodes. What meets at a prefix also meets at each shorter
+one, so that matching starts at the longest prefixes at which a pair right at the threshold is met with the target recall
+or more. From there prefixes are shortened by one symbol at a time while the estimated recall of the pairs found
+(Horvitz-Thompson over their similarities, each pair once, those a little below the threshold by their signatures too) is
+below the target. Pairs whose estimated similarity is far below the threshold are dropped; the rest make clusters, and
+within clusters every pair is compared by its exact shingle sets.
 
 A group of any size is dealt out in blocks: each task compares two blocks and returns one row per text (sums of links
 and the least text it is connected with), so that no pairs are written and no group meets in one task.
@@ -38,19 +40,25 @@ class Forest:
     threshold: float = 0.8
     trees: int = 16
     depth: int = 6
-    target_recall: float = 0.998
+    #: Of pairs at the threshold: 16 trees reach it at prefixes of four symbols (0.9998).
+    target_recall: float = 0.9995
     #: Pairs with a similarity of their signatures below threshold - slack are no candidates (five standard deviations).
     slack: float = 0.2
-    #: Texts in a block; a task holds two blocks.
-    block: int = 256
+    #: Texts in a block; a task holds two blocks of signatures, or of shingle sets of half as many texts.
+    block: int = 512
     seed: int = 11
     #: Up to so many ids are broadcast (24 bytes each); more are joined by a shuffle.
-    broadcast_rows: int = 1_000_000
+    broadcast_rows: int = 500_000
 
     def meets(self, similarity: np.ndarray, k: int) -> np.ndarray:
         """Chance that two texts share a prefix of length k in one tree or more."""
         return 1 - (1 - similarity**k) ** self.trees
 
+    @property
+    def first_prefix(self) -> int:
+        """The longest prefix at which pairs at the threshold reach the target recall; 1 if none does."""
+        return max((k for k in range(1, self.depth + 1) if self.meets(self.threshold, k) >= self.target_recall), default=1)
+
 
 SIGNED = "doc_id long, key long, node long, n long, sig binary"
 
@@ -101,13 +109,14 @@ def level(nodes: DataFrame, forest: Forest, k: int) -> DataFrame:
     full = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     dealt = blocks(met.join(full, "bucket"), "bucket", forest.block).join(nodes.select("node", "sig"), "node")
     m, floor, order = forest.trees * forest.depth, forest.threshold - forest.slack, ["bucket", "lo", "hi"]
+    border = forest.threshold - (forest.threshold * (1 - forest.threshold) / m) ** 0.5  # one standard deviation lower
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in W.whole_groups(batches, order):
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, m)
             node, own, lo, hi = (np.asarray(t.column(c)) for c in ("node", "own", "lo", "hi"))
             b = W.bounds(t, order)
-            a_s, b_s, found, expected = [], [], 0, 0.0
+            a_s, b_s, found, expected = [], [], 0.0, 0.0
             for x, y in zip(b[:-1], b[1:], strict=True):
                 step = max(1, 60_000 // (y - x))
                 for i in range(x, y - 1, step):
@@ -120,9 +129,11 @@ def level(nodes: DataFrame, forest: Forest, k: int) -> DataFrame:
                     p, q, same = p[keep], q[keep], same[keep]
                     a_s.append(p)
                     b_s.append(q)
-                    near = same[same >= forest.threshold]
-                    if len(near):  # in how many trees the pair meets makes no difference to the ratio of the sums
-                        found, expected = found + len(near), expected + float((1 / forest.meets(near, k)).sum())
+                    near = same >= border
+                    if near.any():  # a pair meets in one tree or more, and counts once over all of them
+                        alike = (sig[p[near]] == sig[q[near]]).reshape(-1, forest.trees, forest.depth)[:, :, :k].all(axis=2)
+                        once = 1 / np.maximum(1, alike.sum(axis=1))
+                        found, expected = found + float(once.sum()), expected + float((once / forest.meets(same[near], k)).sum())
             p, q = np.concatenate(a_s or [np.zeros(0, int)]), np.concatenate(b_s or [np.zeros(0, int)])
             root = node[W.roots(len(node), p, q, node)]
             far = root != node
@@ -130,31 +141,34 @@ def level(nodes: DataFrame, forest: Forest, k: int) -> DataFrame:
                 [
                     pa.array([*node[far].tolist(), None], pa.int64()),
                     pa.array([*root[far].tolist(), None], pa.int64()),
-                    pa.array([0] * int(far.sum()) + [found], pa.int64()),
+                    pa.array([0.0] * int(far.sum()) + [found], pa.float64()),
                     pa.array([0.0] * int(far.sum()) + [expected], pa.float64()),
                 ],
                 names=["a", "b", "found", "expected"],
             )
 
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(linked, "a long, b long, found long, expected double")
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(linked, "a long, b long, found double, expected double")
 
 
 def clusters(nodes: DataFrame, forest: Forest) -> DataFrame:
     """(node, component) of candidates, shortening the prefixes until the target recall."""
-    edges = None
-    for k in range(forest.depth, 0, -1):
+    for k in range(forest.first_prefix, 0, -1):
         here = cut(level(nodes, forest, k))
-        met = here.filter("a IS NOT NULL").select("a", "b")
-        edges = met if edges is None else edges.union(met)
         found, expected = here.agg(F.sum("found"), F.sum("expected")).first()
         if not found or found / expected >= forest.target_recall:
             break
-    return components(edges)
+    return components(here.filter("a IS NOT NULL").select("a", "b"), forest.broadcast_rows)
+
+
+def held(groups: DataFrame, members: DataFrame, forest: Forest) -> DataFrame:
+    """A table with a row for each group of members, which may be large: broadcast up to a bound, so that none meets in one task."""
+    return F.broadcast(groups) if members.count() <= forest.broadcast_rows else groups
 
 
 def verified(documents: DataFrame, nodes: DataFrame, near: DataFrame, forest: Forest) -> DataFrame:
     """(node, root, links): exact links to other classes, in rows of theirs, and the least node connected; a row per block pair."""
-    members = cut(near.join(near.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").join(nodes.select("node", "first_id", "rows"), "node"))
+    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    members = cut(near.join(held(sizes, near, forest), "component").join(nodes.select("node", "first_id", "rows"), "node"))
     ids = members.select("first_id").distinct()
     if ids.count() <= forest.broadcast_rows:
         ids = F.broadcast(ids)
@@ -228,12 +242,14 @@ def classes(documents: DataFrame, id_col: str, text_col: str, forest: Forest) ->
     signed = cut(signatures(docs, forest))
     nodes = cut(signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"), F.first("sig").alias("sig")))
     pairs = cut(verified(docs, nodes, clusters(nodes, forest), forest))
-    joined = components(pairs.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    joined = components(pairs.select(F.col("node").alias("a"), F.col("root").alias("b")), forest.broadcast_rows)
     links = pairs.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.drop("sig").join(links, "node", "left").join(joined, "node", "left")
-    known = known.withColumn("component", F.coalesce("component", "node"))
-    heads = known.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    known = cut(known.join(heads, "component").select("node", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links")))
+    linked = joined.join(nodes.select("node", "first_id"), "node")
+    heads = linked.groupBy("component").agg(F.min("first_id").alias("class_id"))
+    linked = linked.join(held(heads, joined, forest), "component").select("node", "component", "class_id", F.lit(True).alias("is_linked"))
+    known = nodes.drop("sig").join(links, "node", "left").join(linked, "node", "left")
+    class_id = F.when(F.col("is_linked"), F.col("class_id")).otherwise(F.col("first_id"))
+    known = cut(known.select("node", F.coalesce("component", "node").alias("component"), class_id.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links")))
     full, empty = signed.filter("n > 0").select("doc_id", "key", "node"), signed.filter("n = 0")
     alone = empty.select("doc_id", "key", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return full.join(known, "node").select("doc_id", "key", "component", "class_id", "n_links").union(alone)
