@@ -6,7 +6,8 @@ floor(max_edits * n) word insertions, deletions and substitutions of the item.
 
 Method. The CGK walk reads a sequence with a pointer: step j copies the word under the pointer and moves on if a random
 bit, chosen by j and the word, says so. Two sequences at edit distance d come out at a Hamming distance of O(d^2). Each
-repetition draws a walk and a few of its first 3n / 2 steps (on average it reads a word in two); an item and a window whose sampled words are equal are candidates.
+repetition draws a walk and a few of its first 3n / 2 steps (on average it reads a word in two); an item and a window
+whose sampled words are equal are candidates.
 Repetitions are added until items that were edited at random up to the allowed distance are met with the target recall.
 Candidates are verified by the exact edit distance.
 
@@ -16,8 +17,8 @@ which one end is missing, as the pointers part at once; so what they have not me
 that pass this filter, in the order of the least distance that their common pairs allow, until no window left can be
 nearer than the best one found. The walks find most matches cheaply; the result does not depend on their recall.
 
-The benchmark is bounded by ``block_words``: it is collected to the driver in blocks of that many words at most, and the
-documents are scanned once for each block. Nothing else leaves the executors but matches.
+The benchmark is dealt into blocks of ``block_words`` words at most. The driver compiles one at a time and broadcasts it,
+and the documents are scanned once for each block. Nothing else leaves the executors but matches.
 
 Edge cases: a null or empty text matches nothing, nor does an item without words. A text shorter than an item is one
 window. Repeated rows are judged alike. Equal items each match. Only ids and texts are read. An item with more words
@@ -47,7 +48,8 @@ class Search:
     #: Words sampled from an embedding.
     sampled: int = 2
     target_recall: float = 0.999
-    max_repetitions: int = 256
+    #: Lengths that would need more walks get so many; what those miss is found by the exact filter and verification alone.
+    walks: int = 256
     #: Edited copies of items, on which the recall is measured.
     trials: int = 400
     block_words: int = 200_000
@@ -118,7 +120,10 @@ def pair_hash(h: np.ndarray) -> np.ndarray:
 
 
 def enough_repetitions(seq: np.ndarray, n: int, search: Search) -> int:
-    """Twice the repetitions after which the share of randomly edited items that were met reaches the target."""
+    """Twice the repetitions after which the share of randomly edited items that were met reaches the target, or all walks.
+
+    This decides who finds a window, not whether it is found: verify_rest() looks at all that the walks have not met.
+    """
     if not search.reach(n):
         return 1
     rng = np.random.default_rng((search.seed, n))
@@ -137,8 +142,8 @@ def enough_repetitions(seq: np.ndarray, n: int, search: Search) -> int:
     while True:
         walks = Walks(n, tries, search)
         met = np.logical_or.accumulate(walks.keys(edited) == walks.keys(seq)[:, which], axis=0).mean(axis=1)
-        if met[-1] >= search.target_recall or tries >= search.max_repetitions:
-            return min(search.max_repetitions, 2 * int(np.searchsorted(met, search.target_recall) + 1))
+        if met[-1] >= search.target_recall or tries >= search.walks:
+            return min(search.walks, 2 * int(np.searchsorted(met, search.target_recall) + 1))
         tries *= 2
 
 
@@ -170,11 +175,17 @@ class Pairs:
             self.of[c, which] = True
             self.which.append(which)
             self.item.append(item)
-        self.mask, self.bits = np.uint64(size - 1), np.zeros(size, bool)
-        self.bits[(self.values & self.mask).astype(np.int64)] = True
+        self.mask = np.uint64(size - 1)
+        self.bits: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"bits": None}
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the hashes are known pairs, and which."""
+        if self.bits is None:
+            self.bits = np.zeros(int(self.mask) + 1, bool)
+            self.bits[(self.values & self.mask).astype(np.int64)] = True
         at = np.flatnonzero(self.bits[(h & self.mask).astype(np.int64)])
         which = np.minimum(np.searchsorted(self.values, h[at]), len(self.values) - 1)
         known = self.values[which] == h[at]
@@ -220,10 +231,12 @@ FOUND = ("doc_id", "key", "item_id", "start", "end", "edits")
 
 def matches(documents: DataFrame, compiled: list[Items], search: Search) -> DataFrame:
     """(doc_id, key, item_id, start, end, edits): character span, in the lower-cased text, of the best window of each document and item."""
-    pairs = Pairs(compiled)
-    short = any(i.n - 1 - 2 * search.reach(i.n) < 1 for i in compiled)
+    # one block of items, bounded by block_words; a Python worker reads it once for all of its tasks
+    held = documents.sparkSession.sparkContext.broadcast((compiled, Pairs(compiled)))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled, pairs = held.value
+        short = any(i.n - 1 - 2 * search.reach(i.n) < 1 for i in compiled)
         for batch in batches:
             lowered = pc.utf8_lower(pc.fill_null(batch.column("text"), ""))
             near: list[list[tuple]] = [[] for _ in compiled]
