@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where that is unset (tests, one machine) a temporary one."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset a temporary one if all runs in one process, else an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -48,10 +51,27 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under the names given; other columns, whatever their names, are left behind."""
+    """Only the named columns, under the names given; other columns, whatever their names, are left behind.
+
+    Of names that differ only in case the one that is spelt as asked for is meant.
+    """
+    as_spelt = {f.name: i for i, f in enumerate(df.schema.fields)}
+    if len({x.lower() for x in as_spelt}) < len(as_spelt):
+        df = df.toDF(*[f"_{i}" for i in range(len(as_spelt))])
+        columns = {new: f"_{as_spelt[old]}" for new, old in columns.items()}
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def behind_barrier(df: DataFrame, keep: list[str]) -> DataFrame:
+    """The same rows and columns; the columns beside ``keep`` are computed once, where they are.
+
+    A filter on a column is pushed below the projections that make it, and their expressions go with it, each as often as
+    it is used. It does not pass a projection with a row id, which stays as the columns are made to depend on it.
+    """
+    held = df.withColumn("_barrier", F.monotonically_increasing_id())
+    return held.select(*[F.col(f"`{c}`") if c in keep else F.when(F.col("_barrier") >= 0, F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
 def text_key(text: Column | str) -> Column:
     """A 64-bit digest of a text as it stands: with the id, what a row is known by where ids may be null or repeated."""
     return F.xxhash64(text)

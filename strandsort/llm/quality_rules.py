@@ -1,17 +1,25 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Every rule is a predicate that a good document meets. ``order_rules`` measures on a bounded sample what each rule costs
-and how much it rejects, and sorts the rules by rejections per cost. ``Cascade.kept`` compiles that order into one
-CASE expression: the first rule that fails decides, later rules are not evaluated. The verdict does not depend on the
-order, only the work does.
+A rule is a predicate that a good document meets, over statistics of the text. ``order_rules`` measures on a bounded
+sample what each rule costs with the statistics that it needs, and which rules each row fails; it then puts first the
+rule with the most rejections per cost, next the one with the most among the rows that are left, and so on. The verdict
+does not depend on the order, only the work does.
 
-Edge cases: a null text counts as empty and fails the base rule, as does any text of fewer than 50 words. Texts are read
+``keep_good`` runs the cascade: the statistics of a rule are computed only for rows that no earlier rule has rejected, so
+that most bad rows never get to the costly ones. ``judge`` reports the base statistics of every row, as they are asked
+for; there the cascade spares what only its rules need.
+
+Costs are the least of several short runs on the sample, as halvings of the dearest one's, so that the order does not
+change from run to run with the machine's load.
+
+Edge cases: a null text counts as empty and fails the base rules, as does any text of fewer than 50 words. Texts are read
 whole. Equal rows get equal results, row by row. An empty table gives an empty result. Only the id and text columns are
-read, so that other columns cannot clash.
+read, and the others are carried in one struct, so that no name can clash.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
@@ -19,144 +27,177 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandsort.llm.common import pick, table
+from strandsort.llm.common import behind_barrier, pick, table
 
 #: Fixed values of the base statistics.
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS = r"[#*$%&|<>]+"
 WINDOW = 3
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 
-def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def length_without(pattern: str) -> Column:
+    return F.length(F.regexp_replace("text", pattern, ""))
 
 
-def with_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper and base_failed.
+def windows() -> Column:
+    """64-bit hashes of all windows of words."""
+    last = (F.col("n_words") - (WINDOW - 1)).cast("int")
+    each = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(*[F.element_at("words", (i + k).cast("int")) for k in range(WINDOW)]))
+    return F.when(F.col("n_words") > WINDOW, each).otherwise(F.array().cast("array<bigint>"))
 
-    Repeats are found inside the row: 64-bit hashes of all word windows, and, only in texts in which a hash occurs
-    twice, a sort of (hash, position) pairs whose equal neighbours mark the words they cover. No row leaves its task.
-    """
-    c = F.col
-    whole = F.coalesce(c(text), F.lit(""))
-    df = documents.withColumn("_words", F.array_remove(F.split(whole, r"[\x20\x09-\x0D]+"), ""))
-    df = df.withColumn("n_words", F.size("_words").cast("long"))
-    df = df.withColumn(
-        "_windows",
-        F.when(
-            c("n_words") > WINDOW,
-            F.transform(
-                F.sequence(F.lit(1), (c("n_words") - (WINDOW - 1)).cast("int")),
-                lambda i: F.xxhash64(*[F.element_at(c("_words"), (i + k).cast("int")) for k in range(WINDOW)]),
-            ),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
-    df = df.withColumn(
-        "_sorted",
-        F.when(
-            F.size(F.array_distinct("_windows")) < F.size("_windows"),
-            F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-        ),
-    )
-    twin = lambda s, k: (s["h"] == F.get(c("_sorted"), k - 1)["h"]) | (s["h"] == F.get(c("_sorted"), k + 1)["h"])
-    df = df.withColumn("_repeated", F.when(c("_sorted").isNotNull(), F.filter("_sorted", lambda s, k: F.coalesce(twin(s, k), F.lit(False)))))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("_repeated", lambda s: F.array(*[s["i"] + k for k in range(WINDOW)])))))
-    df = df.withColumn("_lines", F.filter(F.split(whole, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
-    n_repeat = F.when(c("_repeated").isNotNull(), covered).otherwise(0).cast("long")
-    df = df.withColumns(
-        {
-            "word_chars": F.length(without(whole, BLANKS)).cast("long"),
-            "n_symbols": (F.length(whole) - F.length(without(whole, SYMBOLS))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": n_repeat,
-        }
-    )
-    df = df.withColumn("base_failed", (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words")))
-    return df.drop("_windows", "_sorted", "_repeated", "_lines")
+
+def ordered(worth: Column) -> Column:
+    """The sorted (hash, place) of the windows of texts for which it is worth while; equal windows are neighbours."""
+    return F.when(worth, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+
+
+def covered(windows: str) -> Column:
+    """Words in windows that occur twice or more."""
+    other = lambda s, k: F.coalesce(s["h"] == F.get(windows, k)["h"], F.lit(False))
+    twins = F.filter(windows, lambda s, k: other(s, k - 1) | other(s, k + 1))
+    places = F.flatten(F.transform(twins, lambda s: F.array(*[s["i"] + k for k in range(WINDOW)])))
+    return F.when(F.col(windows).isNotNull(), F.size(F.array_distinct(places))).otherwise(0).cast("long")
+
+
+#: Each statistic with those that it is made of; ``text`` is never null here.
+STATISTICS = {
+    "words": ((), lambda: F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")),
+    "n_words": (("words",), lambda: F.size("words").cast("long")),
+    "windows": (("words", "n_words"), windows),
+    "n_again": (("windows",), lambda: F.size("windows") - F.size(F.array_distinct("windows"))),
+    "sorted": (("n_again",), lambda: ordered(F.col("n_again") > 0)),
+    "n_repeat_words": (("sorted",), lambda: covered("sorted")),
+    # n_again windows too many are part of at most twice as many that repeat, which have WINDOW words each: 0 if that can't matter
+    "sorted_if_many": (("n_again",), lambda: ordered(100 * 2 * WINDOW * F.col("n_again") > MAX_REPEAT_PERCENT * F.col("n_words"))),
+    "n_repeat_words_if_many": (("sorted_if_many",), lambda: covered("sorted_if_many")),
+    "lines": ((), lambda: F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))),
+    "n_lines": (("lines",), lambda: F.size("lines").cast("long")),
+    "n_dup_lines": (("lines",), lambda: (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")),
+    "word_chars": (("words",), lambda: F.length(F.array_join("words", "")).cast("long")),
+    "n_symbols": ((), lambda: (F.length("text") - length_without(SYMBOLS)).cast("long")),
+    "n_upper": ((), lambda: length_without("[^A-Z]+").cast("long")),
+    "n_lettered": (("words",), lambda: F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))).cast("long")),
+}
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``passes``: an SQL predicate over the columns of with_statistics() and ``text``; null counts as failed."""
+    """``passes``: an SQL predicate over the statistics that it ``needs`` and ``text``; null counts as failed."""
 
     name: str
     passes: str
+    needs: tuple[str, ...] = ()
 
 
-#: Beside the base rule. A clean text passes all of them, in any of the languages.
+#: The two halves of the base rule.
+BASE_RULES = (
+    Rule("enough_words", f"n_words >= {MIN_WORDS}", ("n_words",)),
+    Rule("few_repeats", f"100 * n_repeat_words_if_many <= {MAX_REPEAT_PERCENT} * n_words", ("n_repeat_words_if_many", "n_words")),
+)
+#: Beside the base rules. A clean text passes all of them, in any of the languages.
 RULES = (
-    Rule("mean_word_length", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
-    Rule("symbols_per_word", "10 * n_symbols <= n_words"),
-    Rule("duplicate_lines", "2 * n_dup_lines <= n_lines"),
-    Rule("shouting", "length(regexp_replace(text, '[^A-Z]+', '')) * 10 <= word_chars * 3"),
-    Rule("words_with_letters", "size(filter(_words, w -> w rlike '[\\\\p{L}]')) * 10 >= n_words * 8"),
+    Rule("mean_word_length", "word_chars BETWEEN 3 * n_words AND 10 * n_words", ("word_chars", "n_words")),
+    Rule("symbols_per_word", "10 * n_symbols <= n_words", ("n_symbols", "n_words")),
+    Rule("duplicate_lines", "2 * n_dup_lines <= n_lines", ("n_dup_lines", "n_lines")),
+    Rule("shouting", "n_upper * 10 <= word_chars * 3", ("n_upper", "word_chars")),
+    Rule("words_with_letters", "n_lettered * 10 >= n_words * 8", ("n_lettered", "n_words")),
 )
 
 
+def with_statistics(df: DataFrame, names: tuple[str, ...], wanted: Column | None = None) -> DataFrame:
+    """Add the statistics and what they are made of, where they are not there yet; null for rows that are not ``wanted``.
+
+    Repeats are found inside the row. Each step is a projection of its own, whose values the next one uses.
+    """
+    for name in names:
+        if name not in df.columns:
+            parts, make = STATISTICS[name]
+            df = with_statistics(df, parts, wanted)
+            df = df.withColumn(name, make() if wanted is None else F.when(wanted, make()))
+    return df
+
+
 @dataclass(frozen=True)
 class Measured:
+    """A rule with its cost (in costs of the dearest) and the share it rejects of what the rules before it leave."""
+
     rule: Rule
     cost: float
     rejects: float
 
-    @property
-    def rank(self) -> float:
-        return self.rejects / max(self.cost, 1e-9)
+
+def by_rank(rules: tuple[Rule, ...], cost: list[float], verdicts: list[tuple[int, int]]) -> list[Measured]:
+    """Greedy order by rejections per cost among the rows left; verdicts are (bits of the failed rules, rows)."""
+    left, out = dict(enumerate(rules)), []
+    while left:
+        total = sum(n for _, n in verdicts)
+        failed = {i: sum(n for bits, n in verdicts if bits >> i & 1) for i in left}
+        best = min(left, key=lambda i: (-failed[i] / cost[i], cost[i], i))
+        out.append(Measured(left.pop(best), cost[best], failed[best] / total if total else 0.0))
+        verdicts = [(bits, n) for bits, n in verdicts if not bits >> best & 1]
+    return out
 
 
-def order_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7) -> list[Measured]:
-    """Cost (seconds) and rejected share of each rule on a sample of about ``sample_rows`` documents, best first."""
-    total = documents.select(F.count(F.lit(1))).first()[0]
+def order_rules(documents: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + RULES, sample_rows: int = 2000, runs: int = 2, seed: int = 7) -> list[Measured]:
+    """The rules in the order in which they should run, measured on a sample of about ``sample_rows`` rows of (text)."""
+    text = documents.select(F.coalesce("text", F.lit("")).alias("text"))
+    total = text.count()
     if not total:
-        return [Measured(r, 0.0, 0.0) for r in rules]
-    sample = with_statistics(documents.sample(fraction=min(1.0, sample_rows / total), seed=seed)).persist(StorageLevel.MEMORY_AND_DISK)
+        return [Measured(r, 1.0, 0.0) for r in rules]
+    sample = text.sample(fraction=min(1.0, sample_rows / total), seed=seed).coalesce(1).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = max(1, sample.count())
-
-        def run(predicate: str) -> tuple[float, int]:
-            began = time.perf_counter()
-            failed = sample.agg(F.count_if(~F.coalesce(F.expr(predicate), F.lit(False)))).first()[0]
-            return time.perf_counter() - began, failed
-
-        run("true")
-        idle = run("true")[0]
-        found = []
-        for rule in rules:
-            seconds, failed = run(rule.passes)
-            found.append(Measured(rule, max(1e-4, seconds - idle), failed / n))
+        fails = lambda r: ~F.coalesce(F.expr(r.passes), F.lit(False))
+        bits = sum((F.when(fails(r), 1 << i).otherwise(0) for i, r in enumerate(rules)), F.lit(0))
+        needs = tuple(dict.fromkeys(x for r in rules for x in r.needs))
+        verdicts = [tuple(v) for v in with_statistics(sample, needs).groupBy(bits.alias("bits")).count().collect()]
+
+        def seconds(rule: Rule | None) -> float:
+            plan = sample.agg(F.max(F.length("text"))) if rule is None else with_statistics(sample, rule.needs).agg(F.count_if(fails(rule)))
+            plan.collect()
+            best = math.inf
+            for _ in range(runs):
+                began = time.perf_counter()
+                plan.collect()
+                best = min(best, time.perf_counter() - began)
+            return best
+
+        idle = seconds(None)
+        spent = [max(2e-3, seconds(r) - idle) for r in rules]
     finally:
         sample.unpersist()
-    return sorted(found, key=lambda m: (-m.rank, m.rule.name))
+    return by_rank(rules, [2.0 ** max(-6, round(math.log2(s / max(spent)))) for s in spent], verdicts)
 
 
-def cascade(ordered: list[Measured]) -> Column:
-    """The name of the first rule that a row fails, or null. CASE stops at the first branch that holds."""
-    first = F.when(F.col("base_failed"), F.lit("base"))
-    for m in ordered:
-        first = first.when(~F.coalesce(F.expr(m.rule.passes), F.lit(False)), F.lit(m.rule.name))
-    return first
+def cascade(df: DataFrame, turns: list[Measured], failed: str) -> DataFrame:
+    """Add ``failed``, the name of the first rule that a row fails, or null; statistics are computed where no rule has failed yet."""
+    df = df.withColumn(failed, F.lit(None).cast("string"))
+    for m in turns:
+        df = with_statistics(df, m.rule.needs, F.col(failed).isNull())
+        passes = F.coalesce(F.expr(m.rule.passes), F.lit(False))
+        df = df.withColumn(failed, F.when(F.col(failed).isNotNull(), F.col(failed)).when(~passes, F.lit(m.rule.name)))
+    return df
 
 
 def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
-    """doc_id, text, the statistics, base_failed, failed_rule (in the order found) and kept."""
-    docs = pick(documents, doc_id=id_col, text=text_col)
-    ordered = order_rules(docs, rules, sample_rows)
-    judged = with_statistics(docs).withColumn("failed_rule", cascade(ordered))
-    return judged.withColumn("kept", F.col("failed_rule").isNull()).drop("_words")
+    """doc_id, text (null as empty), the base statistics, base_failed, failed_rule (the first in the cascade's order) and kept."""
+    docs = pick(documents, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    turns = order_rules(docs, BASE_RULES + rules, sample_rows)
+    based = with_statistics(docs, BASE).withColumn("n_repeat_words_if_many", F.col("n_repeat_words"))
+    based = based.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    judged = cascade(based, turns, "failed_rule").withColumn("kept", F.col("failed_rule").isNull())
+    return behind_barrier(judged.select("doc_id", "text", *BASE, "base_failed", "failed_rule", "kept"), keep=["doc_id", "text"])
 
 
 def keep_good(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
-    """The documents that pass, with their own columns. Cascade and statistics are computed where a row is read."""
+    """The documents that pass, with their own columns."""
     columns = documents.columns
     source = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_source")
-    ordered = order_rules(documents.select(F.col("text")), rules, sample_rows)
-    judged = with_statistics(documents.select(source, F.col("text"))).withColumn("_failed", cascade(ordered))
-    # a filter would be pushed below the statistics, each use of which would then compute them again; not past this id
-    judged = judged.withColumn("_row", F.monotonically_increasing_id())
-    return judged.filter("_failed IS NULL AND _row >= 0").select(*[F.col(f"_source.`{c}`").alias(c) for c in columns])
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    turns = order_rules(documents.select(text), BASE_RULES + rules, sample_rows)
+    judged = cascade(documents.select(source, text), turns, "failed").select("_source", "failed")
+    return behind_barrier(judged, keep=["_source"]).filter("failed IS NULL").select(*[F.col(f"_source.`{c}`").alias(c) for c in columns])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
