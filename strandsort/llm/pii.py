@@ -4,18 +4,21 @@ Base spans (email, ip, card, phone) are the leftmost non-overlapping matches of
 that no group repeats without bound and no run is scanned again from each of its characters: separators inside a match
 are first replaced by one private character, and a match starts at a run's first character or where the last one ended.
 
-Information-theoretic sanitisation. The protected entities are the base values. For a term in the words next to one,
-the corpus tells how much of the entity's information it discloses:
+Information-theoretic sanitisation. The protected entities are the base values, and what values share: the domain of an
+address, the first three parts of an ip, the first six digits of a card, the first four of a phone number. For a term in
+the words beside one, the corpus tells how much of the entity's information it discloses:
 
     disclosure(t, e) = PMI(t; e) / IC(e) = log(n(t, e) * N / (n(t) * n(e))) / log(N / n(e))
 
-with N documents, n(e) those that hold the value, n(t) those that hold the term anywhere and n(t, e) those in which both
-stand in one window. 1 means that the term gives the value away. Terms need ``support`` different windows, so that
-copies of one passage do not make evidence. At ``generalise`` a term is replaced by its class in the sanitised text, at
-``remove`` it is taken out; either adds a span of kind term, in every document that holds the value.
+with N documents, n(e) those that hold the entity, n(t) those that hold the term anywhere and n(t, e) those in which the
+term stands beside it: among the next ``window`` words on either side, up to the next value. 1 means that the term gives
+the entity away. Evidence is needed from ``support`` different texts: copies of a whole text count once, a signature in
+different texts as often as it stands there. A value that is too rare for that is judged by what it shares. At
+``generalise`` a term is replaced by its class in the sanitised text, at ``remove`` it is taken out; either adds a span
+of kind term, in every document that holds the entity.
 
-All counts cover the whole corpus. The statistics of terms are aggregated before the shuffle; only documents with base
-spans take part in the pair counts.
+All counts cover the whole corpus. Only documents with base spans take part in the pair counts, which are combined before
+the shuffle, and only the terms that are left are counted in all documents.
 
 Edge cases: a null text is empty and has no spans (its text stays null when sanitised). Repeated rows are counted and
 judged row by row. An empty table gives an empty result. Only ids and texts are read. Texts are read whole.
@@ -42,10 +45,12 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 @dataclass(frozen=True)
 class Policy:
-    window: int = 4
+    window: int = 8
     support: int = 3
     generalise: float = 0.8
     remove: float = 0.95
+    #: Up to so many terms are broadcast; more are joined by a shuffle.
+    broadcast_terms: int = 200_000
 
 
 def found(text: Column, pattern: str, kind: str) -> Column:
@@ -79,7 +84,7 @@ def luhn(number: Column) -> Column:
     """A digit string's check sum is a multiple of ten."""
     n = F.length(number)
     doubled = lambda d, i: F.when((n - i) % 2 == 0, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d)
-    figures = F.transform(F.split(number, ""), lambda d: d.cast("int"))
+    figures = F.transform(F.split(number, ""), lambda d: d.try_cast("int"))
     return F.aggregate(F.transform(F.filter(figures, lambda d: d.isNotNull()), doubled), F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
@@ -116,42 +121,64 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def entities(kind: str, value: Column) -> Column:
+    """The entities that a value stands for: itself and what it shares with others."""
+    shared = {"email": F.substring_index(value, "@", -1), "ip": F.substring_index(value, ".", 3), "card": F.substring(value, 1, 6), "phone": F.substring(value, 1, 5)}[kind]
+    return F.array(F.concat(F.lit(f"{kind} "), value), F.concat(F.lit(f"{kind} of "), shared))
+
+
+def held_entities() -> Column:
+    """The entities of a row with base spans, each once."""
+    of = lambda kind: F.transform(f"_{kind}", lambda s: entities(kind, s["value"]))
+    return F.array_distinct(F.flatten(F.concat(*map(of, KINDS))))
+
+
+def beside(policy: Policy) -> tuple[Column, Column]:
+    """_spans, and the distinct (entity, term) of a row that has them: lower-cased words between a value and the next one, ``window`` at most."""
+    of = lambda kind: F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("z"), entities(kind, s["value"]).alias("of")))
+    spans = F.array_sort(F.concat(*map(of, KINDS)))
+    words = lambda a, z: F.filter(F.split(F.lower(F.substring("_text", a + 1, F.greatest(z - a, F.lit(0)))), r"[^\p{L}]+"), lambda w: w != "")
+    last = F.length("_text")
+    around = lambda s, i: F.concat(
+        F.slice(F.reverse(words(F.coalesce(F.get("_spans", i - 1)["z"], F.lit(0)), s["a"])), 1, policy.window),
+        F.slice(words(s["z"], F.coalesce(F.get("_spans", i + 1)["a"], last)), 1, policy.window),
+    )
+    pairs = F.transform("_spans", lambda s, i: F.flatten(F.transform(around(s, i), lambda t: F.transform(s["of"], lambda e: F.struct(e.alias("entity"), t.alias("term"))))))
+    return spans, F.array_distinct(F.flatten(pairs))
+
+
 def disclosing(documents: DataFrame, based: DataFrame, policy: Policy) -> DataFrame:
-    """(value, term, disclosure): terms at or above the lower threshold, from counts over all documents."""
+    """(entity, term, disclosure): terms at or above the lower threshold, from counts over all documents."""
     c = F.col
-    side, near_by = 64 * policy.window, 8 * policy.window
-    letters = lambda t: F.filter(F.split(t, r"[^\p{L}]+"), lambda w: F.length(w) > 0)
-    entities = based.select("_row", "_text", F.explode(F.concat(*[f"_{k}" for k in KINDS])).alias("e")).select(
-        "_row",
-        c("e.value").alias("value"),
-        # what makes two windows the same one: the text close by, as it stands
-        F.xxhash64(F.substring("_text", F.greatest(c("e.start") - near_by, F.lit(0)) + 1, F.least(c("e.start"), F.lit(near_by))), F.substring("_text", c("e.end") + 1, F.lit(near_by))).alias("_context"),
-        F.slice(F.reverse(letters(F.substring("_text", F.greatest(c("e.start") - side, F.lit(0)) + 1, F.least(c("e.start"), F.lit(side))))), 1, policy.window).alias("_l"),
-        F.slice(letters(F.substring("_text", c("e.end") + 1, F.lit(side))), 1, policy.window).alias("_r"),
-    )
-    near = entities.select("_row", "value", "_context", F.array_distinct(F.transform(F.filter(F.concat("_l", "_r"), lambda w: F.length(w) > 2), F.lower)).alias("terms"))
-    n_entity = near.groupBy("value").agg(F.count_distinct("_row").alias("n_e"))
-    pairs = near.select("_row", "value", "_context", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("value", "term").agg(F.count_distinct("_row").alias("n_te"), F.count_distinct("_context").alias("support")).filter(c("support") >= policy.support)
-    pairs = cut(pairs.join(n_entity, "value"))
-    if pairs.isEmpty():
-        return pairs.select("value", "term", F.lit(0.0).alias("disclosure"))
-    held = documents.select(F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_entity = based.select(F.explode(held_entities()).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    spans, pairs = beside(policy)
+    each = based.withColumn("_spans", spans).select(F.xxhash64("_text").alias("text"), F.explode(pairs).alias("p")).select("text", "p.*")
+    by_text = each.groupBy("entity", "term", "text").agg(F.count(F.lit(1)).alias("n"))
+    counted = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("support")).filter(c("support") >= policy.support)
+    counted = cut(counted.join(n_entity, "entity"))
+    terms = cut(counted.select("term").distinct())
+    n_terms = terms.count()
+    if not n_terms:
+        return counted.select("entity", "term", F.lit(0.0).alias("disclosure"))
+    if n_terms <= policy.broadcast_terms:
+        terms = F.broadcast(terms)
+    words = documents.select(F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("term"))
+    held = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = float(documents.count())
-    scored = pairs.join(held, "term").withColumn("disclosure", F.try_divide(F.log(c("n_te") * total / (c("n_t") * c("n_e"))), F.log(F.lit(total) / c("n_e"))))
-    return scored.filter(c("disclosure") >= policy.generalise).select("value", "term", "disclosure")
+    scored = counted.join(held, "term").withColumn("disclosure", F.try_divide(F.log(c("n_te") * total / (c("n_t") * c("n_e"))), F.log(F.lit(total) / c("n_e"))))
+    return scored.filter(c("disclosure") >= policy.generalise).select("entity", "term", "disclosure")
 
 
 NO_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
 def term_spans(based: DataFrame, terms: DataFrame, policy: Policy) -> DataFrame:
-    """Add _term and _removed (of the same kind): where disclosing terms of a document's values stand in it."""
+    """Add _term and _removed (of the same kind): where disclosing terms of a document's entities stand in it."""
     c = F.col
-    values = based.select("_row", F.explode(F.array_distinct(F.transform(F.concat(*[f"_{k}" for k in KINDS]), lambda s: s["value"]))).alias("value"))
+    values = based.select("_row", F.explode(held_entities()).alias("entity"))
     of = lambda rule: F.array_sort(F.array_distinct(F.collect_list(F.when(rule, c("term")))))
     strong = c("disclosure") >= policy.remove
-    held = values.join(terms, "value").groupBy("_row").agg(of(strong).alias("_strong"), of(~strong).alias("_weak"))
+    held = values.join(terms, "entity").groupBy("_row").agg(of(strong).alias("_strong"), of(~strong).alias("_weak"))
     df = based.join(held, "_row", "left")
     pattern = lambda words: F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))
     spans = lambda words: F.when(F.size(words) > 0, found(c("_text"), pattern(words), "term")).otherwise(F.array().cast(NO_SPANS))
