@@ -1,21 +1,28 @@
 """URL filter: host and path rules, and association rules mined by FP-growth from labelled pages.
 
-A URL is a set of tokens (scheme, host labels, host, path segments with digits folded, extension, query keys, fragment).
-FP-growth finds token sets that are frequent among pages labelled bad; a set is a rule if, over all labelled pages, its
-support and its confidence (share of bad pages among those that have it) reach the thresholds, and no subset of it is a
-rule of the same confidence or more. Each rule is filed under its rarest token; a page looks up its tokens and checks
-the sets found there, so that common tokens lead to few look-ups.
+A URL is a set of tokens (the host, its last one to three labels, path segments with digits folded, extension, query keys,
+fragment). FP-growth finds token sets that are frequent among pages labelled bad. A set is a rule if, over all labelled
+pages, its confidence (share of bad pages among those that have it) is ``min_lift`` times the share of bad pages in all,
+that is more than chance would give (a one-sided binomial test at ``alpha``, shared out among all sets tried), and no
+subset of it is a rule of the same confidence or more. So thresholds follow the labels' base rate and number, and labels
+that have nothing to do with URLs give no rule. Each rule is filed under its rarest token; a page looks up its tokens and
+checks the sets found there, so that common tokens lead to few look-ups.
+
+A host implies its own endings, so that sets of several of them say nothing new. FP-growth is therefore given each bad page
+once for each ending, with that one alone beside the other tokens, and once without any.
 
 Host rules (``net/``, ``example.net/en/``): a rule fits its host and all subdomains if the path starts with the rule's;
 the longest wins. What no host rule decides is blocked if an association rule matches, else allowed.
 
 Edge cases: a null URL or one without ``://`` has empty host and path and no tokens, and is allowed. A page is labelled
 if its id has a label; of repeated labels the worst counts. Without bad labels there are no association rules. Repeated
-rows are judged row by row; an empty table gives an empty result. Only id and url are read of the pages.
+rows are judged row by row, and count as often as they stand there; an empty table gives an empty result. URLs are read
+whole, however long. Only id and url are read of the pages, so that no column can clash.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -44,10 +51,11 @@ HOST_RULES = (HostRule("block", "net/"), HostRule("allow", "example.net/en/"), H
 
 @dataclass(frozen=True)
 class Mining:
-    #: Share of the bad pages in which a set must occur, and the least count over all labelled pages.
-    min_support: float = 0.002
-    min_count: int = 20
-    min_confidence: float = 0.75
+    #: A set must occur in this share of the bad pages, and so many of them, at least.
+    min_support: float = 0.005
+    min_bad: int = 5
+    min_lift: float = 1.5
+    alpha: float = 0.01
     #: Up to so many rules are broadcast; more are joined by a shuffle.
     broadcast_rules: int = 100_000
 
@@ -74,15 +82,20 @@ def host_rule(rules: tuple[HostRule, ...]) -> tuple[Column, Column]:
     return by, action
 
 
-def tokens() -> Column:
-    """The distinct tokens of a page with host, path and _rest."""
-    c = F.col
-    named = lambda kind, items: F.transform(F.filter(items, lambda x: x != ""), lambda x: F.concat(F.lit(kind + ":"), x))
+def named(kind: str, items: Column) -> Column:
+    return F.transform(F.filter(items, lambda x: x != ""), lambda x: F.concat(F.lit(kind + ":"), x))
+
+
+def endings() -> Column:
+    """The host and its last one, two and three labels, as far as they differ."""
+    return F.array_distinct(named("host", F.array("host", *[F.substring_index("host", ".", -k) for k in (1, 2, 3)])))
+
+
+def other_tokens() -> Column:
+    """The distinct tokens of a page with path and _rest."""
     segments = F.transform(F.split(F.lower("path"), "/"), lambda s: F.regexp_replace(F.regexp_replace(s, r"\.[a-z0-9]{1,5}$", ""), "[0-9]+", "0"))
     keys = F.transform(F.split(F.regexp_extract("_rest", r"^\?([^#]*)", 1), "&"), lambda p: F.substring_index(p, "=", 1))
     all_ = F.concat(
-        named("host", F.array(c("host"))),
-        named("label", F.split("host", r"\.")),
         named("path", segments),
         named("ext", F.array(F.regexp_extract(F.lower("path"), r"\.([a-z0-9]{1,5})$", 1))),
         named("query", keys),
@@ -92,46 +105,67 @@ def tokens() -> Column:
 
 
 def matches(sets: DataFrame, rules: DataFrame, mining: Mining) -> DataFrame:
-    """(id, rule_id) for each row of sets (id, tokens) and each rule (rule_id, items, key) that it contains."""
+    """The columns of sets (with tokens) and rule_id, for each rule (rule_id, items, key) that a row contains."""
     filed = rules.select("rule_id", "items", F.col("key").alias("token"))
     if filed.count() <= mining.broadcast_rules:
         filed = F.broadcast(filed)
-    looked = sets.select("id", "tokens", F.explode("tokens").alias("token")).join(filed, "token")
-    return looked.filter(F.size(F.array_except("items", "tokens")) == 0).select("id", "rule_id")
+    looked = sets.withColumn("token", F.explode("tokens")).join(filed, "token")
+    return looked.filter(F.size(F.array_except("items", "tokens")) == 0).drop("token", "items")
+
+
+def beyond_chance(bad: Column, n: Column, base: float, alpha: float) -> Column:
+    """Whether so many bad ones of n have a lower chance than alpha where each is bad with the chance ``base`` (Chernoff's bound)."""
+    share = bad / n
+    divergence = share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    return (share > base) & (n * divergence > -math.log(alpha))
+
+
+def frequent_sets(labelled: DataFrame, bad_pages: int, mining: Mining) -> DataFrame:
+    """(rule_id, items) of the candidates: sets that are frequent among bad pages, with one ending of the host at most."""
+    spark = labelled.sparkSession
+    bad = labelled.filter("bad").select("ends", "others")
+    with_one = F.transform("ends", lambda e: F.concat(F.array(e), "others"))
+    views = cut(bad.select(F.explode(F.concat(with_one, F.array("others"))).alias("items")))
+    least = max(mining.min_bad, mining.min_support * bad_pages)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    model = FPGrowth(minSupport=least / views.count(), minConfidence=1.0, itemsCol="items", numPartitions=parts).fit(views)
+    found = model.freqItemsets.select(F.array_sort("items").alias("items"))
+    return cut(found.withColumn("rule_id", F.xxhash64(F.array_join("items", "\n"))))
 
 
 def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
-    """(rule_id, items, key, support, confidence) from rows (id, tokens, bad)."""
+    """(rule_id, items, key, support, confidence) from rows (ends, others, tokens, bad)."""
+    c = F.col
     spark = labelled.sparkSession
     none = spark.createDataFrame([], "rule_id long, items array<string>, key string, support long, confidence double")
-    bad = labelled.filter("bad").select(F.col("tokens").alias("items"))
-    if bad.isEmpty():
+    total, bad_pages = labelled.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    if not bad_pages or bad_pages == total:
         return none
-    model = FPGrowth(minSupport=mining.min_support, minConfidence=1.0, itemsCol="items").fit(bad)
-    often = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("bad_count"))
-    often = cut(often.withColumn("rule_id", F.xxhash64(F.array_join("items", "\n"))))
-    if often.isEmpty():
+    often = frequent_sets(labelled, bad_pages, mining)
+    tried = often.count()
+    if not tried:
         return none
     counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = often.select("rule_id", F.explode("items").alias("token")).join(counts, "token").groupBy("rule_id").agg(F.min(F.struct("n", "token")).alias("m"))
-    keyed = often.join(rarest.select("rule_id", F.col("m.token").alias("key")), "rule_id")
-    held = matches(labelled.select("id", "tokens"), keyed, mining).groupBy("rule_id").agg(F.count(F.lit(1)).alias("support"))
-    scored = keyed.join(held, "rule_id").withColumn("confidence", F.col("bad_count") / F.col("support"))
-    good = cut(scored.filter((F.col("support") >= mining.min_count) & (F.col("confidence") >= mining.min_confidence)))
+    keyed = often.join(rarest.select("rule_id", c("m.token").alias("key")), "rule_id")
+    held = matches(labelled.select("tokens", "bad"), keyed, mining).groupBy("rule_id").agg(F.count(F.lit(1)).alias("support"), F.count_if("bad").alias("n_bad"))
+    scored = keyed.join(held, "rule_id").withColumn("confidence", c("n_bad") / c("support"))
+    base = bad_pages / total
+    enough = c("n_bad") >= max(mining.min_bad, mining.min_support * bad_pages)
+    good = cut(scored.filter(enough & (c("confidence") >= mining.min_lift * base) & beyond_chance(c("n_bad"), c("support"), base, mining.alpha / tried)))
     # a rule falls if a smaller one that it contains is as sure: such a one is found under its key among the rule's items
-    small = good.select(F.col("rule_id").alias("other"), F.col("items").alias("part"), F.col("confidence").alias("sure"), F.col("key").alias("token"))
+    small = good.select(c("rule_id").alias("other"), c("items").alias("part"), c("confidence").alias("sure"), c("key").alias("token"))
     covered = good.select("rule_id", "items", "confidence", F.explode("items").alias("token")).join(small, "token")
-    covered = covered.filter((F.size("part") < F.size("items")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("part", "items")) == 0))
+    covered = covered.filter((F.size("part") < F.size("items")) & (c("sure") >= c("confidence")) & (F.size(F.array_except("part", "items")) == 0))
     return good.join(covered.select("rule_id").distinct(), "rule_id", "left_anti").select("rule_id", "items", "key", "support", "confidence")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple[HostRule, ...] = HOST_RULES, mining: Mining = Mining()) -> DataFrame:
     """page_id, host, path, rule, verdict and n_rules (association rules that match), a row for each page."""
-    docs = pick(pages, page_id="page_id", url="url")
-    docs = with_parts(docs).withColumn("tokens", tokens())
-    docs = cut(docs.select("page_id", "host", "path", "tokens").withColumn("id", F.monotonically_increasing_id()))
+    docs = with_parts(pick(pages, page_id="page_id", url="url")).select("page_id", "host", "path", endings().alias("ends"), other_tokens().alias("others"))
+    docs = cut(docs.withColumns({"tokens": F.concat("ends", "others"), "id": F.monotonically_increasing_id()}))
     told = pick(labels, page_id="doc_id", quality="quality", toxic="toxic").groupBy("page_id").agg(F.max((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).alias("bad"))
-    mined = cut(mine(cut(docs.join(told, "page_id").select("id", "tokens", "bad")), mining))
+    mined = cut(mine(cut(docs.join(told, "page_id").select("ends", "others", "tokens", "bad")), mining))
     hit = matches(docs.select("id", "tokens"), mined, mining).groupBy("id").agg(F.count(F.lit(1)).alias("n_rules"))
     by, action = host_rule(rules)
     judged = docs.join(hit, "id", "left").withColumn("n_rules", F.coalesce("n_rules", F.lit(0)))
