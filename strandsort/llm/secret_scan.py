@@ -1,18 +1,24 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest, in DataFrame and ML functions only.
 
-Candidates are runs of key characters of 12 or more with a digit. Features of each: its length, its shares of digits,
-upper case and letters, the mean log probability of its character transitions under the corpus's own words, the share
-of it that dictionary words cover, what its path-like parts are, and its neighbours: assignment signs, quotes and
-credential words among the words before it.
-
-The forest (Spark ML) is trained on labelled findings: rows (kind of text before, candidate) with a label. Where none
-are given they are made from the corpus: a candidate to which a credential name is assigned is a finding, other
-candidates are false positives. The fit takes ``fit_rows`` labelled findings at most (a documented bound); transitions
-and dictionary come from all words of all documents, aggregated by word before any shuffle.
-
-Edge cases: a null or empty text has no candidates. Texts are read whole. Repeated rows are scanned each. With an empty
-table, or findings of one label only, nothing is trained: then each candidate keeps its label rule's verdict. Only ids
-and texts are read. A run of any length is one candidate.
+Candidates are values to which a credential name is assigned, whatever their length and characters, and runs of key
+characters of 12 or more that have a digit or mixed case or are very long. Features of each: its length, its shares of
+digits, upper case and letters, the mean log probability of its character transitions under the corpus's own words, the
+share of it that dictionary words cover, whether its parts look like a path, and its neighbours: how many of the words
+before and behind it (up to the next candidate) there are and how many the dictionary has.
+
+The forest (Spark ML) is trained on labelled findings. Where none are given, weak labels come from what the features do
+not see: a value to which a credential name is assigned is a finding, unless it is a valid card number; a candidate that
+stands in running text, neither assigned nor quoted, is a false positive; others have no label. The name, the sign and
+the quotes are then no features, so that the forest has to tell from the value and its surroundings, and differs from
+the labels where these are wrong or missing. Given findings carry labels of their own, and those three are features too.
+
+Each candidate is scored by a forest that was fitted without it: there are two, each on half of the candidates' values.
+Each fit takes ``fit_rows`` labelled findings at most (a documented bound); transitions and dictionary come from all
+words of all documents, aggregated by word before any shuffle.
+
+Edge cases: a null or empty text has no candidates. Texts are read whole. Repeated rows are scanned each, and equal values
+fall into the same half. With an empty table, or labels of one kind only, nothing is trained: then a candidate is a
+secret if a credential name is assigned it. Only ids and texts are read. A run of any length is one candidate.
 """
 
 from __future__ import annotations
@@ -26,16 +32,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandsort.llm.common import cut, pick, table
+from strandsort.llm.pii import digits, luhn
 
-#: A run that has a digit; possessive, and only from where a run begins, so that no run is scanned twice.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{11,}+"
-CREDENTIAL = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
-FEATURES = ("length", "digits", "upper", "letters", "distinct", "transition", "coverage", "slashes", "assigned", "quoted", "credential")
+CREDENTIAL = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
+#: A name and the sign behind it; then what it is assigned, quoted or up to a blank.
+NAMED = rf"(?<![\w.-])[\w.-]*?(?i:{CREDENTIAL})[\w.-]*+[ \t]*+[=:][ \t]*+"
+VALUE = r"(?:\"[^\"\n]++\"|'[^'\n]++'|[^\s\"',;]++)"
+#: A run; possessive, and only from where a run begins, so that none is scanned twice.
+RUN = r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*+[0-9])|(?=[a-z0-9+/_=-]*+[A-Z0-9+/_=-]*+[a-z][A-Za-z]*?[a-z][A-Z])|(?=[A-Za-z0-9+/_=-]{20}))[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{11,}+"
+CANDIDATE = f"{NAMED}{VALUE}|{RUN}"
+
+CONTENT = ("length", "digits", "upper", "letters", "distinct", "transition", "coverage", "path", "before", "known_before", "after", "known_after")
+CONTEXT = ("assigned", "quoted", "credential")
 
 
 @dataclass(frozen=True)
 class Settings:
-    context: int = 48
+    #: Words looked at on each side.
+    neighbours: int = 3
     fit_rows: int = 20_000
     trees: int = 20
     depth: int = 6
@@ -44,29 +58,38 @@ class Settings:
     seed: int = 3
 
 
+def surroundings(before: Column, after: Column, settings: Settings) -> dict[str, Column]:
+    """What is kept of the texts beside a candidate: the next words, without credential names, and how the text before ends."""
+    words = lambda t: F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: (w != "") & ~w.rlike(f"^{CREDENTIAL}$"))
+    return {
+        "words_before": F.slice(F.reverse(words(before)), 1, settings.neighbours),
+        "words_after": F.slice(words(after), 1, settings.neighbours),
+        "assigned": before.rlike(r"[=:]\s*[\"']?$"),
+        "quoted": before.rlike("[\"']$"),
+        "credential": before.rlike(rf"(?i:{CREDENTIAL})[\w.-]*\s*[=:]?\s*[\"']?$"),
+    }
+
+
 def candidates(documents: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, start, end, candidate, before): places in code points, with the text before each."""
+    """(doc_id, start, end, candidate and its surroundings): places in code points."""
     c = F.col
     df = documents.filter(c("text").rlike(CANDIDATE))
     hits, gaps = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.split("text", CANDIDATE, -1)
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("h"), g.alias("g")))
-    empty = F.array().cast("array<struct<start:int,end:int,candidate:string,before:string>>")
-    placed = F.aggregate(
-        pairs,
-        empty,
-        lambda acc, p: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + F.length(p["g"])).alias("start"),
-                    (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + F.length(p["g"]) + F.length(p["h"])).alias("end"),
-                    p["h"].alias("candidate"),
-                    F.right(p["g"], F.lit(settings.context)).alias("before"),
-                )
-            ),
-        ),
-    )
-    return df.select("doc_id", F.explode(placed).alias("f")).select("doc_id", "f.*")
+    # of a named hit, what stands before the value, and the value without its quotes
+    lead = lambda h: F.regexp_extract(h, f"^({NAMED}[\"']?)", 1)
+    value = lambda h, n: F.when(n > 0, F.regexp_replace(F.substring(h, n + 1, F.length(h)), r"^(.*[^\"'])[\"']$", "$1")).otherwise(h)
+    placed = F.transform(hits, lambda h: F.struct(h.alias("h"), F.length(lead(h)).alias("lead")))
+    placed = F.transform(placed, lambda p, i: F.struct(F.length(p["h"]).alias("size"), p["lead"].alias("lead"), value(p["h"], p["lead"]).alias("candidate"), F.substring(p["h"], 1, p["lead"]).alias("told"), F.length(F.get(gaps, i)).alias("gap")))
+    df = df.select("doc_id", gaps.alias("gaps"), placed.alias("hits"))
+    one = lambda p, i: F.struct(
+        p["size"].alias("size"), p["lead"].alias("lead"), p["gap"].alias("gap"), p["candidate"].alias("candidate"),
+        *[x.alias(k) for k, x in surroundings(F.concat(F.get("gaps", i), p["told"]), F.get("gaps", i + 1), settings).items()],
+    )
+    df = df.select("doc_id", F.transform("hits", one).alias("hits"))
+    ends = F.aggregate("hits", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + p["gap"] + p["size"])))
+    df = df.select("doc_id", F.posexplode("hits").alias("i", "f"), ends.alias("ends")).withColumn("start", F.element_at("ends", c("i") + 1) + c("f.gap") + c("f.lead"))
+    found = df.select("doc_id", "start", (c("start") + F.length("f.candidate")).alias("end"), "f.candidate", "f.words_before", "f.words_after", "f.assigned", "f.quoted", "f.credential")
+    return found.filter("candidate <> ''")
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -77,7 +100,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
 def transitions(counts: DataFrame) -> DataFrame:
     """(pair, log_p): log probability of the second of two characters after the first, in ASCII words of the corpus."""
-    ascii_ = counts.filter(F.col("word").rlike("^[a-z]{2,64}$"))
+    ascii_ = counts.filter(F.col("word").rlike("^[a-z]{2,}$"))
     pairs = ascii_.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("pair"))
     both = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
     first = both.groupBy(F.substring("pair", 1, 1).alias("a")).agg(F.sum("n").alias("m"))
@@ -85,18 +108,20 @@ def transitions(counts: DataFrame) -> DataFrame:
 
 
 def features(found: DataFrame, counts: DataFrame, settings: Settings) -> DataFrame:
-    """found with FEATURES added; rows are keyed by _key, the pairs and words by distinct candidate."""
+    """found (with _key) and the features; what needs the corpus is computed for each distinct candidate or word."""
     c = F.col
+    dictionary = counts.filter(c("n") >= settings.min_word_count).select("word")
     share = lambda pattern: F.length(F.regexp_replace("candidate", pattern, "")) / F.length("candidate")
     distinct = cut(found.select("candidate").distinct())
     low = F.lower("candidate")
-    pair_of = distinct.select("candidate", F.explode(F.transform(F.sequence(F.lit(1), F.length("candidate") - 1), lambda i: F.substring(low, i, F.lit(2)))).alias("pair"))
+    pair_of = distinct.filter("length(candidate) > 1").select("candidate", F.explode(F.transform(F.sequence(F.lit(1), F.length("candidate") - 1), lambda i: F.substring(low, i, F.lit(2)))).alias("pair"))
     # at most 26 * 26 pairs of letters
     flow = pair_of.join(F.broadcast(transitions(counts)), "pair", "left").groupBy("candidate").agg(F.avg(F.coalesce("log_p", F.lit(-8.0))).alias("transition"))
     parts = distinct.select("candidate", F.explode(F.split(low, "[^a-z]+")).alias("word")).filter(F.length("word") > 2)
-    known = parts.join(counts.filter(c("n") >= settings.min_word_count).select("word"), "word", "left_semi")
-    cover = known.groupBy("candidate").agg(F.sum(F.length("word")).alias("_covered"))
-    df = found.join(flow, "candidate", "left").join(cover, "candidate", "left")
+    cover = parts.join(dictionary, "word", "left_semi").groupBy("candidate").agg(F.sum(F.length("word")).alias("_covered"))
+    beside = found.select("_key", F.lit("b").alias("side"), F.explode("words_before").alias("word")).union(found.select("_key", F.lit("a").alias("side"), F.explode("words_after").alias("word")))
+    known = beside.join(dictionary, "word", "left_semi").groupBy("_key").agg(F.count_if(c("side") == "b").alias("_b"), F.count_if(c("side") == "a").alias("_a"))
+    df = found.join(flow, "candidate", "left").join(cover, "candidate", "left").join(known, "_key", "left")
     return df.withColumns(
         {
             "length": F.least(F.length("candidate"), F.lit(512)).cast("double"),
@@ -106,45 +131,73 @@ def features(found: DataFrame, counts: DataFrame, settings: Settings) -> DataFra
             "distinct": F.size(F.array_distinct(F.split("candidate", ""))) / F.length("candidate"),
             "transition": F.coalesce("transition", F.lit(-8.0)),
             "coverage": F.coalesce(c("_covered") / F.length("candidate"), F.lit(0.0)),
-            "slashes": share("[^/]"),
-            "assigned": c("before").rlike(r"[=:]\s*[\"']?$").cast("double"),
-            "quoted": c("before").rlike("[\"']$").cast("double"),
-            "credential": c("before").rlike(rf"{CREDENTIAL}\W*(?:\w+\W+){{0,2}}$").cast("double"),
+            "path": share("[^/]") * F.when(c("candidate").rlike(r"^[\w.-]*(?:/[\w.-]+)+$"), 1).otherwise(-1),
+            "before": F.size("words_before").cast("double"),
+            "after": F.size("words_after").cast("double"),
+            "known_before": F.coalesce("_b", F.lit(0)).cast("double"),
+            "known_after": F.coalesce("_a", F.lit(0)).cast("double"),
+            **{x: c(x).cast("double") for x in CONTEXT},
         }
-    ).drop("_covered")
+    ).drop("_covered", "_b", "_a", "words_before", "words_after")
+
+
+def named(assigned: Column, credential: Column) -> Column:
+    return (assigned == 1) & (credential == 1)
+
 
+def weak_label() -> Column:
+    """1, 0 or null, from the context and from what a value is known to be."""
+    number = digits(F.col("candidate"))
+    card = F.col("candidate").rlike("^[0-9]{13,19}$") & luhn(number)
+    told = named(F.col("assigned"), F.col("credential"))
+    return F.when(told & ~card, 1.0).when(card | ((F.col("assigned") == 0) & (F.col("quoted") == 0)), 0.0)
 
-def rule_label(before: Column, candidate: Column) -> Column:
-    """The label rule: a credential name is assigned the candidate, in the text before it or inside the run itself."""
-    inside = candidate.rlike(rf"^{CREDENTIAL}=")
-    return (before.rlike(rf"{CREDENTIAL}\w*\s*[=:]\s*[\"']?$") | inside).cast("double")
+
+def half(candidate: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("half"), candidate), F.lit(2))
+
+
+def fitted(told: DataFrame, names: tuple[str, ...], settings: Settings):
+    """A forest from rows with features and label, about half of each kind; None if all labels are alike."""
+    by = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}
+    if len(by) < 2:
+        return None
+    rate = F.when(F.col("label") == 1, min(1.0, settings.fit_rows / 2 / by[1.0])).otherwise(min(1.0, settings.fit_rows / 2 / by[0.0]))
+    draw = F.pmod(F.xxhash64("candidate", "_key"), F.lit(1 << 30)) / float(1 << 30)
+    rows = VectorAssembler(inputCols=list(names), outputCol="features").transform(told.filter(draw < rate))
+    sample = cut(rows.select("features", "label", "_key").repartition(8, F.xxhash64("_key")).select("features", "label"))
+    return RandomForestClassifier(numTrees=settings.trees, maxDepth=settings.depth, seed=settings.seed, labelCol="label").fit(sample)
 
 
 def scan(documents: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """doc_id, start, end, candidate, score and secret for each candidate. findings: before, candidate, label (0 or 1)."""
+    """doc_id, start, end, candidate, named (a credential name is assigned it), score and secret for each candidate.
+
+    findings: before, candidate, after (optional), label (0 or 1).
+    """
     c = F.col
     docs = pick(documents, doc_id=id_col, text=text_col)
-    found = cut(candidates(docs, settings))
+    found = cut(candidates(docs, settings).withColumn("_key", F.monotonically_increasing_id()))
     counts = cut(word_counts(docs))
     rows = cut(features(found, counts, settings))
     if findings is None:
-        told = rows.withColumn("label", rule_label(c("before"), c("candidate")))
+        names, told = CONTENT, rows.withColumn("label", weak_label()).filter("label IS NOT NULL")
     else:
-        told = features(findings.select("before", "candidate", c("label").cast("double").alias("label")), counts, settings)
-    by = told.groupBy("label").count().collect()
-    if len(by) < 2:
-        only = rule_label(c("before"), c("candidate"))
-        return rows.select("doc_id", "start", "end", "candidate", only.alias("score"), (only > 0.5).alias("secret"))
-    rate = F.when(c("label") == 1, min(1.0, settings.fit_rows / 2 / sum(r["count"] for r in by if r["label"] == 1))).otherwise(min(1.0, settings.fit_rows / 2 / sum(r["count"] for r in by if r["label"] == 0)))
-    draw = F.pmod(F.xxhash64("candidate", "before"), F.lit(1 << 30)) / float(1 << 30)
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    sample = cut(assembler.transform(told.filter(draw < rate)).select("features", "label").repartition(8, F.xxhash64("features")))
-    model = RandomForestClassifier(numTrees=settings.trees, maxDepth=settings.depth, seed=settings.seed, labelCol="label").fit(sample)
-    scored = model.transform(assembler.transform(rows))
-    p = vector_to_array(c("probability"))[1]
-    return scored.select("doc_id", "start", "end", "candidate", p.alias("score"), (p > 0.5).alias("secret"))
+        after = c("after") if "after" in findings.columns else F.lit("")
+        given = findings.select("candidate", c("label").cast("double").alias("label"), *[x.alias(k) for k, x in surroundings(c("before"), after, settings).items()])
+        names, told = CONTENT + CONTEXT, features(cut(given.withColumn("_key", F.monotonically_increasing_id())), counts, settings)
+    out, plain = None, named(c("assigned"), c("credential")).cast("double")
+    for k in range(2):
+        model = fitted(told.filter(half(c("candidate")) == 1 - k), names, settings)
+        mine = rows.filter(half(c("candidate")) == k)
+        if model is None:
+            scored = mine.withColumn("score", plain)
+        else:
+            scored = model.transform(VectorAssembler(inputCols=list(names), outputCol="features").transform(mine)).withColumn("score", vector_to_array(c("probability"))[1])
+        scored = scored.select("doc_id", "start", "end", "candidate", named(c("assigned"), c("credential")).alias("named"), "score", (c("score") > 0.5).alias("secret"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "secret")
+    return found.select("doc_id", "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"), "named", F.round("score", 6).alias("score"), "secret")
