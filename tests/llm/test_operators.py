@@ -180,6 +180,56 @@ def base_spans(text):
     return out
 
 
+def disclosed(rows, policy):
+    """Terms by entity, from counts over all rows."""
+    import math
+    from collections import Counter
+
+    share = {"email": lambda v: v.split("@")[1], "ip": lambda v: ".".join(v.split(".")[:3]), "card": lambda v: v[:6], "phone": lambda v: v[:5]}
+    value = {"email": str.lower, "ip": str, "card": lambda v: re.sub("[^0-9]", "", v), "phone": lambda v: "+" + re.sub("[^0-9]", "", v)}
+    letters = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    n_e, n_t, n_te, texts, of = Counter(), Counter(), Counter(), {}, []
+    for _, text in rows:
+        spans = sorted((a, z, k) for k, a, z in base_spans(text))
+        held, pairs = set(), set()
+        for i, (a, z, k) in enumerate(spans):
+            v = value[k](text[a:z])
+            left = letters(text[spans[i - 1][1] if i else 0 : a])
+            right = letters(text[z : spans[i + 1][0] if i + 1 < len(spans) else len(text)])
+            own = {f"{k} {v}", f"{k} of {share[k](v)}"}
+            held |= own
+            pairs |= {(e, t) for e in own for t in left[::-1][: policy.window] + right[: policy.window]}
+        of.append(held)
+        n_e.update(held)
+        n_t.update(set(letters(text)))
+        n_te.update(pairs)
+        for x in pairs:
+            texts.setdefault(x, set()).add(text)
+    n, out = len(rows), {}
+    for (e, t), k in n_te.items():
+        if len(texts[e, t]) >= policy.support and n_e[e] < n and math.log(k * n / (n_t[t] * n_e[e])) / math.log(n / n_e[e]) >= policy.generalise:
+            out.setdefault(e, set()).add(t)
+    return [set().union(*[out.get(e, set()) for e in held]) & set(letters(text)) for held, (_, text) in zip(of, rows, strict=True)]
+
+
+def test_pii_terms_against_brute_force(spark):
+    rng = random.Random(14)
+    value = lambda k: [f"p{k}@mail{k % 5}.example.com", f"10.{k % 3}.{k}.7", f"+1{k} (555) 100-12{k:02d}"][k % 3]
+    rows = []
+    for i in range(150):
+        ws = words(rng, 30, 60).translate(str.maketrans("0123456789", "ghijklmnop")).split()
+        for _ in range(rng.randint(0, 3)):
+            k, at = rng.randrange(14), rng.randrange(len(ws))
+            ws[at:at] = [*rng.sample(["Zebra" if k < 2 else "Bär", f"Desk{'abcdefghijklmn'[k]}", "call"], 3), value(k)]
+        rows.append((i, " ".join(ws)))
+    rows += rows[:9]
+    for policy in (pii.Policy(), pii.Policy(window=2, support=2, generalise=0.5, broadcast_terms=0)):
+        got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), policy=policy).collect()
+        want = disclosed(rows, policy)
+        assert sorted((r.doc_id, sorted({s.value.lower() for s in r.spans if s.kind == "term"})) for r in got) == sorted((d, sorted(t)) for (d, _), t in zip(rows, want, strict=True))
+        assert any(want)
+
+
 def test_pii(spark, corpus, empty):
     rng = random.Random(3)
     odd = ["a@b.c-_x@d.e", "1.2.3.4.5.6.7.8 999.1.1.1 0000255.1.1.1", "4111 1111 1111 1111 4111-1111-1111-1111-4111", "+1 (555) 123-4567 +1+22 333 444 55", "1 " * 4000 + "a@" + "b." * 4000 + "c", "9" * 20000, "@. ab@c.d"]
@@ -191,7 +241,8 @@ def test_pii(spark, corpus, empty):
     for r in got:
         assert [(s.kind, s.start, s.end) for s in r.base_spans] == base_spans(texts[r.doc_id])
     # a word that stands by one value only, in several different places, gives it away; a common one does not
-    near = [(i, f"{words(rng, 40)} codename zebra{'' if i < 6 else 'x'} {'' if i > 5 else 'me@corp.example.com'} {words(rng, 3)}") for i in range(12)]
+    near = [(i, f"{words(rng, 40)} codename of the zebra{'' if i < 6 else 'x'} {'' if i > 5 else 'me@corp.example.com'} {words(rng, 3)}") for i in range(12)]
+    near += [(i + 30, f"{words(rng, 20)} codename of the thing {words(rng, 9)}") for i in range(20)]
     plain = [(i + 50, words(rng, 60)) for i in range(60)]
     r = {x.doc_id: x for x in pii.sanitise(spark.createDataFrame(near + plain, "doc_id long, text string")).collect()}
     assert {s.value for s in r[0].spans if s.kind == "term"} == {"zebra"} and "zebra" not in r[0].sanitised and "[EMAIL]" in r[0].sanitised
@@ -235,10 +286,11 @@ def test_packing(spark, corpus, empty):
 
 
 def test_token_ids_equal_the_library():
-    rng, t = random.Random(1), TokenIds(public_tokenizers.path("byte_bpe_50k.json"), keep=50)
+    rng, t = random.Random(1), TokenIds(public_tokenizers.path("byte_bpe_50k.json"))
     parts = [*"ab 's1\n\té \x85\xa0\x1c\0.!<|", "  ", "\n\n", " \n", "<|endoftext|>", "don't", "日本", " the"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
-    assert t.ids(texts) == [t.whole(x) for x in texts]
+    texts += [" " * 1_000_000, " \t" * 400_000 + "y", "a" * 300_000, "".join(map(chr, range(1, 0x3000))), "x<|endoftext|> y<|endoftext|>"]
+    assert [t.ids(x) for x in texts] == [t.whole(x) for x in texts]
 
 
 def test_token_counts(spark, corpus, empty):
@@ -304,6 +356,58 @@ def test_url_rules(spark):
     assert url_rules.judge(df.limit(0), told).count() == 0
 
 
+def test_url_rules_against_all_sets(spark):
+    """Mined rules against every set of tokens of the bad pages; labels by chance give none."""
+    import math
+    from itertools import combinations
+
+    rng = random.Random(21)
+    urls = [f"http://{rng.choice(['a', 'b', 'www'])}.{rng.choice(['one', 'two', 'three'])}.{rng.choice(['com', 'net'])}/{rng.choice(['x', 'y', 'z'])}/{i}{rng.choice(['', '.html', '?k=1', '#top'])}" for i in range(600)]
+    urls += ["http://a.one.net/" + "long/" * 3000 + "x/7?k=1"] * 2
+    bad = [("net/x" in u.replace("one.", "").replace("two.", "").replace("three.", "") and rng.random() < 0.8) or rng.random() < 0.1 for u in urls]
+    pages = spark.createDataFrame([(i, u, "v", 1) for i, u in enumerate(urls)], "page_id long, url string, tokens string, id int")
+    sets = []
+    for u in urls:
+        host, _, path = u[7:].partition("/")
+        rest = re.search(r"(\?k)|(#top)", path)
+        ends = {"host:" + ".".join(host.split(".")[-k:]) for k in (1, 2, 3)}
+        path = re.split(r"[?#]", "/" + path)[0].split("/")
+        others = {"path:" + re.sub("[0-9]+", "0", re.sub(r"\.html$", "", p)) for p in path if p} | ({"ext:html"} if u.endswith(".html") else set()) | ({{"?k": "query:k", "#top": "fragment:top"}[rest[0]]} if rest else set())
+        sets.append((ends, others))
+
+    def all_rules(labels, m):
+        count, of_bad = {}, {}
+        for (ends, others), b in zip(sets, labels):
+            for own in [(), *[(e,) for e in ends]]:
+                for n in range(len(others) + 1):
+                    for more in combinations(sorted(others), n):
+                        if key := frozenset(own + more):
+                            count[key] = count.get(key, 0) + 1
+                            of_bad[key] = of_bad.get(key, 0) + b
+        base, n_bad = sum(labels) / len(labels), sum(labels)
+        # what is tried: the sets that are frequent among the views of bad pages, those without ending once in each view
+        views = {k: v if any(t.startswith("host:") for t in k) else 4 * v for k, v in of_bad.items()}
+        tried = sum(v >= max(m.min_bad, m.min_support * n_bad) for v in views.values())
+
+        def sure(k):
+            p = of_bad[k] / count[k]
+            if of_bad[k] < max(m.min_bad, m.min_support * n_bad) or p < m.min_lift * base or p <= base:
+                return False
+            return count[k] * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0)) > -math.log(m.alpha / tried)
+
+        good = {k: of_bad[k] / count[k] for k in count if sure(k)}
+        return {k for k, p in good.items() if not any(o < k and q >= p for o, q in good.items())}
+
+    mining = url_rules.Mining()
+    for labels in (bad, [rng.random() < 0.25 for _ in urls]):
+        told = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(labels)], "doc_id long, quality int, toxic int")
+        want = all_rules(labels, mining)
+        hit = [sum(k <= ends | others for k in want) for ends, others in sets]
+        got = {r.page_id: r for r in url_rules.judge(pages, told, rules=(), mining=mining).collect()}
+        assert [got[i].n_rules for i in range(len(urls))] == hit and [got[i].verdict for i in range(len(urls))] == ["block" if h else "allow" for h in hit]
+        assert bool(want) == (labels is bad)
+
+
 def test_secret_scan(spark, empty):
     rng = random.Random(8)
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
