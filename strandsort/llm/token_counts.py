@@ -8,35 +8,51 @@ transition reads one character and is annotated with the number of tokens by whi
 and transitions are made when they are first met and kept up to a bound.
 
 No piece has a blank behind another character, and unknown characters (which become their UTF-8 bytes) join nothing; so
-the state is the start state before each blank that follows another character, whatever was read before. The state map
-of a chunk of text is therefore (head, count, tail): what stands before the first such place, the tokens between, and
-what stands after the last. Maps compose associatively, but they are not scanned in parallel: the maps of a text's chunks are
-folded from left to right inside one call, and most texts, of one chunk without odd blanks, are sums of the counts of
-their words. Counts of complete stretches that were met before are kept. The map of a chunk without such a place is the
-chunk's own text; a very long text without blanks is put together again at each step and counted in one go.
+the state is the start state before each blank that follows another character, whatever was read before. What is read
+from the start state up to such a place is a macro transition: it is kept, with the state behind it, up to a bound.
+
+The state map of a chunk of text leads from a state before it to the state behind it and the tokens between; states are
+written out, so that maps made in different tasks fit together. Every text is cut into chunks, most into one. Chunks of
+longer texts are rows of their own and dealt to all tasks. Each is mapped from the state to which the last ``lead``
+characters before it lead from the start state. That is the true state wherever these characters have a blank or the
+state forgets what was before, as it nearly always does. The scan composes neighbours: a chunk's map holds if it begins
+in the state in which the one before it ends. Chunks for which that is not so are mapped again from there, all at once,
+until all maps of a text fit together. Then its count is their sum.
 
 Edge cases: a null text is empty and has no tokens. Repeated rows are counted each. An empty table gives an empty result.
-Texts are read whole, in chunks. Strings of special tokens inside texts are ordinary text. Only ids and texts are read.
+Texts are read whole, in chunks, with or without blanks. Strings of special tokens inside texts are ordinary text. Only ids and texts are read.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandsort.llm import words as W
-from strandsort.llm.common import pick, table
+from strandsort.llm.common import cut, pick, table
 
 BLANK = "▁"
 STRETCH = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 #: Before the first token and after an unknown character.
 NONE = ""
+#: The places at which a token may have begun: trie node reached since, token before, its count relative to the state's.
+State = tuple[tuple[int, str, int], ...]
+START: State = ((0, NONE, 0),)
+
+
+def written(state: State) -> str:
+    return json.dumps(state)
+
+
+def unwritten(text: str) -> State:
+    return tuple(tuple(x) for x in json.loads(text))
 
 
 class Transducer:
@@ -70,9 +86,8 @@ class Transducer:
         return cls({p.id_to_piece(i): p.get_score(i) for i in plain})
 
     def forget(self) -> None:
-        start = ((0, NONE, 0),)
-        self.number, self.states, self.next = {start: 0}, [start], [{}]
-        self.known: dict[str, int] = {}
+        self.number, self.states, self.next = {START: 0}, [START], [{}]
+        self.known: dict[str, tuple[int, int]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair encoding of a few characters: the best-scored neighbours join first, of equal ones the leftmost."""
@@ -133,64 +148,59 @@ class Transducer:
         self.next[state][c] = found
         return found
 
-    def count(self, stretch: str) -> int:
-        """Tokens of a stretch that begins in the start state."""
-        if len(self.states) > self.most_states:
-            self.forget()
-        state = total = 0
+    def read(self, state: int, stretch: str) -> tuple[int, int]:
+        """The state behind a stretch, and by how much the count changes."""
+        total = 0
         for c in stretch:
             state, n = self.next[state].get(c) or self.step(state, c)
             total += n
-        return total
+        return state, total
 
-    def __getitem__(self, stretch: str) -> int:
-        n = self.known.get(stretch)
-        if n is None:
-            n = self.count(stretch)
+    def macro(self, stretch: str) -> tuple[int, int]:
+        """read() from the start state, kept for short stretches."""
+        found = self.known.get(stretch)
+        if found is None:
+            found = self.read(0, stretch)
             if len(stretch) <= 64:
                 if len(self.known) >= self.most_counts:
                     self.known.clear()
-                self.known[stretch] = n
-        return n
-
-    def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:
-        """(head, count, tail) of a chunk of text with blanks put as BLANK; tail is None if the head is all of it."""
-        parts = STRETCH.findall(chunk)
-        if not parts or len(parts) == 1 and chunk[0] != BLANK:
-            return chunk, 0, None
-        if chunk[0] == BLANK:  # a blank may go on a run of blanks before it
-            lead = len(chunk) - len(chunk.lstrip(BLANK))
-            if lead == len(chunk) or len(parts) == 1:
-                return chunk, 0, None
-        return parts[0], sum(map(self.__getitem__, parts[1:-1])), parts[-1]
-
-    def compose(self, a: tuple[str, int, str | None], b: tuple[str, int, str | None]) -> tuple[str, int, str | None]:
-        if a[2] is None and b[2] is None:
-            return self.cut_head(a[0] + b[0])
-        if a[2] is None:
-            head, n, tail = self.cut_head(a[0] + b[0])
-            return (head, b[1], b[2]) if tail is None else (head, n + self[tail] + b[1], b[2])
-        head, n, tail = self.cut_head(a[2] + b[0])
-        if b[2] is None:
-            return (a[0], a[1], head) if tail is None else (a[0], a[1] + self[head] + n, tail)
-        return (a[0], a[1] + self[head] + b[1], b[2]) if tail is None else (a[0], a[1] + self[head] + n + self[tail] + b[1], b[2])
-
-    def cut_head(self, text: str) -> tuple[str, int, str | None]:
-        parts = STRETCH.findall(text)
-        return (text, 0, None) if len(parts) < 2 else (parts[0], sum(map(self.__getitem__, parts[1:-1])), parts[-1])
+                self.known[stretch] = found
+        return found
+
+    def chunk_map(self, state: State, chunk: str) -> tuple[State, int]:
+        """Where a chunk (blanks put as BLANK) leads from a state, and by how much the count changes."""
+        if len(self.states) > self.most_states:
+            self.forget()
+        at, total = self.numbered(state), 0
+        after_blank = state[-1][1].endswith(BLANK)
+        for stretch in STRETCH.findall(chunk):
+            if stretch[0] == BLANK and not after_blank:
+                at = 0
+            at, n = self.macro(stretch) if at == 0 else self.read(at, stretch)
+            total += n
+            after_blank = stretch[-1] == BLANK
+        return self.states[at], total
+
+    def numbered(self, state: State) -> int:
+        """The number of a state that was written out, here or elsewhere."""
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+            self.next.append({})
+        return self.number[state]
 
     def total(self, text: str, chunk: int = 1 << 16) -> int:
-        if not text:
-            return 0
-        if len(text) <= chunk and text[0] != " " and "  " not in text and " \n" not in text and BLANK not in text:
-            # one chunk whose stretches are its words; a line end is unknown to all pieces or not, and cut off only if so
-            if "\n" in text and "\n" not in self.characters:
-                return sum(map(self.__getitem__, [w if w[:1] == "\n" else BLANK + w for w in text.replace("\n", " \n").split(" ")]))
-            return sum(map(self.__getitem__, [BLANK + w for w in text.split(" ")]))
-        text = BLANK + text.replace(" ", BLANK)
-        maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        head, n, tail = reduce(self.compose, maps)
-        return self[head] + n + (self[tail] if tail is not None else 0)
+        """Tokens of a text, whose chunks' maps are composed one after another."""
+        state, total = START, 0
+        for part in chunks(text, chunk):
+            state, n = self.chunk_map(state, part)
+            total += n
+        return total
+
+
+def chunks(text: str, size: int) -> list[str]:
+    text = BLANK + text.replace(" ", BLANK) if text else ""
+    return [text[i : i + size] for i in range(0, len(text), size)]
 
 
 @lru_cache(1)
@@ -199,25 +209,60 @@ def compiled(model: str) -> Transducer:
     return Transducer.of_model(model)
 
 
-def token_counts(documents: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit (more tokens than the limit)."""
-    docs = pick(documents, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+MAPPED = "row long, doc_id long, n_bytes long, i long, parts long, before string, behind string, n long"
+
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def mapped(pieces: DataFrame, model: str) -> DataFrame:
+    """The state maps of pieces (row, doc_id, n_bytes, i, parts, before, lead, chunk), from ``before`` or else from where the lead leads."""
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
         for batch in batches:
-            for at, texts in W.pieces(batch.column("text")):
-                _, off = W.flat(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(at, len(texts)),
-                        pa.array(off[1:] - off[:-1], pa.int64()),
-                        pa.array([transducer.total(t or "") for t in texts.to_pylist()], pa.int64()),
-                    ],
-                    names=["doc_id", "n_bytes", "n_tokens"],
-                )
-
-    return docs.mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+            out = []
+            for before, lead, chunk in zip(*[batch.column(c).to_pylist() for c in ("before", "lead", "chunk")], strict=True):
+                state = unwritten(before) if before else transducer.chunk_map(START, lead.replace(" ", BLANK))[0] if lead else START
+                behind, n = transducer.chunk_map(state, chunk.replace(" ", BLANK))
+                out.append((state, behind, n))
+            whole = np.asarray(batch.column("parts")) == 1
+            states = [pa.array([None if one else written(r[k]) for one, r in zip(whole, out, strict=True)], pa.string()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "n_bytes", "i", "parts")], *states, pa.array([r[2] for r in out], pa.int64())], names=[x.split()[0] for x in MAPPED.split(", ")])
+
+    return pieces.mapInArrow(maps, MAPPED)
+
+
+def composed(pieces: DataFrame, model: str) -> DataFrame:
+    """mapped() of the pieces of long texts, each from the state in which the one before it ends."""
+    c = F.col
+    maps = cut(mapped(pieces, model))
+    before = Window.partitionBy("row").orderBy("i")  # a row a chunk, without its text
+    while True:
+        chained = maps.withColumn("_true", F.lag("behind").over(before))
+        wrong = cut(chained.filter("i > 0 AND before <> _true").select(c("row").alias("_row"), c("i").alias("_i"), "_true"))
+        if wrong.isEmpty():
+            return maps
+        again = pieces.join(F.broadcast(wrong) if wrong.count() <= 100_000 else wrong, (c("row") == c("_row")) & (c("i") == c("_i"))).withColumn("before", c("_true")).drop("_row", "_i", "_true")
+        maps = cut(maps.join(wrong, (c("row") == c("_row")) & (c("i") == c("_i")), "left_anti").union(mapped(again, model)))
+
+
+def token_counts(documents: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, chunk: int = 1 << 16, lead: int = 256) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit (more tokens than the limit)."""
+    c = F.col
+    docs = pick(documents, doc_id=id_col, text=text_col)
+    # the blank before a text is the tokenizer's; an empty text has none
+    whole = F.when(F.length("text") > 0, F.concat(F.lit(BLANK), "text")).otherwise("")
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), c("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), whole.alias("text"))
+    one = F.lit(None).cast("string").alias("before"), F.lit("").alias("lead")
+    short = docs.filter(F.length("text") <= chunk).select("row", "doc_id", "n_bytes", F.lit(0).cast("long").alias("i"), F.lit(1).cast("long").alias("parts"), *one, c("text").alias("chunk"))
+    counts = mapped(short, model).select("doc_id", "n_bytes", c("n").alias("n_tokens"))
+    long_ = docs.filter(F.length("text") > chunk).withColumn("all", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))).drop("text")
+    leads = F.concat(F.array(F.lit("")), F.transform("all", lambda x: F.right(x, F.lit(lead))))
+    dealt = long_.select("row", "doc_id", "n_bytes", F.size("all").cast("long").alias("parts"), leads.alias("leads"), F.posexplode("all").alias("i", "chunk"))
+    dealt = dealt.select("row", "doc_id", "n_bytes", c("i").cast("long").alias("i"), "parts", one[0], F.get("leads", c("i")).alias("lead"), "chunk")
+    pieces = cut(dealt.repartition("row", "i"))
+    if not pieces.isEmpty():
+        summed = composed(pieces, model).groupBy("row", "doc_id", "n_bytes").agg(F.sum("n").alias("n_tokens"))
+        counts = counts.union(summed.select("doc_id", "n_bytes", "n_tokens"))
+    return counts.withColumn("over_limit", c("n_tokens") > limit)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
