@@ -62,6 +62,18 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def carry(df: DataFrame, **columns: str) -> DataFrame:
+    """The whole row as a struct ``_source`` of numbered fields, which no name can clash with, and the named columns under the names given."""
+    place = {f.name: i for i, f in enumerate(df.schema.fields)}
+    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return flat.select(F.struct(*flat.columns).alias("_source"), *[F.col(f"_{place[old]}").alias(new) for new, old in columns.items()])
+
+
+def put_back(names: list[str], instead: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of rows that were carried, some of them replaced."""
+    return [(instead or {}).get(x, F.col(f"_source._{i}")).alias(x) for i, x in enumerate(names)]
+
+
 def behind_barrier(df: DataFrame, keep: list[str]) -> DataFrame:
     """The same rows and columns; the columns beside ``keep`` are computed once, where they are.
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandsort.llm import words as W
-from strandsort.llm.common import cut, pick, table, text_key
+from strandsort.llm.common import carry, cut, pick, put_back, table, text_key
 
 PAD = np.uint64(0x5BD1E9955BD1E995)
 
@@ -381,8 +381,9 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, search: Search
     found = cut(keyed_matches(documents, benchmark, search).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
-    same = documents.doc_id.cast("long").eqNullSafe(found["_id"]) & (text_key(documents.text) == found["_key"])
-    return documents.join(found, same, "left_anti")
+    rows = carry(documents, doc_id="doc_id", text="text")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key("text") == F.col("_key"))
+    return rows.join(found, same, "left_anti").select(*put_back(documents.columns))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandsort.llm import words as W
-from strandsort.llm.common import cut, pick, table, text_key
+from strandsort.llm.common import carry, cut, pick, put_back, table, text_key
 from strandsort.llm.graph import components
 
 
@@ -272,10 +272,11 @@ def keep_one(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
     first = cut(heads.union(alone)).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     if first.count() <= forest.broadcast_rows:
         first = F.broadcast(first)
-    same = documents.doc_id.cast("long").eqNullSafe(first["_id"]) & (text_key(documents.text) == first["_key"])
-    kept = documents.join(first, same)
-    once = kept.filter("_times = 1").drop("_id", "_key", "_times")
-    return once.union(kept.filter("_times > 1").dropDuplicates(["_id", "_key"]).drop("_id", "_key", "_times"))
+    rows = carry(documents, doc_id="doc_id", text="text")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & text_key("text").eqNullSafe(F.col("_key"))
+    kept = rows.join(first, same).select("_source", "_id", "_key", "_times")
+    once, more = kept.filter("_times = 1"), kept.filter("_times > 1").dropDuplicates(["_id", "_key"])
+    return once.union(more).select(*put_back(documents.columns))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

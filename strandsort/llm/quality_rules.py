@@ -27,7 +27,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandsort.llm.common import behind_barrier, pick, table
+from strandsort.llm.common import behind_barrier, carry, pick, put_back, table
 
 #: Fixed values of the base statistics.
 SYMBOLS = r"[#*$%&|<>]+"
@@ -192,12 +192,10 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_good(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
     """The documents that pass, with their own columns."""
-    columns = documents.columns
-    source = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_source")
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    turns = order_rules(documents.select(text), BASE_RULES + rules, sample_rows)
-    judged = cascade(documents.select(source, text), turns, "failed").select("_source", "failed")
-    return behind_barrier(judged, keep=["_source"]).filter("failed IS NULL").select(*[F.col(f"_source.`{c}`").alias(c) for c in columns])
+    turns = order_rules(pick(documents, text="text"), BASE_RULES + rules, sample_rows)
+    rows = carry(documents, text="text").withColumn("text", F.coalesce("text", F.lit("")))
+    judged = cascade(rows, turns, "failed").select("_source", "failed")
+    return behind_barrier(judged, keep=["_source"]).filter("failed IS NULL").select(*put_back(documents.columns))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

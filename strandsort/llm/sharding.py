@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandsort.llm import words as W
-from strandsort.llm.common import table, written_table
+from strandsort.llm.common import carry, pick, put_back, table, written_table
 
 #: Buckets are numbered in blocks, whose sums are added up before those of their members.
 BLOCK = 1024
+#: Buckets that a task reads, one after another, on average.
+TASK_BUCKETS = 4
 
 
 def size_of(text: Column) -> Column:
@@ -35,7 +37,7 @@ def size_of(text: Column) -> Column:
 
 
 def bucket_count(records: DataFrame, bucket_bytes: int, text_col: str = "text") -> int:
-    total = records.agg(F.sum(size_of(F.col(f"`{text_col}`")))).first()[0] or 0
+    total = pick(records, text=text_col).agg(F.sum(size_of(F.col("text")))).first()[0] or 0
     return max(1, -(-total // bucket_bytes))
 
 
@@ -50,44 +52,49 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def shuffled(records: DataFrame, seed: int = 0, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The records with _bucket and _rank, their place in it, in shuffled order within each partition's buckets."""
+    """_source (the records, see carry()), bucket and rank, the place in it, in shuffled order within each partition's buckets.
+
+    There are as many tasks as let each read TASK_BUCKETS buckets, so that a task's share does not grow with the input.
+    """
     buckets = bucket_count(records, bucket_bytes, text_col)
-    place = records.withColumn("_at", F.monotonically_increasing_id())
-    scattered = place.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), "_at"), F.lit(buckets)))
-    schema = T.StructType([*records.schema.fields, T.StructField("_bucket", T.LongType()), T.StructField("_rank", T.LongType())])
+    place = carry(records, id=id_col).withColumn("at", F.monotonically_increasing_id())
+    scattered = place.select("_source", F.pmod(F.xxhash64(F.lit(seed), "id", "at"), F.lit(buckets)).alias("bucket"), "at")
+    schema = T.StructType([scattered.schema["_source"], T.StructField("bucket", T.LongType()), T.StructField("rank", T.LongType())])
+    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // TASK_BUCKETS))
 
     def permuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in W.whole_groups(batches, ["_bucket"]):
-            b = W.bounds(t, ["_bucket"])
+        for t in W.whole_groups(batches, ["bucket"]):
+            b = W.bounds(t, ["bucket"])
             for x, y in zip(b[:-1], b[1:], strict=True):
                 g = t.slice(x, y - x)
-                order = fisher_yates(y - x, np.random.default_rng((seed, g.column("_bucket")[0].as_py())))
+                order = fisher_yates(y - x, np.random.default_rng((seed, g.column("bucket")[0].as_py())))
                 for lo in range(0, y - x, 4096):
                     some = g.take(pa.array(order[lo : lo + 4096]))
-                    some = some.drop_columns(["_at"]).append_column("_rank", pa.array(np.arange(lo, lo + some.num_rows)))
+                    some = some.drop_columns(["at"]).append_column("rank", pa.array(np.arange(lo, lo + some.num_rows)))
                     yield from some.combine_chunks().to_batches()
 
-    return scattered.repartition("_bucket").sortWithinPartitions("_bucket", "_at").mapInArrow(permuted, schema)
+    return scattered.repartition(tasks, "bucket").sortWithinPartitions("bucket", "at").mapInArrow(permuted, schema)
 
 
 def offsets(counts: DataFrame) -> DataFrame:
-    """(_bucket, _before): how many records lie in the buckets before each, block sums first."""
+    """(bucket, before): how many records lie in the buckets before each, block sums first."""
     from pyspark.sql import Window
 
-    blocks = counts.withColumn("_block", F.floor(F.col("_bucket") / BLOCK))
-    ahead = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.groupBy("_block").agg(F.sum("_n").alias("_n")).select("_block", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_block").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, "_block").select("_bucket", (F.col("_start") + F.col("_in")).alias("_before"))
+    blocks = counts.withColumn("block", F.floor(F.col("bucket") / BLOCK))
+    ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for 1024 buckets
+    starts = blocks.groupBy("block").agg(F.sum("n").alias("n")).select("block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, "block").select("bucket", (F.col("start") + F.col("in")).alias("before"))
 
 
 def sharded(records: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The records with shard and slot. Equal counts are what is asked for, so that places need the buckets' sizes: the order is written first."""
+    """The records with shard and slot; columns of theirs with these names get a trailing underscore. Equal counts are what is asked for, so that places need the buckets' sizes: the order is written first."""
     done = written_table(shuffled(records, seed, bucket_bytes, id_col, text_col))
-    before = offsets(done.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")))
-    place = F.col("_before") + F.col("_rank")
-    placed = done.join(F.broadcast(before) if bounded(before) else before, "_bucket")
-    return placed.select(*[F.col(f"`{c}`") for c in records.columns], (place % shards).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
+    before = offsets(done.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    place = F.col("before") + F.col("rank")
+    placed = done.join(F.broadcast(before) if bounded(before) else before, "bucket")
+    own = [f"{x}_" if x.lower() in ("shard", "slot") else x for x in records.columns]
+    return placed.select(*put_back(own), (place % shards).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
 
 
 def bounded(rows: DataFrame, most: int = 1_000_000) -> bool:
@@ -100,7 +107,7 @@ def write_shards(records: DataFrame, path: str, shards: int, seed: int = 0, buck
     placed = sharded(records, shards, seed, bucket_bytes)
     rows = max(1, records.count() // shards)
     parts = F.floor(F.col("slot") / F.lit(max(1, min(rows, 100_000))))
-    placed.withColumn("_part", parts).repartition("shard", "_part").sortWithinPartitions("shard", "slot").drop("_part").write.partitionBy("shard").parquet(path)
+    placed.repartition(F.col("shard"), parts).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
