@@ -4,9 +4,9 @@ The kernel of two texts is the share of common character n-grams (n = 1 to 3, ea
 |G(x) & G(z)| / sqrt(|G(x)| |G(z)|). Landmarks span the feature space: phi(x) = k(x, landmarks) K^(-1/2). One ridge
 regression for each language, fitted on a bounded sample of labelled texts, scores a batch by one matrix product.
 
-The fit uses ``fit_rows`` labelled texts a language at most (a documented bound) and ``landmarks`` of them; every text is
-predicted, whole. What goes to the tasks are the landmarks' n-gram tables and the weights, whose size depends on these
-parameters alone.
+The fit uses about ``fit_rows`` labelled texts (a documented bound), shared out among all languages, and ``landmarks`` of
+them; no label is left out, however many there are. n-grams are of characters. Every text is predicted, whole. What goes to the tasks are the landmarks' n-gram tables and the weights, whose size depends on these
+parameters and the number of labels.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0. Rows without a label are no examples. With no
 labelled rows at all every text is ``und``. Repeated rows are predicted alike; an empty table gives an empty result. Only
@@ -33,18 +33,18 @@ ORDERS = (1, 2, 3)
 BASE = {n: sum(1 << (BITS * k) for k in ORDERS if k < n) for n in ORDERS}
 CODES = sum(1 << (BITS * n) for n in ORDERS)
 
-#: Letters a to z are 1 to 26, bytes of characters beyond ASCII 27 to 63, all else 0.
-FOLD = np.zeros(256, np.int64)
+#: Letters a to z are 1 to 26, other ASCII characters 0; characters beyond ASCII are hashed to 27 to 63.
+FOLD = np.zeros(128, np.int64)
 FOLD[97:123] = np.arange(1, 27)
-FOLD[128:] = 27 + np.arange(128) % 37
 
 
 @dataclass(frozen=True)
 class Settings:
-    fit_rows: int = 600
+    #: Labelled texts for the fit, shared out among the languages, ``least_rows`` each at least.
+    fit_rows: int = 2400
+    least_rows: int = 4
     landmarks: int = 192
     ridge: float = 0.1
-    most_languages: int = 300
     seed: int = 5
 
 
@@ -69,9 +69,14 @@ class Model:
 _seen = np.zeros(CODES, np.int64)
 
 
-def gram_set(data: np.ndarray) -> np.ndarray:
-    """Codes of the n-grams that occur in the lower-cased bytes, each once."""
-    c = FOLD[data]
+def folded(points: np.ndarray) -> np.ndarray:
+    """The code of each character."""
+    mixed = (points * np.uint32(2654435769)) >> np.uint32(16)
+    return np.where(points < 128, FOLD[np.minimum(points, 127)], 27 + (mixed % np.uint32(37)).astype(np.int64))
+
+
+def gram_set(c: np.ndarray) -> np.ndarray:
+    """Codes of the n-grams that occur in the folded characters, each once."""
     all_ = [c + BASE[1]]
     code = c
     for n in ORDERS[1:]:
@@ -84,15 +89,22 @@ def gram_set(data: np.ndarray) -> np.ndarray:
 
 
 def gram_sets(texts: pa.Array) -> list[np.ndarray]:
-    data, off = W.flat(pc.utf8_lower(pc.fill_null(texts, "")))
-    return [gram_set(data[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
+    low = pc.utf8_lower(pc.fill_null(texts, ""))
+    points = folded(np.frombuffer(W.flat(low)[0].tobytes().decode().encode("utf-32-le"), np.uint32))
+    off = np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(low), np.int64))])
+    return [gram_set(points[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
 
 
 def fit(sets: list[np.ndarray], labels: list[str], settings: Settings) -> Model:
     languages, rng = sorted(set(labels)), np.random.default_rng(settings.seed)
     y = np.array([languages.index(x) for x in labels])
-    share = max(1, settings.landmarks // len(languages))
-    marks = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:share] for k in range(len(languages))])
+    # as many of each language as there is room for: first one of each in random turn, then another
+    turn = rng.permutation(len(y))
+    rank = np.empty(len(y), np.int64)
+    for k in range(len(languages)):
+        own = turn[y[turn] == k]
+        rank[own] = np.arange(len(own))
+    marks = turn[np.argsort(rank[turn], kind="stable")][: settings.landmarks]
     known = np.unique(np.concatenate([sets[i] for i in marks]))
     column = np.full(CODES, -1, np.int32)
     column[known] = np.arange(len(known))
@@ -119,21 +131,22 @@ def remainder(doc_id: Column) -> Column:
 
 
 def examples(documents: DataFrame, settings: Settings) -> tuple[list[np.ndarray], list[str]]:
-    """n-gram sets and labels of a sample of the labelled rows, of about fit_rows rows a language."""
+    """n-gram sets and labels of a sample of the labelled rows; every label is learned."""
     labelled = documents.filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.most_languages).collect()
+    counts = labelled.groupBy("lang").count().collect()  # a row a label, as in the model's own class table
     if not counts:
         return [], []
+    share = max(settings.least_rows, settings.fit_rows // len(counts))
     draw = F.pmod(F.xxhash64(F.lit(settings.seed), "doc_id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, settings.fit_rows / r["count"])))])
+    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, share / r["count"])))])
     chosen = labelled.filter(draw < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)))
 
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = gram_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([s.astype(np.int32) for s in sets], pa.list_(pa.int32()))], names=["lang", "grams"])
 
-    rows = chosen.select("lang", "text").mapInArrow(folded, "lang string, grams array<int>").filter("size(grams) > 0").toArrow()
+    rows = chosen.select("lang", "text").mapInArrow(grams, "lang string, grams array<int>").filter("size(grams) > 0").toArrow()
     order = sorted(range(rows.num_rows), key=lambda i, g=rows.column("grams").to_pylist(), y=rows.column("lang").to_pylist(): (y[i], g[i]))
     g, y = rows.column("grams").to_pylist(), rows.column("lang").to_pylist()
     return [np.array(g[i], np.int64) for i in order], [y[i] for i in order]
