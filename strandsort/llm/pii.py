@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandsort.llm.common import cut, table
+from strandsort.llm.common import carry, cut, put_back, table
 
 #: A private-use character; where a text has it itself, it reads as a letter there, which no pattern takes as a mark.
 MARK = ""
@@ -176,14 +176,13 @@ def term_spans(based: DataFrame, terms: DataFrame, policy: Policy) -> DataFrame:
     """Add _term and _removed (of the same kind): where disclosing terms of a document's entities stand in it."""
     c = F.col
     values = based.select("_row", F.explode(held_entities()).alias("entity"))
-    of = lambda rule: F.array_sort(F.array_distinct(F.collect_list(F.when(rule, c("term")))))
-    strong = c("disclosure") >= policy.remove
-    held = values.join(terms, "entity").groupBy("_row").agg(of(strong).alias("_strong"), of(~strong).alias("_weak"))
+    strong = F.collect_set(F.when(c("disclosure") >= policy.remove, c("term")))
+    held = values.join(terms, "entity").groupBy("_row").agg(F.array_sort(F.collect_set("term")).alias("_all"), strong.alias("_strong"))
     df = based.join(held, "_row", "left")
-    pattern = lambda words: F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))
-    spans = lambda words: F.when(F.size(words) > 0, found(c("_text"), pattern(words), "term")).otherwise(F.array().cast(NO_SPANS))
-    df = df.withColumn("_weak", F.array_except("_weak", "_strong"))
-    return df.withColumns({"_term": spans(c("_weak")), "_removed": spans(c("_strong"))}).drop("_strong", "_weak", "_row")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_all", "|"), F.lit(r")(?!\p{L})"))
+    df = df.withColumn("_found", F.when(c("_all").isNotNull(), found(c("_text"), pattern, "term")).otherwise(F.array().cast(NO_SPANS)))
+    gone = lambda s: F.coalesce(F.array_contains("_strong", F.lower(s["value"])), F.lit(False))
+    return df.withColumns({"_term": F.filter("_found", lambda s: ~gone(s)), "_removed": F.filter("_found", gone)}).drop("_strong", "_all", "_found", "_row")
 
 
 def replaced(text: Column, spans: Column, removed: Column) -> Column:
@@ -202,9 +201,9 @@ def replaced(text: Column, spans: Column, removed: Column) -> Column:
 
 
 def sanitise(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: Policy = Policy()) -> DataFrame:
-    """_source (the input row), doc_id, sanitised, n_<kind>, base_spans and spans (arrays of kind, start, end, value), a row per document."""
+    """_source (the input row, see carry()), doc_id, sanitised, n_<kind>, base_spans and spans (arrays of kind, start, end, value), a row per document."""
     c = F.col
-    docs = documents.select(F.struct(*[c(f"`{x}`") for x in documents.columns]).alias("_source"), c(f"`{id_col}`").alias("_id"), c(f"`{text_col}`").alias("_text"))
+    docs = carry(documents, _id=id_col, _text=text_col)
     # the filters would be pushed below the patterns, which would then be searched once more; not past this id
     judged = with_base(docs).withColumn("_row", F.monotonically_increasing_id())
     some = "_row >= 0 AND (" + " OR ".join(f"size(_{k}) > 0" for k in KINDS) + ")"
@@ -227,8 +226,7 @@ def sanitise(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def sanitised_documents(documents: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """The documents with their sanitised texts, and n_chars, if there is such a column, as it then is."""
     found_ = sanitise(documents, policy=policy)
-    new = {"text": F.col("sanitised"), "n_chars": F.length("sanitised").cast("long")}
-    return found_.select(*[new.get(x, F.col(f"_source.`{x}`")).alias(x) for x in documents.columns])
+    return found_.select(*put_back(documents.columns, {"text": F.col("sanitised"), "n_chars": F.length("sanitised").cast("long")}))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
