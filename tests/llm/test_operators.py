@@ -310,6 +310,20 @@ def test_token_counts(spark, corpus, empty):
     assert token_counts.token_counts(empty, model).count() == 0
 
 
+def test_token_counts_of_texts_split_over_tasks(spark):
+    """Chunks as rows, with and without blanks, where the lead is too short to tell the state, against the library."""
+    import sentencepiece
+
+    model, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(4)
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = [words(rng, 300), "".join(rng.choice("abcdethion日") for _ in range(900)), " " * 400, "a" * 700, "▁" * 50 + "the  end\n" * 60, "", None, "x", words(rng, 300)]
+    texts += ["internationalization" * 20, "<0x0A></s>" * 40]
+    df = spark.createDataFrame([(i, t, 1, "c") for i, t in enumerate(texts)], "doc_id long, text string, row int, chunk string")
+    for chunk, lead in ((40, 8), (37, 0), (400, 256)):
+        got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.token_counts(df, model, chunk=chunk, lead=lead).collect()}
+        assert got == {i: (len((t or "").encode()), len(library.encode(t or ""))) for i, t in enumerate(texts)}
+
+
 def test_sharding(spark, corpus, empty, tmp_path):
     rows = sharding.sharded(corpus, 5, bucket_bytes=2000).collect()
     assert sorted((r.doc_id, r.text) for r in rows if r.doc_id is not None and r.text) == sorted((r.doc_id, r.text) for r in corpus.collect() if r.doc_id is not None and r.text)
@@ -337,6 +351,9 @@ def test_language_id(spark, empty):
     assert np.mean([got[i].lang_pred == lang for i, _, lang in rows]) > 0.98
     assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got.values())
     assert language_id.languages(empty.select("doc_id", "text"), empty).count() == 0
+    many = spark.createDataFrame([(i, make("abcdefgh"), f"l{i % 400}") for i in range(1200)], "doc_id long, text string, lang string")
+    few = language_id.Settings(fit_rows=300, landmarks=32)
+    assert len(set(language_id.examples(many, few)[1])) == 400 and language_id.languages(many.select("doc_id", "text"), many, few).filter("lang_pred LIKE 'l%'").count() == 1200
     unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id.languages(df.select("doc_id", "text"), unlabelled).collect()} == {"und"}
 
@@ -408,6 +425,65 @@ def test_url_rules_against_all_sets(spark):
         assert bool(want) == (labels is bad)
 
 
+CLASHES = ["TEXT", "_source", "_row", "_barrier", "_times", "_key", "_id", "_0", "bucket", "at", "rank", "before", "shard", "slot", "node", "key", "component", "failed", "words", "n_words", "tokens", "id", "host", "candidate", "label", "features", "lead", "chunk", "_text", "value"]
+
+
+def test_columns_that_clash(spark):
+    """No operator minds columns named like its own, or like the text but for the case; rows come back with them."""
+    rng = random.Random(2)
+    rows = [(i, words(rng, 80, 3000), "en") for i in range(6)] + [(None, None, None), (0, "same " * 60, "en")]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"`{x}` string" for x in CLASHES)
+    df = spark.createDataFrame([r + ("x",) * len(CLASHES) for r in rows], schema)
+    bench = spark.createDataFrame([(1, rows[2][1], "x", "y")], "item_id long, text string, TEXT string, _n string")
+    names = df.columns
+    for got, n in ((quality_rules.keep_good(df), 6), (jaccard_join.keep_one(df), 8), (decontamination.drop_contaminated(df, bench), 7), (pii.sanitised_documents(df), 8)):
+        assert got.columns == names and got.count() == n and {tuple(r)[3:] for r in got.collect()} == {("x",) * len(CLASHES)}
+    assert quality_rules.judge(df).filter("kept").count() == 6 and jaccard_join.near_duplicates(df).count() == 8 and decontamination.contaminated(df, bench).count() == 1
+    got = sharding.sharded(df, 3)
+    assert got.columns == [f"{x}_" if x in ("shard", "slot") else x for x in names] + ["shard", "slot"] and got.count() == 8
+    plan = packing.Plan(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.packed_documents(df, plan).count() == 8 and token_counts.token_counts(df, public_tokenizers.path("piece_bpe_32k.model")).count() == 8
+    assert secret_scan.scan(df).count() == 0 and pii.sanitise(df).count() == 8
+    pages = df.toDF("page_id", "url", *names[2:])
+    assert url_rules.judge(pages, df.toDF("doc_id", "quality", "toxic", *names[3:]).limit(0)).count() == 8
+
+
+def test_judge_stands_below_filters(spark):
+    """A filter on a verdict does not multiply the statistics below it."""
+    df = spark.createDataFrame([(1, "a b c " * 30)], "doc_id long, text string")
+    judged = quality_rules.judge(df)
+    for cond in ("kept", "failed_rule = 'x'", "n_words > 3", "base_failed OR kept"):
+        plan = judged.filter(cond).select("doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") <= 2 and len(plan) < 20_000
+
+
+def test_cascade_order():
+    """By rejections per cost among the rows that are left."""
+    rules = tuple(quality_rules.Rule(x, "true") for x in "abc")
+    # a rejects most but is dear; b rejects the same rows cheaply; c others
+    got = quality_rules.by_rank(rules, [1.0, 0.25, 0.5], [(0b011, 40), (0b100, 10), (0, 50)])
+    assert [m.rule.name for m in got] == ["b", "c", "a"] and [m.rejects for m in got] == [0.4, 10 / 60, 0.0]
+
+
+def test_secret_scan_candidates_and_labels(spark):
+    """Values of any kind behind a credential name; the forest goes against labels that are wrong or missing."""
+    rng = random.Random(18)
+    key = lambda n=40: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    card = lambda: "4111111111111111"
+    texts = [f'{words(rng, 8)} token = "{key()}" {words(rng, 5)}' if i % 2 else f"{words(rng, 8)} {rng.randrange(10**15, 10**16)} {words(rng, 5)}" for i in range(160)]
+    odd = {
+        "assigned card": f'{words(rng, 8)} token = "{card()}" end', "bare key": f"{words(rng, 8)} {key()} end", "pass phrase": 'my password: "Tr0ub4dor & co!" end', "short": "pwd=a1!x end",
+        "letters": f"see {'aBcDeFgHiJkLmNoPqRsT'} end", "plain word": "see Zusammenstellung here", "path": "see src/main/java/util1/name2 end",
+    }
+    rows = [*enumerate(texts), *enumerate(odd.values(), 1000), (1000, odd["assigned card"])]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {n: [r for r in got if r.doc_id == 1000 + i] for i, n in enumerate(odd)}
+    assert [r.candidate for n in ("pass phrase", "short", "letters") for r in by[n]] == ["Tr0ub4dor & co!", "a1!x", "aBcDeFgHiJkLmNoPqRsT"] and not by["plain word"]
+    assert len(by["assigned card"]) == 2 and all(r.named and not r.secret for r in by["assigned card"])
+    assert all(not r.named and r.secret for r in by["bare key"]) and len(by["bare key"]) == 1
+    assert all(dict(rows)[r.doc_id][r.start : r.end] == r.candidate for r in got)
+
+
 def test_secret_scan(spark, empty):
     rng = random.Random(8)
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
