@@ -31,15 +31,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandsort.llm.common import cut, pick, table
+from strandsort.llm.common import behind_barrier, cut, pick, table
 from strandsort.llm.pii import digits, luhn
 
 CREDENTIAL = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
 #: A name and the sign behind it; then what it is assigned, quoted or up to a blank.
 NAMED = rf"(?<![\w.-])[\w.-]*?(?i:{CREDENTIAL})[\w.-]*+[ \t]*+[=:][ \t]*+"
 VALUE = r"(?:\"[^\"\n]++\"|'[^'\n]++'|[^\s\"',;]++)"
-#: A run; possessive, and only from where a run begins, so that none is scanned twice.
-RUN = r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*+[0-9])|(?=[a-z0-9+/_=-]*+[A-Z0-9+/_=-]*+[a-z][A-Za-z]*?[a-z][A-Z])|(?=[A-Za-z0-9+/_=-]{20}))[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{11,}+"
+#: What any text with a named value has; far cheaper to look for.
+TRACE = rf"(?i){CREDENTIAL}[\w.-]*+[ \t]*+[=:]"
+#: A run; possessive, and only from where a run begins, so that none is scanned twice. Most words are too short at once.
+RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{12})(?:(?=[A-Za-z+/_=-]*+[0-9])|(?=[A-Za-z0-9+/_=-]*?[a-z][A-Z])|(?=[A-Za-z0-9+/_=-]{20}))[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{11,}+"
 CANDIDATE = f"{NAMED}{VALUE}|{RUN}"
 
 CONTENT = ("length", "digits", "upper", "letters", "distinct", "transition", "coverage", "path", "before", "known_before", "after", "known_after")
@@ -73,8 +75,11 @@ def surroundings(before: Column, after: Column, settings: Settings) -> dict[str,
 def candidates(documents: DataFrame, settings: Settings) -> DataFrame:
     """(doc_id, start, end, candidate and its surroundings): places in code points."""
     c = F.col
-    df = documents.filter(c("text").rlike(CANDIDATE))
-    hits, gaps = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.split("text", CANDIDATE, -1)
+    # names are looked for only in texts that have some; the traces are columns behind a barrier, as each is used twice
+    sign = F.contains("text", F.lit("=")) | F.contains("text", F.lit(":"))
+    df = behind_barrier(documents.select("doc_id", "text", F.when(sign, c("text").rlike(TRACE)).otherwise(False).alias("has_name"), c("text").rlike(RUN).alias("has_run")), ["doc_id", "text"]).filter("has_name OR has_run")
+    by = lambda f: F.when(c("has_name"), f(CANDIDATE)).otherwise(f(RUN))
+    hits, gaps = by(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))), by(lambda p: F.split("text", p, -1))
     # of a named hit, what stands before the value, and the value without its quotes
     lead = lambda h: F.regexp_extract(h, f"^({NAMED}[\"']?)", 1)
     value = lambda h, n: F.when(n > 0, F.regexp_replace(F.substring(h, n + 1, F.length(h)), r"^(.*[^\"'])[\"']$", "$1")).otherwise(h)
