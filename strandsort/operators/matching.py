@@ -4,8 +4,9 @@ A barcode is put as one-hot bits, four to a base, 15 bases to a long; N and othe
 which it agrees with an expected barcode are the bits that both have, so that a distance is a few AND and bit counts on
 literals, inside generated code. Samples are few (their sheet is read by the driver), reads are many: up to ``INLINE``
 samples, matching is a projection of the reads, with no join or shuffle, whatever share of them one barcode has. With
-more samples, or a matcher of the user's own, each distinct barcode is matched once and the matches are joined back:
-broadcast if they are few, else by a shuffle that adaptive execution splits where a barcode is frequent.
+more samples, or a matcher of the user's own, each distinct barcode is matched once, in batches, and the matches are
+joined back: broadcast if they are few, else by a shuffle that adaptive execution splits where a barcode is frequent.
+Reports need no join: reads are summed up by barcode first, and the sums are matched.
 
 Two rules decide, which differ near the thresholds: ``cached`` (best and runner-up by distance with free Ns) and
 ``precompute`` (all Ns are mismatches; a runner-up counts only within a horizon).
@@ -13,12 +14,15 @@ Two rules decide, which differ near the thresholds: ``cached`` (best and runner-
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from enum import Enum
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandsort.functions.segments import n_calls
 
@@ -79,18 +83,12 @@ def distance(words: list[Column], compared: Column, expected: str) -> Column:
 
 def nearest(df: DataFrame, expected: list[str], free: Column, rival: Callable[[Column, Column], Column]) -> DataFrame:
     """Add _best, the nearest expected barcode as distance and number in one, and _near, how many are rivals of it, itself included."""
-    c, words = F.col, [f"_w{i}" for i in range(-(-len(expected[0]) // WORD))]
-    if len(expected) <= INLINE:
-        ranks = [f"_d{i}" for i in range(len(expected))]
-        df = df.withColumns({r: ((distance([c(w) for w in words], c("_len"), e) - free) * SHIFT + i).cast("long") for i, (r, e) in enumerate(zip(ranks, expected, strict=True))})
-        df = df.withColumn("_best", F.least(*ranks) if len(ranks) > 1 else c(ranks[0]))
-        near = [F.when(rival(c("_best"), c(r)), 1).otherwise(0) for r in ranks]
-        return df.withColumn("_near", reduce(lambda x, y: x + y, near)).drop(*ranks)
-    told = F.array(*[F.array(*[F.lit(x) for x in (*_hot(e), i)]) for i, e in enumerate(expected)])
-    same = lambda e: reduce(lambda x, y: x + y, [F.bit_count(c(w).bitwiseAND(e[i])) for i, w in enumerate(words)])
-    df = df.withColumn("_ranks", F.transform(told, lambda e: ((c("_len") - same(e) - free) * SHIFT + e[len(words)]).cast("long")))
-    df = df.withColumn("_best", F.array_min("_ranks"))
-    return df.withColumn("_near", F.size(F.filter("_ranks", lambda r: rival(c("_best"), r)))).drop("_ranks")
+    c, words = F.col, [F.col(f"_w{i}") for i in range(-(-len(expected[0]) // WORD))]
+    ranks = [f"_d{i}" for i in range(len(expected))]
+    df = df.withColumns({r: ((distance(words, c("_len"), e) - free) * SHIFT + i).cast("long") for i, (r, e) in enumerate(zip(ranks, expected, strict=True))})
+    df = df.withColumn("_best", F.least(*ranks) if len(ranks) > 1 else c(ranks[0]))
+    near = [F.when(rival(c("_best"), c(r)), 1).otherwise(0) for r in ranks]
+    return df.withColumn("_near", reduce(lambda x, y: x + y, near)).drop(*ranks)
 
 
 def decided(reads: DataFrame, barcode: str, expected: list[str], kind: MatcherKind, max_mismatches: int, min_delta: int, free_ns: int) -> DataFrame:
@@ -119,6 +117,46 @@ def decided(reads: DataFrame, barcode: str, expected: list[str], kind: MatcherKi
     return df.select(*columns, F.when(hit, F.pmod(c("_best"), F.lit(SHIFT)).cast("int")).alias("sample_ordinal"), F.when(hit, best).alias("hamming_dist"))
 
 
+def decided_in_batches(df: DataFrame, barcode: str, expected: list[str], kind: MatcherKind, max_mismatches: int, min_delta: int, free_ns: int) -> DataFrame:
+    """As decided(), for so many samples that generated code would be too long: a matrix of distances for some barcodes at a time."""
+    length, cached = len(expected[0]), kind is MatcherKind.CACHED
+    want = np.frombuffer("".join(expected).encode(), np.uint8).reshape(-1, length)
+
+    def of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each has a match, its number, its distance."""
+        raw = b"".join((t or "")[:length].encode("ascii", "replace").ljust(length, b"\0") for t in texts)
+        seen = np.frombuffer(raw, np.uint8).reshape(-1, length)
+        sizes, base = np.array([len(t or "") for t in texts]), np.isin(seen, np.frombuffer(b"ACGT", np.uint8))
+        n = (seen == ord("N")).sum(axis=1)
+        dist = np.repeat(np.minimum(sizes, length).astype(np.int32)[:, None], len(want), axis=1)
+        for j in range(length):
+            dist -= (seen[:, j : j + 1] == want[None, :, j]) & base[:, j : j + 1]
+        if cached:
+            dist -= np.minimum(n, free_ns).astype(np.int32)[:, None]
+        at = dist.argmin(axis=1)
+        best = dist[np.arange(len(dist)), at]
+        rival = dist - best[:, None] <= min_delta
+        if not cached:
+            rival &= (dist <= max_mismatches) | ((dist - (n > 0)[:, None] >= max_mismatches + 1) & (dist <= max_mismatches + min_delta - 1))
+        found = (best <= max_mismatches) & (rival.sum(axis=1) == 1)
+        if not cached:
+            if max_mismatches == 0 and min_delta == 0:
+                found = best == 0
+            found &= (sizes == length) & (base.sum(axis=1) + n == length)
+        return found & np.array([t is not None for t in texts], bool), at, best
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                found, at, best = of(part.column(barcode).to_pylist())
+                numbers = [pa.array(x.astype(np.int32), mask=~found) for x in (at, best)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *numbers], names=[*part.schema.names, "sample_ordinal", "hamming_dist"])
+
+    number = [T.StructField(x, T.IntegerType()) for x in ("sample_ordinal", "hamming_dist")]
+    return df.mapInArrow(matched, T.StructType([*df.schema.fields, *number]))
+
+
 def by_distinct(reads: DataFrame, barcode: str, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Match each distinct barcode once, and join what matched."""
     seen = reads.select(F.col(barcode).alias("bc")).distinct()
@@ -129,17 +167,20 @@ def by_distinct(reads: DataFrame, barcode: str, decide: Callable[[DataFrame], Da
 
 
 def with_match(
-    reads: DataFrame, barcode: str, expected: list[str], kind: MatcherKind | Matcher, max_mismatches: int, min_delta: int, free_ns: int = 1, max_no_calls: int | None = None
+    reads: DataFrame, barcode: str, expected: list[str], kind: MatcherKind | Matcher, max_mismatches: int, min_delta: int, free_ns: int = 1, max_no_calls: int | None = None, distinct: bool = False
 ) -> DataFrame:
-    """Add sample_ordinal and hamming_dist, null for reads that match no expected barcode."""
+    """Add sample_ordinal and hamming_dist, null for reads that match no expected barcode. ``distinct``: there is about a row a barcode."""
     if not expected:
         return reads.withColumns({"sample_ordinal": F.lit(None).cast("int"), "hamming_dist": F.lit(None).cast("int")})
+    rule = (expected, kind, max_mismatches, min_delta, free_ns)
     if not isinstance(kind, MatcherKind):
         found = by_distinct(reads, barcode, lambda seen: kind(seen, expected))
-    elif len(expected) > INLINE:
-        found = by_distinct(reads, barcode, lambda seen: decided(seen, "bc", expected, kind, max_mismatches, min_delta, free_ns))
+    elif len(expected) <= INLINE:
+        found = decided(reads, barcode, *rule)
+    elif distinct or reads.isStreaming:
+        found = decided_in_batches(reads, barcode, *rule)
     else:
-        found = decided(reads, barcode, expected, kind, max_mismatches, min_delta, free_ns)
+        found = by_distinct(reads, barcode, lambda seen: decided_in_batches(seen, "bc", *rule))
     if max_no_calls is None:
         return found
     few = n_calls(F.col(barcode)) <= max_no_calls

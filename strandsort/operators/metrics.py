@@ -1,7 +1,8 @@
 """Counts and reports over assigned templates: ordinary aggregations, combined before the shuffle.
 
 ``assigned`` has sample_ordinal (never null), matched (whether a barcode matched), hamming_dist, bc, bc_delim and the
-quality counts of the template and barcode segments. The groups are samples, a sheet's worth, so that a third of all
+quality counts of the template and barcode segments: a row a template, or one for each barcode with n_reads, how many
+templates it stands for. The groups are samples, a sheet's worth, so that a third of all
 reads in one of them adds nothing to a shuffle.
 """
 
@@ -22,13 +23,18 @@ def sample_table(spark, samples: list[Sample]) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal int, sample_id string, barcode string, project string, is_last boolean")
 
 
+def counted(rows: DataFrame, condition: Column | None = None) -> Column:
+    """How many templates the rows of a group that meet the condition stand for."""
+    n = F.col("n_reads") if "n_reads" in rows.columns else F.lit(1)
+    return F.coalesce(F.sum(n if condition is None else F.when(condition, n)), F.lit(0)).cast("long")
+
+
 def per_sample_counts(assigned: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     quality = [F.sum(F.col(q) if q in assigned.columns else none).cast("long").alias(q) for q in QUALITY]
     return assigned.groupBy(F.col("sample_ordinal").alias("ordinal")).agg(
-        F.count(F.lit(1)).alias("total_matches"),
-        F.count_if(F.col("matched") & (F.col("hamming_dist") == 0)).alias("perfect_matches"),
-        F.count_if(F.col("matched") & (F.col("hamming_dist") == 1)).alias("one_mismatch_matches"),
+        counted(assigned).alias("total_matches"),
+        *[counted(assigned, F.col("matched") & (F.col("hamming_dist") == d)).alias(name) for d, name in enumerate(("perfect_matches", "one_mismatch_matches"))],
         *quality,
     )
 
@@ -79,15 +85,15 @@ def report(groups: DataFrame) -> DataFrame:
 def run_counts(reads: DataFrame) -> DataFrame:
     """One row from drop_reason (control, quality or null for templates that stay)."""
     return reads.agg(
-        F.count_if(F.col("drop_reason") == "control").alias("control_reads_omitted"),
-        F.count_if(F.col("drop_reason") == "quality").alias("failing_reads_omitted"),
-        F.count_if(F.col("drop_reason").isNull()).alias("total_templates"),
+        counted(reads, F.col("drop_reason") == "control").alias("control_reads_omitted"),
+        counted(reads, F.col("drop_reason") == "quality").alias("failing_reads_omitted"),
+        counted(reads, F.col("drop_reason").isNull()).alias("total_templates"),
     )
 
 
 def unmatched_counts(assigned: DataFrame) -> DataFrame:
     """Exact counts of the delimited barcodes of templates without a match."""
-    return assigned.filter("NOT matched").groupBy(F.col("bc_delim").alias("barcode")).agg(F.count(F.lit(1)).alias("count"))
+    return assigned.filter("NOT matched").groupBy(F.col("bc_delim").alias("barcode")).agg(counted(assigned).alias("count"))
 
 
 def most_frequent(counts: DataFrame, n: int) -> DataFrame:
@@ -106,5 +112,5 @@ def hop_counts(assigned: DataFrame, length1: int, length2: int, samples: list[Sa
     """Counts of unmatched templates whose barcode hopped, as index1+index2."""
     halves = [(s.barcode[:length1], s.barcode[length1:]) for s in samples]
     hopped = assigned.filter("NOT matched").filter(is_hop(F.col("bc"), length1, length2, halves))
-    counts = hopped.groupBy("bc").agg(F.count(F.lit(1)).alias("count"))
+    counts = hopped.groupBy("bc").agg(counted(hopped).alias("count"))
     return counts.select(F.concat(F.substring("bc", 1, length1), F.lit("+"), F.substring(F.col("bc"), F.lit(length1 + 1), F.length("bc"))).alias("barcode"), "count")

@@ -241,7 +241,7 @@ ZIP_JOIN = f"WITH r AS ({reads_sql(*ORDERS, 5)}) SELECT x.read_key, x.bc AS seq_
 
 def _per_sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Demultiplexer]:
     d = demultiplexer(spark, sf_dir)
-    counted = R.per_sample_counts(d.with_quality(d.assign(templates(spark, sf_dir, LINES, keep=()))))
+    counted = R.per_sample_counts(d.report_rows(templates(spark, sf_dir, LINES, keep=())))
     return R.with_all_samples(counted, R.sample_table(spark, d.samples)), d
 
 
@@ -281,7 +281,7 @@ SELECT sample_id AS "sample_ID", repeat('N', 15) AS barcode, {_counts}, {_ratios
 
 def top_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = demultiplexer(spark, sf_dir)
-    return R.most_frequent(R.unmatched_counts(d.assign(templates(spark, sf_dir, LINES, keep=(), parts=("head", "seq")))), 100)
+    return R.most_frequent(R.unmatched_counts(d.report_rows(templates(spark, sf_dir, LINES, keep=()))), 100)
 
 
 TOP_UNMATCHED = f"WITH {_cached_sql(LINES)} SELECT bc AS barcode, count(*) AS count FROM a WHERE NOT matched GROUP BY bc ORDER BY 2 DESC, 1 LIMIT 100"
@@ -291,10 +291,14 @@ def barcode_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The barcode in two reads of 5 and 10 bases, the second half of reads of odd part keys from another sample."""
     base = demultiplexer(spark, sf_dir)
     d = Demultiplexer(base.samples, [ReadStructure.parse("5B"), ReadStructure.parse("10B6M"), ReadStructure.parse("+T")], ["T"], base.rules)
-    t = templates(spark, sf_dir, LINES, keep=(), parts=("head", "seq"))
-    first, second = F.substring("seq_0", 1, 5), F.substring("seq_0", 6, 16)
-    split = t.select("head_0", first.alias("seq_0"), "head_1", second.alias("seq_1"), F.col("head_1").alias("head_2"), F.col("seq_1").alias("seq_2"))
-    return R.hop_counts(d.assign(split), *d.hop_lengths, d.samples)
+    t = templates(spark, sf_dir, LINES, keep=())
+    cut = lambda part, at, n: F.substring(f"{part}_0", at, n)
+    split = t.select(
+        "head_0", *[cut(p, 1, 5).alias(f"{p}_0") for p in ("seq", "qual")],
+        "head_1", *[cut(p, 6, 16).alias(f"{p}_1") for p in ("seq", "qual")],
+        *[F.col(f"{p}_1").alias(f"{p}_2") for p in ("head", "seq", "qual")],
+    )
+    return R.hop_counts(d.report_rows(split), *d.hop_lengths, d.samples)
 
 
 BARCODE_HOPS = f"""
@@ -389,7 +393,7 @@ SELECT read_key, bc, concat(substr(bc, 1, 7), '+', substr(bc, 8)) AS bc_delim, u
 def no_demultiplexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sample without barcode takes all reads, none of which counts as matched."""
     d = Demultiplexer([Sample("all", ordinal=0)], [ReadStructure.parse("15B6M"), ReadStructure.parse("+T")], ["T"], Rules(filter_failing_quality=True))
-    counts = R.per_sample_counts(d.with_quality(d.assign(templates(spark, sf_dir, LINES, keep=()))))
+    counts = R.per_sample_counts(d.report_rows(templates(spark, sf_dir, LINES, keep=())))
     return counts.select("ordinal", *R.COUNTS)
 
 

@@ -60,8 +60,8 @@ def reports(spark: SparkSession, p: Prepared, assigned: DataFrame) -> dict[str,
 def run(spark: SparkSession, options: Options, records_per_task: int = 1_000_000) -> dict[str, int]:
     """Demultiplex; records written by file name.
 
-    The input is read once to count its lines, once for the outputs and once for a slim projection of all templates, kept
-    with their drop reasons, from which totals and reports are made.
+    The input is read once to count its lines, once for the outputs and once to sum up all templates by barcode and drop
+    reason, from which totals and reports are made.
     """
     p = prepare(options)
     checked = p.plan.checked(read_templates(spark, [g.files for g in p.groups], records_per_task))
@@ -69,8 +69,7 @@ def run(spark: SparkSession, options: Options, records_per_task: int = 1_000_000
     names = sink.output_names(p.samples, p.plan.structures, p.plan.output_kinds)
     kept = p.plan.assign_all(told.filter("drop_reason IS NULL"))
     counts = sink.write_outputs(p.plan.output_records(kept, ["file_idx", "rec_idx"]), names, options.output_dir)
-    slim = p.plan.with_quality(p.plan.assign_all(told)).select("drop_reason", "sample_ordinal", "matched", "hamming_dist", "bc", "bc_delim", *R.QUALITY)
-    slim = slim.persist(StorageLevel.MEMORY_AND_DISK)
+    slim = p.plan.by_barcode(told, "drop_reason").persist(StorageLevel.MEMORY_AND_DISK)
     path = lambda name: f"{options.output_dir}/{p.options.metric_prefix or ''}{name}"
     try:
         totals = R.run_counts(slim)
