@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandsort.llm import decontamination, jaccard_join, language_id, packing, pii, quality_rules, secret_scan, sharding, token_counts, url_rules
+from strandsort.llm import decontamination, jaccard_join, language_id, merkle, packing, pii, quality_rules, secret_scan, sharding, token_counts, url_rules
 
 
 #: Name, query and SQL (None where SQL can't express it; tests hold it against brute force).
@@ -21,6 +21,7 @@ _ALL = (
     ("op8_language_id", language_id.op8_language_id, None),
     ("op1_url_rules", url_rules.op1_url_rules, None),
     ("op3_secret_scan", secret_scan.op3_secret_scan, None),
+    ("op11_merkle", merkle.op11_merkle, merkle.OP11_SQL),
 )
 
 
