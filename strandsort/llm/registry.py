@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandsort.llm import decontamination, html_extraction, jaccard_join, language_id, merkle, packing, pii, quality_rules, secret_scan, sharding, token_counts, url_rules
+from strandsort.llm import decontamination, html_extraction, jaccard_join, language_id, merkle, packing, pii, quality_rules, secret_scan, sharding, spelling_variants, token_counts, url_rules
 
 
 #: Name, query and SQL (None where SQL can't express it; tests hold it against brute force).
@@ -23,6 +23,7 @@ _ALL = (
     ("op3_secret_scan", secret_scan.op3_secret_scan, None),
     ("op11_merkle", merkle.op11_merkle, merkle.OP11_SQL),
     ("op12_html_text", html_extraction.op12_html_text, None),
+    ("op13_spelling_variants", spelling_variants.op13_spelling_variants, spelling_variants.OP13_SQL),
 )
 
 
