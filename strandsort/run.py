@@ -13,7 +13,7 @@ from strandsort.options import Options, load_sheet
 from strandsort.plans.demux import Demultiplexer, Rules
 from strandsort.read_structure import output_kinds
 from strandsort.samples import Sample
-from strandsort.sources import files, sink
+from strandsort.sources import commit, files, sink
 from strandsort.sources.discovery import Group, resolve
 from strandsort.sources.fastq import read_templates
 
@@ -57,8 +57,8 @@ def reports(spark: SparkSession, p: Prepared, assigned: DataFrame) -> dict[str,
     return found
 
 
-def run(spark: SparkSession, options: Options, records_per_task: int = 1_000_000) -> dict[str, int]:
-    """Demultiplex; records written by file name.
+def run(spark: SparkSession, options: Options, records_per_task: int = 1_000_000, layout: str = "files") -> dict[str, int]:
+    """Demultiplex; records written by file name. Outputs and reports appear together when all are written, or not at all.
 
     The input is read once to count its lines, once for the outputs and once to sum up all templates by barcode and drop
     reason, from which totals and reports are made.
@@ -68,14 +68,17 @@ def run(spark: SparkSession, options: Options, records_per_task: int = 1_000_000
     told = p.plan.with_drop_reason(checked)
     names = sink.output_names(p.samples, p.plan.structures, p.plan.output_kinds)
     kept = p.plan.assign_all(told.filter("drop_reason IS NULL"))
-    counts = sink.write_outputs(p.plan.output_records(kept, ["file_idx", "rec_idx"]), names, options.output_dir)
-    slim = p.plan.by_barcode(told, "drop_reason").persist(StorageLevel.MEMORY_AND_DISK)
-    path = lambda name: f"{options.output_dir}/{p.options.metric_prefix or ''}{name}"
-    try:
-        totals = R.run_counts(slim)
-        sink.write_tsv(totals, totals.columns, path("metrics.tsv"))
-        for name, (rows, columns) in reports(spark, p, slim.filter("drop_reason IS NULL")).items():
-            sink.write_tsv(rows, columns, path(name))
-    finally:
-        slim.unpersist()
+    commit.recover(options.output_dir)
+    with commit.Job(options.output_dir) as job:
+        counts, written = sink.stage_outputs(p.plan.output_records(kept, ["file_idx", "rec_idx"]), names, job, layout=layout)
+        slim = p.plan.by_barcode(told, "drop_reason").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            totals = R.run_counts(slim)
+            tables = {"metrics.tsv": (totals, totals.columns), **reports(spark, p, slim.filter("drop_reason IS NULL"))}
+            for name, (rows, columns) in tables.items():
+                written.append(f"{p.options.metric_prefix or ''}{name}")
+                sink.write_tsv(rows, columns, job.path(written[-1]))
+        finally:
+            slim.unpersist()
+        job.publish(written)
     return counts

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyarrow import fs
 
@@ -33,6 +35,17 @@ def names_in(folder: str) -> list[str]:
     return sorted(x.base_name for x in system.get_file_info(fs.FileSelector(inside)) if x.type == fs.FileType.File)
 
 
+def folders_in(folder: str) -> list[str]:
+    system, inside = at(folder)
+    return sorted(x.base_name for x in system.get_file_info(fs.FileSelector(inside)) if x.type == fs.FileType.Directory)
+
+
+def local_path(path: str) -> str | None:
+    """The path on a mounted file system, if it is on one: there a file can be written at any place."""
+    system, inside = at(path)
+    return inside if isinstance(system, fs.LocalFileSystem) else None
+
+
 def reading(path: str) -> pa.NativeFile:
     system, inside = at(path)
     return system.open_input_file(inside)
@@ -43,6 +56,14 @@ def writing(path: str) -> pa.NativeFile:
     return system.open_output_stream(inside)
 
 
+def write_whole(path: str, data: bytes) -> None:
+    """Write under another name, then rename, so that the path never holds half a file."""
+    attempt = f"{path}.{uuid.uuid4().hex}"
+    with writing(attempt) as out:
+        out.write(data)
+    move(attempt, path)
+
+
 def make_folder(path: str) -> None:
     system, inside = at(path)
     system.create_dir(inside, recursive=True)
