@@ -570,3 +570,13 @@ def test_pipeline_of_odd_tables(spark, corpus, empty, tmp_path):
     docs = empty.select(columns)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path / "none")).columns == columns
+
+
+def test_quality_sample_is_drawn_by_all_tasks(spark):
+    text = spark.range(0, 10_000, 1, 20).select(F.repeat(F.lit("word "), 60).alias("text"))
+    sample = quality_rules.drawn(text, 0.05, 7)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "Exchange SinglePartition" in plan.replace("ShuffleExchange", "Exchange")
+    assert sample.rdd.getNumPartitions() == 1 and 300 < sample.count() < 700
+    shuffled = sample.rdd.toDebugString().decode()
+    assert "(20)" in shuffled  # the scan's tasks
