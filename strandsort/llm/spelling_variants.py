@@ -43,7 +43,7 @@ BITS = 6
 BITS_PER_WORD = 16
 FILTER_BYTES = 64 << 20
 #: A row of the broadcast filters: a power of two of blocks, made by one task.
-SEGMENT_BLOCKS = 4096
+SEGMENT_BLOCKS = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
