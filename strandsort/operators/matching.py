@@ -2,11 +2,11 @@
 
 A barcode is put as one-hot bits, four to a base, 15 bases to a long; N and other characters have none. The bases in
 which it agrees with an expected barcode are the bits that both have, so that a distance is a few AND and bit counts on
-literals, inside generated code. Samples are few (their sheet is read by the driver), reads are many: up to ``INLINE``
-samples, matching is a projection of the reads, with no join or shuffle, whatever share of them one barcode has. With
-more samples, or a matcher of the user's own, each distinct barcode is matched once, in batches, and the matches are
-joined back: broadcast if they are few, else by a shuffle that adaptive execution splits where a barcode is frequent.
-Reports need no join: reads are summed up by barcode first, and the sums are matched.
+literals, inside generated code. Up to ``INLINE`` samples, matching is a projection of the reads, with no join or
+shuffle, whatever share of them one barcode has. With more samples, a sheet that is a table, or a matcher of the user's
+own, each distinct barcode is matched once, by the index of ``pigeonhole``, and the matches are joined back: broadcast if
+they are few, else by a shuffle that adaptive execution splits where a barcode is frequent. A stream has no distinct
+barcodes to look up: there a row is compared with all samples of a large sheet, in batches.
 
 Two rules decide, which differ near the thresholds: ``cached`` (best and runner-up by distance with free Ns) and
 ``precompute`` (all Ns are mismatches; a runner-up counts only within a horizon).
@@ -15,7 +15,6 @@ Two rules decide, which differ near the thresholds: ``cached`` (best and runner-
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from enum import Enum
 from functools import reduce
 
 import numpy as np
@@ -25,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandsort.functions.segments import n_calls
+from strandsort.operators import pigeonhole
+from strandsort.operators.barcodes import WORD, MatcherKind, choose, hot, one_hot  # noqa: F401
+from strandsort.operators.numbering import checkpointed
 
-WORD = 15
 #: Distance and sample in one number: the least is the nearest, of equal ones the first.
 SHIFT = 1 << 20
-#: Barcodes up to this length are matched by the precompute rule.
-PRECOMPUTE_LENGTH = 12
 #: Up to so many samples have a column each for their distance, which keeps the code generated for a row small.
 INLINE = 64
 #: Up to so many distinct barcodes with a match are broadcast.
@@ -40,41 +39,9 @@ BROADCAST_BARCODES = 500_000
 Matcher = Callable[[DataFrame, list[str]], DataFrame]
 
 
-class MatcherKind(Enum):
-    CACHED = "cached-hamming-distance"
-    PRECOMPUTE = "pre-compute"
-
-    @classmethod
-    def parse(cls, text: str) -> MatcherKind:
-        for kind in cls:
-            if kind.value == text.lower():
-                return kind
-        raise ValueError(f"Unknown matcher: {text!r}")
-
-
-def choose(length: int, override: MatcherKind | None = None, strict: bool = False) -> MatcherKind:
-    """By barcode length; an override to the cached rule counts for short barcodes only if strict."""
-    if override is not None and (strict or override is MatcherKind.PRECOMPUTE):
-        return override
-    return MatcherKind.PRECOMPUTE if length <= PRECOMPUTE_LENGTH else MatcherKind.CACHED
-
-
-def _hot(text: str) -> list[int]:
-    bits = {"A": 1, "C": 2, "G": 4, "T": 8}
-    words = [text[i : i + WORD] for i in range(0, len(text), WORD)]
-    return [int("".join(f"{bits.get(c, 0):x}" for c in w.ljust(WORD, "N")), 16) for w in words]
-
-
-def one_hot(barcode: Column, length: int) -> list[Column]:
-    """The barcode's words of 15 bases, up to ``length`` bases."""
-    digits = F.translate(F.regexp_replace(barcode, "[^ACGT]", "N"), "ACGTN", "12480")
-    padded = F.rpad(digits, -(-length // WORD) * WORD, "0")
-    return [F.conv(F.substring(padded, i + 1, WORD), 16, 10).cast("long") for i in range(0, length, WORD)]
-
-
 def distance(words: list[Column], compared: Column, expected: str) -> Column:
     """Mismatches, each N being one, over the bases that are compared."""
-    same = [F.bit_count(w.bitwiseAND(F.lit(e))) for w, e in zip(words, _hot(expected), strict=True)]
+    same = [F.bit_count(w.bitwiseAND(F.lit(e))) for w, e in zip(words, hot(expected), strict=True)]
     total = same[0]
     for s in same[1:]:
         total = total + s
@@ -158,29 +125,33 @@ def decided_in_batches(df: DataFrame, barcode: str, expected: list[str], kind: M
 
 
 def by_distinct(reads: DataFrame, barcode: str, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Match each distinct barcode once, and join what matched."""
-    seen = reads.select(F.col(barcode).alias("bc")).distinct()
+    """Match each distinct barcode once, and join what matched. The barcodes and their matches are written between, so that
+    the reads are read twice in all: for their barcodes, and to be joined."""
+    seen = checkpointed(reads.select(F.col(barcode).alias("bc")).distinct())
     found = decide(seen).filter("sample_ordinal IS NOT NULL").select(F.col("bc").alias("_bc"), F.col("sample_ordinal").cast("int").alias("sample_ordinal"), F.col("hamming_dist").cast("int").alias("hamming_dist"))
+    found = checkpointed(found)
     if found.count() <= BROADCAST_BARCODES:
         found = F.broadcast(found)
     return reads.join(found, F.col(barcode) == F.col("_bc"), "left").drop("_bc")
 
 
 def with_match(
-    reads: DataFrame, barcode: str, expected: list[str], kind: MatcherKind | Matcher, max_mismatches: int, min_delta: int, free_ns: int = 1, max_no_calls: int | None = None, distinct: bool = False
+    reads: DataFrame, barcode: str, expected: list[str] | DataFrame, kind: MatcherKind | Matcher, max_mismatches: int, min_delta: int, free_ns: int = 1, max_no_calls: int | None = None
 ) -> DataFrame:
-    """Add sample_ordinal and hamming_dist, null for reads that match no expected barcode. ``distinct``: there is about a row a barcode."""
-    if not expected:
+    """Add sample_ordinal and hamming_dist, null for reads that match no expected barcode: a list, or a table (barcode, sample_ordinal)."""
+    listed = isinstance(expected, list)
+    if listed and not expected:
         return reads.withColumns({"sample_ordinal": F.lit(None).cast("int"), "hamming_dist": F.lit(None).cast("int")})
-    rule = (expected, kind, max_mismatches, min_delta, free_ns)
+    rule = (kind, max_mismatches, min_delta, free_ns)
     if not isinstance(kind, MatcherKind):
         found = by_distinct(reads, barcode, lambda seen: kind(seen, expected))
-    elif len(expected) <= INLINE:
-        found = decided(reads, barcode, *rule)
-    elif distinct or reads.isStreaming:
-        found = decided_in_batches(reads, barcode, *rule)
+    elif listed and len(expected) <= INLINE:
+        found = decided(reads, barcode, expected, *rule)
+    elif listed and reads.isStreaming:
+        found = decided_in_batches(reads, barcode, expected, *rule)
     else:
-        found = by_distinct(reads, barcode, lambda seen: decided_in_batches(seen, "bc", *rule))
+        sheet = reads.sparkSession.createDataFrame([(e, i) for i, e in enumerate(expected)], "barcode string, sample_ordinal int") if listed else expected
+        found = by_distinct(reads, barcode, lambda seen: pigeonhole.matches(seen, sheet, *rule))
     if max_no_calls is None:
         return found
     few = n_calls(F.col(barcode)) <= max_no_calls

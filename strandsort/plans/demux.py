@@ -123,18 +123,18 @@ class Demultiplexer:
         """assign() for templates that are checked already, none of which is left out."""
         return self.matched(self.with_barcodes(templates))
 
-    def matched(self, barcoded: DataFrame, distinct: bool = False) -> DataFrame:
+    def matched(self, barcoded: DataFrame) -> DataFrame:
         if is_bypass(self.samples):
             return barcoded.withColumns({"sample_ordinal": F.lit(0), "hamming_dist": F.lit(None).cast("int"), "matched": F.lit(False)})
         r = self.rules
         expected = [s.barcode for s in self.samples[:-1]]
-        found = with_match(barcoded, "bc", expected, self.matcher(), r.allowed_mismatches, r.min_delta, r.free_ns, r.max_no_calls, distinct)
+        found = with_match(barcoded, "bc", expected, self.matcher(), r.allowed_mismatches, r.min_delta, r.free_ns, r.max_no_calls)
         return found.withColumns({"matched": F.col("sample_ordinal").isNotNull(), "sample_ordinal": F.coalesce("sample_ordinal", F.lit(self.undetermined))})
 
     def by_barcode(self, templates: DataFrame, *keys: str) -> DataFrame:
         """What reports are made of: checked templates summed up by barcode (and keys) as n_reads and quality counts, with the barcode's match."""
         counted = self.with_quality(self.with_barcodes(templates)).groupBy(*keys, "bc", "bc_delim")
-        return self.matched(counted.agg(F.count(F.lit(1)).alias("n_reads"), *[F.sum(q).alias(q) for q in QUALITY]), distinct=True)
+        return self.matched(counted.agg(F.count(F.lit(1)).alias("n_reads"), *[F.sum(q).alias(q) for q in QUALITY]))
 
     def report_rows(self, templates: DataFrame) -> DataFrame:
         """by_barcode() of the templates that stay."""

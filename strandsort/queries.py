@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandsort import table_queries
 from strandsort.functions import header as H
 from strandsort.functions import segments as G
 from strandsort.operators import matching as M
@@ -496,6 +497,7 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "mask_per_fastq": (mask_per_fastq, MASK_PER_FASTQ),
     "output_types": (output_types, OUTPUT_TYPES),
     "matcher_choice": (matcher_choice, MATCHER_CHOICE),
+    **table_queries.ALL,
 }
 
 
