@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A row id has its partition above these bits, and its place in the partition below.
 PLACE_BITS = 33
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the folder that ``spark.checkpoint.dir`` names, and read from it; in one process a temporary folder will do."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; in one process a temporary folder will do."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, and read from it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -35,6 +35,11 @@ class Rules:
     barcode_in_header: bool = False
 
 
+def summed(counts: DataFrame, *keys: str) -> DataFrame:
+    """Rows with n_reads and quality counts, added up by barcode (and keys)."""
+    return counts.groupBy(*keys, "bc", "bc_delim").agg(*[F.sum(q).alias(q) for q in ("n_reads", *QUALITY)])
+
+
 @dataclass
 class Demultiplexer:
     """Templates have columns head_<i>, seq_<i>, qual_<i> for each FASTQ i, and keep all their other columns."""
@@ -131,10 +136,13 @@ class Demultiplexer:
         found = with_match(barcoded, "bc", expected, self.matcher(), r.allowed_mismatches, r.min_delta, r.free_ns, r.max_no_calls)
         return found.withColumns({"matched": F.col("sample_ordinal").isNotNull(), "sample_ordinal": F.coalesce("sample_ordinal", F.lit(self.undetermined))})
 
+    def counts(self, templates: DataFrame, *keys: str) -> DataFrame:
+        """Checked templates summed up by barcode (and keys): n_reads and quality counts. Such counts can be kept and summed up again."""
+        return summed(self.with_quality(self.with_barcodes(templates)).withColumn("n_reads", F.lit(1).cast("long")), *keys)
+
     def by_barcode(self, templates: DataFrame, *keys: str) -> DataFrame:
-        """What reports are made of: checked templates summed up by barcode (and keys) as n_reads and quality counts, with the barcode's match."""
-        counted = self.with_quality(self.with_barcodes(templates)).groupBy(*keys, "bc", "bc_delim")
-        return self.matched(counted.agg(F.count(F.lit(1)).alias("n_reads"), *[F.sum(q).alias(q) for q in QUALITY]))
+        """What reports are made of: counts() with each barcode's match."""
+        return self.matched(self.counts(templates, *keys))
 
     def report_rows(self, templates: DataFrame) -> DataFrame:
         """by_barcode() of the templates that stay."""

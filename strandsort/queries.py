@@ -6,6 +6,7 @@ lineitem: the expected barcode of the key's sample with substitutions and Ns, a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,6 +18,9 @@ from strandsort.functions import header as H
 from strandsort.functions import segments as G
 from strandsort.operators import matching as M
 from strandsort.operators import metrics as R
+from strandsort.operators import partial_metrics as P
+from strandsort.operators.heavy_hitters import frequent_exact
+from strandsort.operators.numbering import shared_folder
 from strandsort.plans.demux import Demultiplexer, Rules, zip_reads
 from strandsort.read_structure import ReadStructure
 from strandsort.samples import Sample
@@ -288,6 +292,33 @@ def top_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOP_UNMATCHED = f"WITH {_cached_sql(LINES)} SELECT bc AS barcode, count(*) AS count FROM a WHERE NOT matched GROUP BY bc ORDER BY 2 DESC, 1 LIMIT 100"
 
 
+def merged_lane_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of even and odd keys as two lanes, each summed up to a state that is kept; the reports come from the merged states."""
+    d, folder = demultiplexer(spark, sf_dir), f"{shared_folder(spark)}/lanes-{uuid.uuid4().hex}"
+    for lane in range(2):
+        P.save(P.state_of(d, templates(spark, sf_dir, LINES).filter(F.col("read_key") % 2 == lane)), folder, f"L{lane}")
+    counted = R.per_sample_counts(P.report_rows(d, P.merged(spark, folder))[1])
+    return _rounded(R.report(R.with_all_samples(counted, R.sample_table(spark, d.samples))), "ordinal")
+
+
+#: Counters of a sketch that is much smaller than the number of unmatched barcodes.
+SKETCH_SIZE = 40
+
+
+def frequent_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unmatched barcodes with more than one read in 41, found by a sketch of 40 counters, with their exact counts and whether the sketch's bounds hold them."""
+    d = demultiplexer(spark, sf_dir)
+    unmatched = d.assign(templates(spark, sf_dir, LINES, keep=(), parts=("head", "seq"))).filter("NOT matched").select("bc_delim")
+    found = frequent_exact(unmatched, SKETCH_SIZE)
+    tight = (F.col("at_most") - F.col("at_least")) * (SKETCH_SIZE + 1) <= F.col("rows")
+    return found.select(F.col("value").alias("barcode"), "n", F.col("n").between(F.col("at_least"), F.col("at_most")).alias("within"), tight.alias("tight"))
+
+
+FREQUENT_UNMATCHED = f"""
+WITH {_cached_sql(LINES)}, u AS (SELECT bc FROM a WHERE NOT matched)
+SELECT bc AS barcode, count(*) AS n, TRUE AS within, TRUE AS tight FROM u GROUP BY bc HAVING count(*) * {SKETCH_SIZE + 1} > (SELECT count(*) FROM u)"""
+
+
 def barcode_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The barcode in two reads of 5 and 10 bases, the second half of reads of odd part keys from another sample."""
     base = demultiplexer(spark, sf_dir)
@@ -487,6 +518,8 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "per_sample_metrics": (per_sample_metrics, PER_SAMPLE),
     "per_project_metrics": (per_project_metrics, PER_PROJECT),
     "top_unmatched": (top_unmatched, TOP_UNMATCHED),
+    "merged_lane_metrics": (merged_lane_metrics, PER_SAMPLE),
+    "frequent_unmatched": (frequent_unmatched, FREQUENT_UNMATCHED),
     "barcode_hops": (barcode_hops, BARCODE_HOPS),
     "output_routing": (output_routing, OUTPUT_ROUTING),
     "semantic_barcode": (semantic_barcode, SEMANTIC_BARCODE),

@@ -9,6 +9,8 @@ from pyarrow import fs
 
 
 def at(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith("file:/") and "://" not in path:  # as Hadoop writes it
+        path = path.removeprefix("file:")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
