@@ -72,8 +72,8 @@ def decided(reads: DataFrame, barcode: str, expected: list[str], kind: MatcherKi
         free, has_n = F.lit(0), F.when(c("_n") > 0, 1).otherwise(0)
         in_reach = lambda r: (dist(r) <= max_mismatches) | ((dist(r) - has_n >= max_mismatches + 1) & (dist(r) <= max_mismatches + min_delta - 1))
         rival = lambda best, r: in_reach(r) & (dist(r) - dist(best) <= min_delta)
-    # a filter on the match stops at the id, and so does not compute the distances once more below; streams have no such id
-    df = nearest(df, expected, free, rival).withColumn("_row", F.lit(0) if reads.isStreaming else F.monotonically_increasing_id())
+    # a filter on the match stops at a column that is not deterministic, and so does not compute the distances once more below; streams have no row id
+    df = nearest(df, expected, free, rival).withColumn("_row", F.rand(0) if reads.isStreaming else F.monotonically_increasing_id())
     best = dist(c("_best"))
     found = (c("_row") >= 0) & (best <= max_mismatches) & (c("_near") == 1)
     if kind is MatcherKind.PRECOMPUTE:

@@ -43,7 +43,7 @@ def save(state: DataFrame, folder: str, lane: str) -> None:
 def lanes(folder: str) -> dict[str, str]:
     """The path of each lane's state."""
     found = {}
-    for name in files.names_in(f"{folder}/lanes"):
+    for name in files.names_in(f"{folder}/lanes") if files.is_folder(f"{folder}/lanes") else ():
         if "." not in name:  # else it is being written
             with files.reading(f"{folder}/lanes/{name}") as f:
                 found[unquote(name)] = json.loads(f.read())["state"]

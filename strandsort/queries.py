@@ -24,6 +24,7 @@ from strandsort.operators.numbering import shared_folder
 from strandsort.plans.demux import Demultiplexer, Rules, zip_reads
 from strandsort.read_structure import ReadStructure
 from strandsort.samples import Sample
+from strandsort.streaming.runs import running_counts
 
 DIGITS = "substr('ACGT', 1 + CAST(floor({k} / 16.0) AS INT) % 4, 1)", "substr('ACGT', 1 + CAST(floor({k} / 4.0) AS INT) % 4, 1)", "substr('ACGT', 1 + CAST({k} % 4 AS INT), 1)"
 
@@ -54,9 +55,9 @@ ORDERS = ("orders", "o_orderkey", "o_custkey", "CASE WHEN o_orderstatus = 'P' TH
 LINES = ("lineitem", "l_orderkey", "l_partkey", "CASE WHEN l_returnflag = 'R' THEN 'Y' ELSE 'N' END", "CASE WHEN l_partkey % 13 = 0 THEN '1' ELSE '0' END", "l_quantity")
 
 
-def reads(spark: SparkSession, sf_dir: str, of: tuple[str, ...], times: int, *columns: str) -> DataFrame:
+def reads(spark: SparkSession, sf_dir: str, of: tuple[str, ...], times: int, *columns: str, source: DataFrame | None = None) -> DataFrame:
     """These columns of the reads, as rows of a generator: the optimiser then leaves the nested text of their making where it is, as if they were scanned."""
-    source = spark.read.parquet(f"{sf_dir}/{of[0]}.parquet")
+    source = spark.read.parquet(f"{sf_dir}/{of[0]}.parquet") if source is None else source
     made = spark.sql(reads_sql("{source}", *of[1:], times), source=source)
     return made.select(F.explode(F.array(F.struct(*columns))).alias("r")).select("r.*")
 
@@ -78,8 +79,8 @@ def demultiplexer(spark: SparkSession, sf_dir: str, times: int = 5, **rules) ->
     return Demultiplexer(samples(spark, sf_dir, times), [ReadStructure.parse(f"{3 * times}B6M"), ReadStructure.parse("+T")], ["T"], Rules(**rules))
 
 
-def templates(spark: SparkSession, sf_dir: str, of: tuple[str, ...], times: int = 5, keep: tuple[str, ...] = ("read_key",), parts: tuple[str, ...] = ("head", "seq", "qual")) -> DataFrame:
-    """Two FASTQs with the parts that a query reads."""
+def templates(spark: SparkSession, sf_dir: str, of: tuple[str, ...], times: int = 5, keep: tuple[str, ...] = ("read_key",), parts: tuple[str, ...] = ("head", "seq", "qual"), source: DataFrame | None = None) -> DataFrame:
+    """Two FASTQs with the parts that a query reads, from their table or a stream of its rows."""
     made = {
         "head_0": (["head"], F.col("head")),
         "seq_0": (["bc", "umi"], F.concat("bc", "umi")),
@@ -89,7 +90,7 @@ def templates(spark: SparkSession, sf_dir: str, of: tuple[str, ...], times: int
         "qual_1": (["tqual"], F.col("tqual")),
     }
     wanted = {f"{p}_{i}": made[f"{p}_{i}"] for i in range(2) for p in parts}
-    r = reads(spark, sf_dir, of, times, *dict.fromkeys([*keep, *[c for needs, _ in wanted.values() for c in needs]]))
+    r = reads(spark, sf_dir, of, times, *dict.fromkeys([*keep, *[c for needs, _ in wanted.values() for c in needs]]), source=source)
     return r.select(*keep, *[value.alias(name) for name, (_, value) in wanted.items()])
 
 
@@ -301,6 +302,22 @@ def merged_lane_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(R.report(R.with_all_samples(counted, R.sample_table(spark, d.samples))), "ordinal")
 
 
+def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by sample of a stream of the reads, as they stand when all have come: state is a row a sample."""
+    path, folder = f"{sf_dir}/{LINES[0]}.parquet", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")  # a pattern, as streams take no single file
+    counts = running_counts(templates(spark, sf_dir, LINES, keep=(), source=stream), demultiplexer(spark, sf_dir))
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/counts")
+    query = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{folder}/counts").select("ordinal", *R.COUNTS)
+
+
+STREAMED_COUNTS = f"""
+WITH {_cached_sql(LINES)}, {_quality_sql}
+SELECT CAST(ordinal AS INT) AS ordinal, {_counts}, isum AS index_quality_sum, ibases AS index_bases FROM c"""
+
+
 #: Counters of a sketch that is much smaller than the number of unmatched barcodes.
 SKETCH_SIZE = 40
 
@@ -519,6 +536,7 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "per_project_metrics": (per_project_metrics, PER_PROJECT),
     "top_unmatched": (top_unmatched, TOP_UNMATCHED),
     "merged_lane_metrics": (merged_lane_metrics, PER_SAMPLE),
+    "streamed_counts": (streamed_counts, STREAMED_COUNTS),
     "frequent_unmatched": (frequent_unmatched, FREQUENT_UNMATCHED),
     "barcode_hops": (barcode_hops, BARCODE_HOPS),
     "output_routing": (output_routing, OUTPUT_ROUTING),

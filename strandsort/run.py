@@ -26,12 +26,16 @@ class Prepared:
     plan: Demultiplexer
 
 
-def prepare(options: Options) -> Prepared:
-    """Everything that is checked before a read is looked at. Output types are those of the sheet's options, if it has some."""
+def prepare(options: Options, groups: list[Group] | None = None) -> Prepared:
+    """Everything that is checked before a read is looked at. Output types are those of the sheet's options, if it has some.
+
+    The groups of input files are found by the options' paths where they are not given.
+    """
     samples, options = load_sheet(options)
     if not files.is_folder(options.output_dir):
         raise ValueError(f"Output folder does not exist: {options.output_dir}")
-    groups = resolve(options.fastqs, options.read_structures, options.sample_barcode_in_fastq_header, options.lane)
+    if groups is None:
+        groups = resolve(options.fastqs, options.read_structures, options.sample_barcode_in_fastq_header, options.lane)
     thresholds = tuple(options.mask_thresholds(len(groups)))
     rules = Rules(
         options.allowed_mismatches, options.min_delta, options.free_ns, options.max_no_calls, options.filter_control_reads, options.filter_failing_quality,
@@ -57,6 +61,29 @@ def reports(spark: SparkSession, p: Prepared, assigned: DataFrame) -> dict[str,
     return found
 
 
+def stage(spark: SparkSession, p: Prepared, job: commit.Job, records_per_task: int, layout: str) -> tuple[dict[str, int], list[str], DataFrame]:
+    """Write the outputs for a job to publish: records by file name, the names of all files, and the state from which reports are made."""
+    told = p.plan.with_drop_reason(p.plan.checked(read_templates(spark, [g.files for g in p.groups], records_per_task)))
+    names = sink.output_names(p.samples, p.plan.structures, p.plan.output_kinds)
+    kept = p.plan.assign_all(told.filter("drop_reason IS NULL"))
+    counts, written = sink.stage_outputs(p.plan.output_records(kept, ["file_idx", "rec_idx"]), names, job, layout=layout)
+    return counts, written, p.plan.counts(told, "drop_reason")
+
+
+def write_reports(spark: SparkSession, p: Prepared, job: commit.Job, state: DataFrame) -> list[str]:
+    """Write all reports of a state for a job to publish; their names."""
+    held, written = state.persist(StorageLevel.MEMORY_AND_DISK), []
+    try:
+        totals = R.run_counts(held)
+        tables = {"metrics.tsv": (totals, totals.columns), **reports(spark, p, p.plan.matched(held.filter("drop_reason IS NULL")))}
+        for name, (rows, columns) in tables.items():
+            written.append(f"{p.options.metric_prefix or ''}{name}")
+            sink.write_tsv(rows, columns, job.path(written[-1]))
+    finally:
+        held.unpersist()
+    return written
+
+
 def run(spark: SparkSession, options: Options, records_per_task: int = 1_000_000, layout: str = "files") -> dict[str, int]:
     """Demultiplex; records written by file name. Outputs and reports appear together when all are written, or not at all.
 
@@ -64,21 +91,8 @@ def run(spark: SparkSession, options: Options, records_per_task: int = 1_000_000
     reason, from which totals and reports are made.
     """
     p = prepare(options)
-    checked = p.plan.checked(read_templates(spark, [g.files for g in p.groups], records_per_task))
-    told = p.plan.with_drop_reason(checked)
-    names = sink.output_names(p.samples, p.plan.structures, p.plan.output_kinds)
-    kept = p.plan.assign_all(told.filter("drop_reason IS NULL"))
     commit.recover(options.output_dir)
     with commit.Job(options.output_dir) as job:
-        counts, written = sink.stage_outputs(p.plan.output_records(kept, ["file_idx", "rec_idx"]), names, job, layout=layout)
-        slim = p.plan.by_barcode(told, "drop_reason").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            totals = R.run_counts(slim)
-            tables = {"metrics.tsv": (totals, totals.columns), **reports(spark, p, slim.filter("drop_reason IS NULL"))}
-            for name, (rows, columns) in tables.items():
-                written.append(f"{p.options.metric_prefix or ''}{name}")
-                sink.write_tsv(rows, columns, job.path(written[-1]))
-        finally:
-            slim.unpersist()
-        job.publish(written)
+        counts, written, state = stage(spark, p, job, records_per_task, layout)
+        job.publish([*written, *write_reports(spark, p, job, state)])
     return counts

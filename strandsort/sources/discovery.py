@@ -67,6 +67,11 @@ def resolve(fastqs: list[str], structures: list[ReadStructure], barcode_in_heade
             if len(structures) != len(groups):
                 raise ValueError(f"{len(groups)} groups of FASTQs and {len(structures)} read structures were given")
             groups = [Group(g.files, s) for g, s in zip(groups, structures, strict=True)]
+    return checked(groups)
+
+
+def checked(groups: list[Group]) -> list[Group]:
+    """Groups of as many files each, whose first reads have one name; variable barcodes get the length that the first read leaves them."""
     if len({len(g.files) for g in groups}) != 1:
         raise ValueError("All groups of FASTQs must have the same number of files")
     firsts = {p: first_record(p) for g in groups for p in g.files}
