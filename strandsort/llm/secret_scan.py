@@ -28,18 +28,21 @@ from dataclasses import dataclass
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandsort.llm.common import behind_barrier, cut, pick, table
 from strandsort.llm.pii import digits, luhn
 
 CREDENTIAL = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
-#: A name and the sign behind it; then what it is assigned, quoted or up to a blank.
-NAMED = rf"(?<![\w.-])[\w.-]*?(?i:{CREDENTIAL})[\w.-]*+[ \t]*+[=:][ \t]*+"
 VALUE = r"(?:\"[^\"\n]++\"|'[^'\n]++'|[^\s\"',;]++)"
+#: Where a word begins that has a sign behind it: looked at once a word, so that no word is scanned from each name in it.
+SIGNED = r"(?<![\w.-])(?=[\w.-]++[ \t]*+[=:]"
+#: A name and the sign behind it; then what it is assigned, quoted or up to a blank.
+NAME = rf"[\w.-]*?(?i:{CREDENTIAL})[\w.-]*+[ \t]*+[=:][ \t]*+"
+NAMED = rf"{SIGNED}[ \t]*+{VALUE}){NAME}"
 #: What any text with a named value has; far cheaper to look for.
-TRACE = rf"(?i){CREDENTIAL}[\w.-]*+[ \t]*+[=:]"
+TRACE = rf"{SIGNED})[\w.-]*?(?i:{CREDENTIAL})"
 #: A run; possessive, and only from where a run begins, so that none is scanned twice. Most words are too short at once.
 RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{12})(?:(?=[A-Za-z+/_=-]*+[0-9])|(?=[A-Za-z0-9+/_=-]*?[a-z][A-Z])|(?=[A-Za-z0-9+/_=-]{20}))[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{11,}+"
 CANDIDATE = f"{NAMED}{VALUE}|{RUN}"
@@ -66,34 +69,37 @@ def surroundings(before: Column, after: Column, settings: Settings) -> dict[str,
     return {
         "words_before": F.slice(F.reverse(words(before)), 1, settings.neighbours),
         "words_after": F.slice(words(after), 1, settings.neighbours),
-        "assigned": before.rlike(r"[=:]\s*[\"']?$"),
-        "quoted": before.rlike("[\"']$"),
-        "credential": before.rlike(rf"(?i:{CREDENTIAL})[\w.-]*\s*[=:]?\s*[\"']?$"),
+        "assigned": before.rlike(r"[=:]\s*+[\"']?+$"),
+        "quoted": F.right(before, F.lit(1)).isin('"', "'"),
+        # the word at the end, whole, has a name in it
+        "credential": F.regexp_extract(before, r"(?<![\w.-])([\w.-]++)\s*+[=:]?+\s*+[\"']?+$", 1).rlike(f"(?i){CREDENTIAL}"),
     }
 
 
 def candidates(documents: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, start, end, candidate and its surroundings): places in code points."""
+    """(doc_id, start, end, candidate and its surroundings): places in code points.
+
+    The matches of a text and what lies between them are made once, a row a match from then on; what follows looks at a
+    match and its two neighbouring pieces only. Places are running sums of lengths over a text's matches.
+    """
     c = F.col
     # names are looked for only in texts that have some; the traces are columns behind a barrier, as each is used twice
     sign = F.contains("text", F.lit("=")) | F.contains("text", F.lit(":"))
     df = behind_barrier(documents.select("doc_id", "text", F.when(sign, c("text").rlike(TRACE)).otherwise(False).alias("has_name"), c("text").rlike(RUN).alias("has_run")), ["doc_id", "text"]).filter("has_name OR has_run")
     by = lambda f: F.when(c("has_name"), f(CANDIDATE)).otherwise(f(RUN))
     hits, gaps = by(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))), by(lambda p: F.split("text", p, -1))
+    df = behind_barrier(df.select("doc_id", F.monotonically_increasing_id().alias("row"), hits.alias("hits"), gaps.alias("gaps")), ["doc_id", "row"])
+    pieces = F.transform("hits", lambda h, i: F.struct(h.alias("h"), F.get("gaps", i).alias("before"), F.get("gaps", i + 1).alias("after")))
+    df = df.select("doc_id", "row", F.posexplode(pieces).alias("i", "p")).select("doc_id", "row", "i", "p.*")
     # of a named hit, what stands before the value, and the value without its quotes
-    lead = lambda h: F.regexp_extract(h, f"^({NAMED}[\"']?)", 1)
-    value = lambda h, n: F.when(n > 0, F.regexp_replace(F.substring(h, n + 1, F.length(h)), r"^(.*[^\"'])[\"']$", "$1")).otherwise(h)
-    placed = F.transform(hits, lambda h: F.struct(h.alias("h"), F.length(lead(h)).alias("lead")))
-    placed = F.transform(placed, lambda p, i: F.struct(F.length(p["h"]).alias("size"), p["lead"].alias("lead"), value(p["h"], p["lead"]).alias("candidate"), F.substring(p["h"], 1, p["lead"]).alias("told"), F.length(F.get(gaps, i)).alias("gap")))
-    df = df.select("doc_id", gaps.alias("gaps"), placed.alias("hits"))
-    one = lambda p, i: F.struct(
-        p["size"].alias("size"), p["lead"].alias("lead"), p["gap"].alias("gap"), p["candidate"].alias("candidate"),
-        *[x.alias(k) for k, x in surroundings(F.concat(F.get("gaps", i), p["told"]), F.get("gaps", i + 1), settings).items()],
-    )
-    df = df.select("doc_id", F.transform("hits", one).alias("hits"))
-    ends = F.aggregate("hits", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + p["gap"] + p["size"])))
-    df = df.select("doc_id", F.posexplode("hits").alias("i", "f"), ends.alias("ends")).withColumn("start", F.element_at("ends", c("i") + 1) + c("f.gap") + c("f.lead"))
-    found = df.select("doc_id", "start", (c("start") + F.length("f.candidate")).alias("end"), "f.candidate", "f.words_before", "f.words_after", "f.assigned", "f.quoted", "f.credential")
+    lead = F.length(F.regexp_extract("h", f"^{SIGNED})({NAME}[\"']?)", 1))
+    df = behind_barrier(df.withColumn("lead", lead), ["doc_id", "row", "i", "h", "before", "after"])
+    value = F.when(c("lead") > 0, F.regexp_replace(F.substring("h", c("lead") + 1, F.length("h")), r"^(.*[^\"'])[\"']$", "$1")).otherwise(c("h"))
+    beside = surroundings(F.concat("before", F.substring("h", F.lit(1), c("lead"))), c("after"), settings)
+    one = df.select("doc_id", "row", "i", "lead", (F.length("before") + F.length("h")).alias("step"), F.length("h").alias("size"), value.alias("candidate"), *[x.alias(k) for k, x in beside.items()])
+    so_far = F.sum("step").over(Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))  # a row a match, without its text
+    placed = one.withColumn("start", (so_far - c("size") + c("lead")).cast("int"))
+    found = placed.select("doc_id", "start", (c("start") + F.length("candidate")).alias("end"), "candidate", "words_before", "words_after", "assigned", "quoted", "credential")
     return found.filter("candidate <> ''")
 
 
@@ -112,21 +118,29 @@ def transitions(counts: DataFrame) -> DataFrame:
     return both.join(first, F.substring(F.col("pair"), 1, 1) == F.col("a")).select("pair", F.log((F.col("n") + 1) / (F.col("m") + 27)).alias("log_p"))
 
 
+def pairs_of(text: Column) -> Column:
+    """All two neighbouring characters, from one split: a substring would be looked for from the text's begin each time."""
+    each, n = F.split(text, ""), F.length(text) - 1
+    return F.zip_with(F.slice(each, F.lit(1), n), F.slice(each, F.lit(2), n), lambda a, b: F.concat(a, b))
+
+
 def features(found: DataFrame, counts: DataFrame, settings: Settings) -> DataFrame:
     """found (with _key) and the features; what needs the corpus is computed for each distinct candidate or word."""
     c = F.col
     dictionary = counts.filter(c("n") >= settings.min_word_count).select("word")
     share = lambda pattern: F.length(F.regexp_replace("candidate", pattern, "")) / F.length("candidate")
-    distinct = cut(found.select("candidate").distinct())
+    # pairs and parts carry a number, as a candidate of any length would otherwise be copied for each of its characters
+    distinct = cut(found.select("candidate").distinct().withColumn("_c", F.monotonically_increasing_id()))
     low = F.lower("candidate")
-    pair_of = distinct.filter("length(candidate) > 1").select("candidate", F.explode(F.transform(F.sequence(F.lit(1), F.length("candidate") - 1), lambda i: F.substring(low, i, F.lit(2)))).alias("pair"))
+    pair_of = distinct.filter("length(candidate) > 1").select("_c", F.explode(pairs_of(low)).alias("pair")).groupBy("_c", "pair").agg(F.count(F.lit(1)).alias("times"))
     # at most 26 * 26 pairs of letters
-    flow = pair_of.join(F.broadcast(transitions(counts)), "pair", "left").groupBy("candidate").agg(F.avg(F.coalesce("log_p", F.lit(-8.0))).alias("transition"))
-    parts = distinct.select("candidate", F.explode(F.split(low, "[^a-z]+")).alias("word")).filter(F.length("word") > 2)
-    cover = parts.join(dictionary, "word", "left_semi").groupBy("candidate").agg(F.sum(F.length("word")).alias("_covered"))
+    flow = pair_of.join(F.broadcast(transitions(counts)), "pair", "left").groupBy("_c").agg((F.sum(c("times") * F.coalesce("log_p", F.lit(-8.0))) / F.sum("times")).alias("transition"))
+    parts = distinct.select("_c", F.explode(F.split(low, "[^a-z]+")).alias("word")).filter(F.length("word") > 2)
+    cover = parts.join(dictionary, "word", "left_semi").groupBy("_c").agg(F.sum(F.length("word")).alias("_covered"))
+    told = distinct.join(flow, "_c", "left").join(cover, "_c", "left").drop("_c")
     beside = found.select("_key", F.lit("b").alias("side"), F.explode("words_before").alias("word")).union(found.select("_key", F.lit("a").alias("side"), F.explode("words_after").alias("word")))
     known = beside.join(dictionary, "word", "left_semi").groupBy("_key").agg(F.count_if(c("side") == "b").alias("_b"), F.count_if(c("side") == "a").alias("_a"))
-    df = found.join(flow, "candidate", "left").join(cover, "candidate", "left").join(known, "_key", "left")
+    df = found.join(told, "candidate", "left").join(known, "_key", "left")
     return df.withColumns(
         {
             "length": F.least(F.length("candidate"), F.lit(512)).cast("double"),
@@ -152,7 +166,7 @@ def named(assigned: Column, credential: Column) -> Column:
 
 def weak_label() -> Column:
     """1, 0 or null, from the context and from what a value is known to be."""
-    number = digits(F.col("candidate"))
+    number = digits(F.substring("candidate", 1, 19))  # no card has more, and the sum looks at the length for each figure
     card = F.col("candidate").rlike("^[0-9]{13,19}$") & luhn(number)
     told = named(F.col("assigned"), F.col("credential"))
     return F.when(told & ~card, 1.0).when(card | ((F.col("assigned") == 0) & (F.col("quoted") == 0)), 0.0)
