@@ -5,7 +5,9 @@ fragment). FP-growth finds token sets that are frequent among pages labelled bad
 pages, its confidence (share of bad pages among those that have it) is ``min_lift`` times the share of bad pages in all,
 that is more than chance would give (a one-sided binomial test at ``alpha``, shared out among all sets tried), and no
 subset of it is a rule of the same confidence or more. So thresholds follow the labels' base rate and number, and labels
-that have nothing to do with URLs give no rule. Each rule is filed under its rarest token; a page looks up its tokens and
+that have nothing to do with URLs give no rule. Tokens that stand on exactly the same labelled pages say the same: they
+are one token to the mining, whose sets and number of tests would otherwise double with each of them, and each of them
+matches its rules. Tokens on all labelled pages say nothing and take no part. Each rule is filed under its rarest token; a page looks up its tokens and
 checks the sets found there, so that common tokens lead to few look-ups.
 
 A host implies its own endings, so that sets of several of them say nothing new. FP-growth is therefore given each bad page
@@ -26,7 +28,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandsort.llm.common import cut, pick, table
@@ -133,18 +135,48 @@ def frequent_sets(labelled: DataFrame, bad_pages: int, mining: Mining) -> DataFr
     return cut(found.withColumn("rule_id", F.xxhash64(F.array_join("items", "\n"))))
 
 
-def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
-    """(rule_id, items, key, support, confidence) from rows (ends, others, tokens, bad)."""
+def merged_tokens(labelled: DataFrame, total: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (ends, others, tokens, bad) with one token for all that stand on the same pages, without those on every page; and (token, one).
+
+    Pages are told by an order-free digest of 128 bits. Tokens that are too rare among bad pages for any set are left as they are.
+    """
+    c = F.col
+    rows = cut(labelled.withColumn("_p", F.monotonically_increasing_id()))
+    each = rows.select("_p", "bad", F.explode("others").alias("token"))
+    where = [F.bit_xor(F.xxhash64(F.lit(k), "_p")).alias(f"_x{k}") for k in range(2)]
+    told = each.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.count_if("bad").alias("_bad"), *where).filter(c("_bad") >= least)
+    known = cut(told.select("token", "_n", F.min("token").over(Window.partitionBy("_n", "_x0", "_x1")).alias("one")))
+    same = known.filter("token <> one").select("token", "one")
+    fewer = each.join(known, "token", "left").filter(F.coalesce(c("_n") < total, F.lit(True)))
+    kept = fewer.groupBy("_p").agg(F.collect_set(F.coalesce("one", "token")).alias("_others"))  # a page's own tokens
+    out = rows.join(kept, "_p", "left").withColumn("others", F.coalesce("_others", F.array().cast("array<string>")))
+    return cut(out.select("ends", "others", F.concat("ends", "others").alias("tokens"), "bad")), same
+
+
+def with_merged(sets: DataFrame, same: DataFrame, mining: Mining) -> DataFrame:
+    """Rows (id, tokens) with the tokens that stand for some of theirs beside them."""
+    n = same.count()
+    if not n:
+        return sets
+    stand = sets.select("id", F.explode("tokens").alias("token")).join(F.broadcast(same) if n <= mining.broadcast_rules else same, "token")
+    more = stand.groupBy("id").agg(F.collect_set("one").alias("_more"))
+    return sets.join(more, "id", "left").withColumn("tokens", F.when(F.col("_more").isNull(), F.col("tokens")).otherwise(F.array_union("tokens", "_more"))).drop("_more")
+
+
+def mine(labelled: DataFrame, mining: Mining) -> tuple[DataFrame, DataFrame]:
+    """(rule_id, items, key, support, confidence) from rows (ends, others, tokens, bad); and (token, one), the token of the rules that stands for a token."""
     c = F.col
     spark = labelled.sparkSession
+    no_tokens = spark.createDataFrame([], "token string, one string")
     none = spark.createDataFrame([], "rule_id long, items array<string>, key string, support long, confidence double")
     total, bad_pages = labelled.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     if not bad_pages or bad_pages == total:
-        return none
+        return none, no_tokens
+    labelled, same = merged_tokens(labelled, total, max(mining.min_bad, mining.min_support * bad_pages))
     often = frequent_sets(labelled, bad_pages, mining)
     tried = often.count()
     if not tried:
-        return none
+        return none, no_tokens
     counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = often.select("rule_id", F.explode("items").alias("token")).join(counts, "token").groupBy("rule_id").agg(F.min(F.struct("n", "token")).alias("m"))
     keyed = often.join(rarest.select("rule_id", c("m.token").alias("key")), "rule_id")
@@ -157,7 +189,7 @@ def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
     small = good.select(c("rule_id").alias("other"), c("items").alias("part"), c("confidence").alias("sure"), c("key").alias("token"))
     covered = good.select("rule_id", "items", "confidence", F.explode("items").alias("token")).join(small, "token")
     covered = covered.filter((F.size("part") < F.size("items")) & (c("sure") >= c("confidence")) & (F.size(F.array_except("part", "items")) == 0))
-    return good.join(covered.select("rule_id").distinct(), "rule_id", "left_anti").select("rule_id", "items", "key", "support", "confidence")
+    return good.join(covered.select("rule_id").distinct(), "rule_id", "left_anti").select("rule_id", "items", "key", "support", "confidence"), same
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple[HostRule, ...] = HOST_RULES, mining: Mining = Mining()) -> DataFrame:
@@ -165,8 +197,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[HostRule, ...] = HOS
     docs = with_parts(pick(pages, page_id="page_id", url="url")).select("page_id", "host", "path", endings().alias("ends"), other_tokens().alias("others"))
     docs = cut(docs.withColumns({"tokens": F.concat("ends", "others"), "id": F.monotonically_increasing_id()}))
     told = pick(labels, page_id="doc_id", quality="quality", toxic="toxic").groupBy("page_id").agg(F.max((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).alias("bad"))
-    mined = cut(mine(cut(docs.join(told, "page_id").select("ends", "others", "tokens", "bad")), mining))
-    hit = matches(docs.select("id", "tokens"), mined, mining).groupBy("id").agg(F.count(F.lit(1)).alias("n_rules"))
+    mined, same = mine(cut(docs.join(told, "page_id").select("ends", "others", "tokens", "bad")), mining)
+    mined, same = cut(mined), cut(same)
+    hit = matches(with_merged(docs.select("id", "tokens"), same, mining), mined, mining).groupBy("id").agg(F.count(F.lit(1)).alias("n_rules"))
     by, action = host_rule(rules)
     judged = docs.join(hit, "id", "left").withColumn("n_rules", F.coalesce("n_rules", F.lit(0)))
     verdict = F.coalesce(action, F.when(F.col("n_rules") > 0, "block").otherwise("allow"))

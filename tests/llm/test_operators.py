@@ -572,6 +572,18 @@ def test_pipeline_of_odd_tables(spark, corpus, empty, tmp_path):
         assert stage(spark, docs, str(tmp_path / "none")).columns == columns
 
 
+@pytest.mark.parametrize("k", [4, 13, 30])
+def test_url_tokens_that_say_the_same(spark, k):
+    """Six bad pages that share k query keys: one rule, whatever k is, and any of the keys matches it."""
+    keys = "&".join(f"k{chr(97 + i % 26)}{'x' * (i // 26)}=1" for i in range(k))
+    urls = [f"http://h{i}.site{i}.com/p{i}?{keys}" for i in range(6)] + [f"http://h{i}.site{i}.com/p{i}/q" for i in range(60)] + ["http://new.com/?kb=7&other=1", "http://new.com/?other=1", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    told = spark.createDataFrame([(i, int(i >= 6), 0) for i in range(66)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in url_rules.judge(pages, told, rules=()).collect()}
+    assert [i for i in range(69) if got[i].verdict == "block"] == [0, 1, 2, 3, 4, 5, 66]
+    assert {got[i].n_rules for i in (0, 5, 66)} == {1}
+
+
 def test_quality_sample_is_drawn_by_all_tasks(spark):
     text = spark.range(0, 10_000, 1, 20).select(F.repeat(F.lit("word "), 60).alias("text"))
     sample = quality_rules.drawn(text, 0.05, 7)
