@@ -11,13 +11,15 @@ No piece has a blank behind another character, and unknown characters (which bec
 the state is the start state before each blank that follows another character, whatever was read before. What is read
 from the start state up to such a place is a macro transition: it is kept, with the state behind it, up to a bound.
 
-The state map of a chunk of text leads from a state before it to the state behind it and the tokens between; states are
+The state map of a chunk of text leads from states before it to the states behind it and the tokens between; states are
 written out, so that maps made in different tasks fit together. Every text is cut into chunks, most into one. Chunks of
-longer texts are rows of their own and dealt to all tasks. Each is mapped from the state to which the last ``lead``
-characters before it lead from the start state. That is the true state wherever these characters have a blank or the
-state forgets what was before, as it nearly always does. The scan composes neighbours: a chunk's map holds if it begins
-in the state in which the one before it ends. Chunks for which that is not so are mapped again from there, all at once,
-until all maps of a text fit together. Then its count is their sum.
+longer texts are rows of their own and dealt to all tasks. Each is mapped from every state to which the last ``lead``
+characters before it lead from the start state, wherever among the first of them one starts, as many places as the longest
+piece has characters. That is one state where these characters have a blank or the state forgets what was before, as
+it nearly always does; in a long run of one character or a short pattern it is one for each phase. A map that ends in a
+state from which the next chunk is not mapped yet makes it be mapped from there, all of them at once, until none is
+missing. Then the scan composes neighbours pairwise: each round joins every second map with the next one and halves their
+number, so that a text of n chunks takes log2(n) rounds.
 
 Edge cases: a null text is empty and has no tokens. Repeated rows are counted each. An empty table gives an empty result.
 Texts are read whole, in chunks, with or without blanks. Strings of special tokens inside texts are ordinary text. Only ids and texts are read.
@@ -33,7 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandsort.llm.common import cut, pick, table
@@ -74,6 +76,7 @@ class Transducer:
                     self.token.append(None)
                 at = self.trie[at][c]
             self.token[at] = piece
+        self.longest = max(map(len, pieces), default=1)
         self.beside: dict[tuple[str, str], bool] = {}
         self.forget()
 
@@ -181,6 +184,13 @@ class Transducer:
             after_blank = stretch[-1] == BLANK
         return self.states[at], total
 
+    def states_behind(self, lead: str) -> list[State]:
+        """The states to which the end of a text leads from the start state, begun at any of its first places."""
+        begins = range(min(self.longest, len(lead)))
+        if any(lead[p] == BLANK and lead[p - 1] != BLANK for p in range(len(begins), len(lead))):
+            begins = range(1)  # all of them are in the start state there
+        return list(dict.fromkeys(self.chunk_map(START, lead[k:])[0] for k in begins))
+
     def numbered(self, state: State) -> int:
         """The number of a state that was written out, here or elsewhere."""
         if state not in self.number:
@@ -213,35 +223,54 @@ MAPPED = "row long, doc_id long, n_bytes long, i long, parts long, before string
 
 
 def mapped(pieces: DataFrame, model: str) -> DataFrame:
-    """The state maps of pieces (row, doc_id, n_bytes, i, parts, before, lead, chunk), from ``before`` or else from where the lead leads."""
+    """The state maps of pieces (row, doc_id, n_bytes, i, parts, before, lead, chunk): a row for each state before, which is given or else found from the lead."""
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
         for batch in batches:
-            out = []
-            for before, lead, chunk in zip(*[batch.column(c).to_pylist() for c in ("before", "lead", "chunk")], strict=True):
-                state = unwritten(before) if before else transducer.chunk_map(START, lead.replace(" ", BLANK))[0] if lead else START
-                behind, n = transducer.chunk_map(state, chunk.replace(" ", BLANK))
-                out.append((state, behind, n))
-            whole = np.asarray(batch.column("parts")) == 1
+            at, out = [], []
+            for k, (before, lead, chunk) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("before", "lead", "chunk")], strict=True)):
+                states = [unwritten(before)] if before else transducer.states_behind(lead.replace(" ", BLANK)) if lead else [START]
+                for state in states:
+                    at.append(k)
+                    out.append((state, *transducer.chunk_map(state, chunk.replace(" ", BLANK))))
+            whole = np.asarray(batch.column("parts"))[at] == 1
             states = [pa.array([None if one else written(r[k]) for one, r in zip(whole, out, strict=True)], pa.string()) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "n_bytes", "i", "parts")], *states, pa.array([r[2] for r in out], pa.int64())], names=[x.split()[0] for x in MAPPED.split(", ")])
+            kept = batch.select(["row", "doc_id", "n_bytes", "i", "parts"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *states, pa.array([r[2] for r in out], pa.int64())], names=[x.split()[0] for x in MAPPED.split(", ")])
 
     return pieces.mapInArrow(maps, MAPPED)
 
 
-def composed(pieces: DataFrame, model: str) -> DataFrame:
-    """mapped() of the pieces of long texts, each from the state in which the one before it ends."""
+def closed(pieces: DataFrame, model: str) -> tuple[DataFrame, int]:
+    """mapped() of the pieces of long texts, from all states in which a map of the piece before ends; and in how many rounds."""
     c = F.col
-    maps = cut(mapped(pieces, model))
-    before = Window.partitionBy("row").orderBy("i")  # a row a chunk, without its text
+    fresh = maps = cut(mapped(pieces, model))
+    rounds = 1
     while True:
-        chained = maps.withColumn("_true", F.lag("behind").over(before))
-        wrong = cut(chained.filter("i > 0 AND before <> _true").select(c("row").alias("_row"), c("i").alias("_i"), "_true"))
-        if wrong.isEmpty():
-            return maps
-        again = pieces.join(F.broadcast(wrong) if wrong.count() <= 100_000 else wrong, (c("row") == c("_row")) & (c("i") == c("_i"))).withColumn("before", c("_true")).drop("_row", "_i", "_true")
-        maps = cut(maps.join(wrong, (c("row") == c("_row")) & (c("i") == c("_i")), "left_anti").union(mapped(again, model)))
+        ends = fresh.filter("i + 1 < parts").select(c("row").alias("_row"), (c("i") + 1).alias("_i"), c("behind").alias("_before")).distinct()
+        missing = cut(ends.join(maps, (c("row") == c("_row")) & (c("i") == c("_i")) & (c("before") == c("_before")), "left_anti"))
+        n = missing.count()
+        if not n:
+            return maps, rounds
+        again = pieces.drop("before").join(F.broadcast(missing) if n <= 100_000 else missing, (c("row") == c("_row")) & (c("i") == c("_i"))).withColumnRenamed("_before", "before").drop("_row", "_i")
+        fresh = cut(mapped(again, model))
+        maps, rounds = cut(maps.union(fresh)), rounds + 1
+
+
+def composed(maps: DataFrame) -> tuple[DataFrame, int]:
+    """(row, doc_id, n_bytes, n) of each text from its chunks' maps, in so many rounds of joins of neighbours."""
+    c = F.col
+    most = maps.agg(F.max("parts")).first()[0] or 1
+    now, rounds = maps.select("row", "doc_id", "n_bytes", "i", "before", "behind", "n"), 0
+    while most > 1:
+        right = now.filter("i % 2 = 1").select("row", (c("i") - 1).alias("i"), c("before").alias("behind"), c("behind").alias("_behind"), c("n").alias("_n"))
+        both = now.filter("i % 2 = 0").join(right, ["row", "i", "behind"], "left")  # the last one may have no neighbour
+        now = both.select("row", "doc_id", "n_bytes", (c("i") / 2).cast("long").alias("i"), "before", F.coalesce("_behind", "behind").alias("behind"), (c("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+        most, rounds = -(-most // 2), rounds + 1
+        if rounds % 4 == 0:
+            now = cut(now)
+    return now.filter(c("before") == written(START)).select("row", "doc_id", "n_bytes", "n"), rounds
 
 
 def token_counts(documents: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, chunk: int = 1 << 16, lead: int = 256) -> DataFrame:
@@ -260,8 +289,8 @@ def token_counts(documents: DataFrame, model: str, id_col: str = "doc_id", text_
     dealt = dealt.select("row", "doc_id", "n_bytes", c("i").cast("long").alias("i"), "parts", one[0], F.get("leads", c("i")).alias("lead"), "chunk")
     pieces = cut(dealt.repartition("row", "i"))
     if not pieces.isEmpty():
-        summed = composed(pieces, model).groupBy("row", "doc_id", "n_bytes").agg(F.sum("n").alias("n_tokens"))
-        counts = counts.union(summed.select("doc_id", "n_bytes", "n_tokens"))
+        whole, _ = composed(closed(pieces, model)[0])
+        counts = counts.union(whole.select("doc_id", "n_bytes", c("n").alias("n_tokens")))
     return counts.withColumn("over_limit", c("n_tokens") > limit)
 
 
