@@ -15,7 +15,7 @@ from strandsort.read_structure import output_kinds
 from strandsort.samples import Sample
 from strandsort.sources import commit, files, sink
 from strandsort.sources.discovery import Group, resolve
-from strandsort.sources.fastq import read_templates
+from strandsort.sources.fastq import indexes, read_templates
 
 
 @dataclass
@@ -63,11 +63,17 @@ def reports(spark: SparkSession, p: Prepared, assigned: DataFrame) -> dict[str,
 
 def stage(spark: SparkSession, p: Prepared, job: commit.Job, records_per_task: int, layout: str) -> tuple[dict[str, int], list[str], DataFrame]:
     """Write the outputs for a job to publish: records by file name, the names of all files, and the state from which reports are made."""
-    told = p.plan.with_drop_reason(p.plan.checked(read_templates(spark, [g.files for g in p.groups], records_per_task)))
+    groups, r = [g.files for g in p.groups], p.plan.rules
+    marks = indexes(spark, groups, records_per_task)
+    told = p.plan.with_drop_reason(p.plan.checked(read_templates(spark, groups, records_per_task, marks=marks)))
+    # what is filtered does not leave the source; the state's pass checks and counts all templates
+    asked = {"failed": r.filter_failing_quality, "control": r.filter_control_reads}
+    passing = read_templates(spark, groups, records_per_task, tuple(k for k, v in asked.items() if v), marks)
+    state = p.plan.counts(told, "drop_reason")
     names = sink.output_names(p.samples, p.plan.structures, p.plan.output_kinds)
-    kept = p.plan.assign_all(told.filter("drop_reason IS NULL"))
+    kept = p.plan.assign(passing)
     counts, written = sink.stage_outputs(p.plan.output_records(kept, ["file_idx", "rec_idx"]), names, job, layout=layout)
-    return counts, written, p.plan.counts(told, "drop_reason")
+    return counts, written, state
 
 
 def write_reports(spark: SparkSession, p: Prepared, job: commit.Job, state: DataFrame) -> list[str]:

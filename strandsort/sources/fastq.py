@@ -5,17 +5,23 @@ template, in order. Planning needs the files' line counts: ``index`` counts them
 of which begins at its first compressed block. Files are cut at record boundaries into ranges of about ``records``
 records, and each task reads the same range of all groups, so that the reads of a template meet without a shuffle. Lines
 become Arrow columns a few thousand records at a time. Files of unequal length are an error.
+
+Option ``without`` (``failed``, ``control`` or both, a JSON list) drops templates, one of whose reads did not pass the
+instrument's filter or is a control, before they become rows. It looks at whole headers only: one that lacks a part is
+kept. It is an option and no pushed filter, as Spark 4.1 keeps what is pushed into a Python source with the loaded table,
+where it then holds for every other plan that is made from the same DataFrame.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandsort.sources import bgzf, files
@@ -137,8 +143,13 @@ class FastqReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.groups: list[list[str]] = json.loads(options["groups"])
         self.records = int(options.get("records", 1_000_000))
-        given = json.loads(options["index"]) if "index" in options else {}
-        self.marks = {p: [tuple(m) for m in given[p]] if p in given else line_index(p, 4 * self.records) for g in self.groups for p in g}
+        given = json.loads(options.get("index", "{}"))
+        if lacking := sorted({p for g in self.groups for p in g} - set(given)):
+            raise ValueError(f"No line index of {', '.join(lacking)}: read_templates() makes them by a job, the planner would read whole files")
+        self.marks = {p: [tuple(m) for m in given[p]] for g in self.groups for p in g}
+        self.without = json.loads(options.get("without", "[]"))
+        if unknown := set(self.without) - {"failed", "control"}:
+            raise ValueError(f"Templates can be left out that are failed or control, not: {', '.join(sorted(unknown))}")
 
     def partitions(self) -> list[Range]:
         out = []
@@ -158,8 +169,26 @@ class FastqReader(DataSourceReader):
         for reads in zip(*[records_of(p, self.marks[p], partition.first, partition.count) for p in paths], strict=True):
             n = len(reads[0][0])
             numbers = [pa.array(np.full(n, partition.file, np.int32)), pa.array(np.arange(at, at + n))]
-            yield pa.RecordBatch.from_arrays([*numbers, *[c for r in reads for c in r]], names=names)
-            at += n
+            columns, at = [*numbers, *[c for r in reads for c in r]], at + n
+            batch = pa.RecordBatch.from_arrays(columns, names=names)
+            if self.without:
+                told = flags([r[0] for r in reads])
+                batch = batch.filter(pc.invert(reduce(pc.or_, [told[x] for x in self.without])))
+            yield batch
+
+
+#: The begin of a header with all parts of its name and comment.
+WHOLE = "^(?:[^ :]*:){6}[^ ]* [^ :]*:"
+
+
+def flags(heads: list[pa.Array]) -> dict[str, pa.Array]:
+    """failed and control of templates, from their reads' headers."""
+    out = {}
+    for head in heads:
+        is_like = lambda end, head=head: pc.match_substring_regex(head, WHOLE + end)
+        here = {"failed": is_like("Y:[^ :]*:"), "control": pc.and_not(is_like("[^ :]*:[^ :]*:"), is_like("[^ :]*:0:"))}
+        out = {k: pc.or_(out[k], v) if out else v for k, v in here.items()}
+    return out
 
 
 class FastqSource(DataSource):
@@ -177,10 +206,14 @@ class FastqSource(DataSource):
         return FastqReader(self.options)
 
 
-def read_templates(spark: SparkSession, groups: list[list[str]], records: int = 1_000_000):
-    """Templates of the groups' files, their line indexes built by Spark."""
+def indexes(spark: SparkSession, groups: list[list[str]], records: int = 1_000_000) -> dict[str, Marks]:
+    return index(spark, sorted({p for g in groups for p in g}), records)
+
+
+def read_templates(spark: SparkSession, groups: list[list[str]], records: int = 1_000_000, without: tuple[str, ...] = (), marks: dict[str, Marks] | None = None) -> DataFrame:
+    """Templates of the groups' files, but for those ``without``; their line indexes are built by Spark where they are not given."""
     if len({len(g) for g in groups}) != 1:
         raise ValueError("All groups must have the same number of files")
     spark.dataSource.register(FastqSource)
-    marks = index(spark, sorted({p for g in groups for p in g}), records)
-    return spark.read.format("fastq").options(groups=json.dumps(groups), records=records, index=json.dumps(marks)).load()
+    marks = indexes(spark, groups, records) if marks is None else marks
+    return spark.read.format("fastq").options(groups=json.dumps(groups), records=records, index=json.dumps(marks), without=json.dumps(without)).load()
