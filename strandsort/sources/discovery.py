@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from strandsort.read_structure import KIND_OF_LETTER, KIND_ORDER, ReadStructure
@@ -74,7 +75,9 @@ def checked(groups: list[Group]) -> list[Group]:
     """Groups of as many files each, whose first reads have one name; variable barcodes get the length that the first read leaves them."""
     if len({len(g.files) for g in groups}) != 1:
         raise ValueError("All groups of FASTQs must have the same number of files")
-    firsts = {p: first_record(p) for g in groups for p in g.files}
+    paths = [p for g in groups for p in g.files]
+    with ThreadPoolExecutor(16) as pool:  # a block of each file, waiting for the store most of the time
+        firsts = dict(zip(paths, pool.map(first_record, paths), strict=True))
     if len({head.split(":")[0] for head, _, _ in firsts.values()}) > 1:
         raise ValueError("First reads' names differ between FASTQs")
     return [Group(g.files, g.structure.with_fixed_barcodes(len(firsts[g.files[0]][1]))) for g in groups]
