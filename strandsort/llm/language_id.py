@@ -10,7 +10,7 @@ parameters and the number of labels.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0. Rows without a label are no examples. With no
 labelled rows at all every text is ``und``. Repeated rows are predicted alike; an empty table gives an empty result. Only
-id, text and label are read, the label for the fit alone.
+id, text and label are read, the label for the fit alone. A row without id is learned from and not held out.
 """
 
 from __future__ import annotations
@@ -95,6 +95,14 @@ def gram_sets(texts: pa.Array) -> list[np.ndarray]:
     return [gram_set(points[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most 256 texts and about two megabytes of them; a longer text is a slice of its own."""
+    for k in range(0, batch.num_rows, 256):
+        some = batch.slice(k, 256)
+        for at, texts in W.pieces(some.column("text"), 2_000_000):
+            yield some.slice(at, len(texts))
+
+
 def fit(sets: list[np.ndarray], labels: list[str], settings: Settings) -> Model:
     languages, rng = sorted(set(labels)), np.random.default_rng(settings.seed)
     y = np.array([languages.index(x) for x in labels])
@@ -127,7 +135,8 @@ def fit(sets: list[np.ndarray], labels: list[str], settings: Settings) -> Model:
 
 
 def remainder(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4
+    """A null id counts as an empty text: such rows are learned from, and not held out."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
 def examples(documents: DataFrame, settings: Settings) -> tuple[list[np.ndarray], list[str]]:
@@ -142,9 +151,9 @@ def examples(documents: DataFrame, settings: Settings) -> tuple[list[np.ndarray]
     chosen = labelled.filter(draw < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = gram_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([s.astype(np.int32) for s in sets], pa.list_(pa.int32()))], names=["lang", "grams"])
+        for part in (p for batch in batches for p in parts(batch)):
+            sets = gram_sets(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([s.astype(np.int32) for s in sets], pa.list_(pa.int32()))], names=["lang", "grams"])
 
     rows = chosen.select("lang", "text").mapInArrow(grams, "lang string, grams array<int>").filter("size(grams) > 0").toArrow()
     order = sorted(range(rows.num_rows), key=lambda i, g=rows.column("grams").to_pylist(), y=rows.column("lang").to_pylist(): (y[i], g[i]))
@@ -159,8 +168,7 @@ def languages(documents: DataFrame, training: DataFrame, settings: Settings = Se
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in parts(batch):
                 if model is None:
                     best, top = ["und"] * part.num_rows, np.zeros(part.num_rows)
                 else:
