@@ -33,7 +33,7 @@ SHIFT = 1 << 20
 #: Up to so many samples have a column each for their distance, which keeps the code generated for a row small.
 INLINE = 64
 #: Up to so many distinct barcodes with a match are broadcast.
-BROADCAST_BARCODES = 500_000
+BROADCAST_BARCODES = 100_000
 
 #: A matcher: from distinct barcodes (bc) and the expected ones to (bc, sample_ordinal, hamming_dist), rows that match only.
 Matcher = Callable[[DataFrame, list[str]], DataFrame]
@@ -130,8 +130,7 @@ def by_distinct(reads: DataFrame, barcode: str, decide: Callable[[DataFrame], Da
     seen = checkpointed(reads.select(F.col(barcode).alias("bc")).distinct())
     found = decide(seen).filter("sample_ordinal IS NOT NULL").select(F.col("bc").alias("_bc"), F.col("sample_ordinal").cast("int").alias("sample_ordinal"), F.col("hamming_dist").cast("int").alias("hamming_dist"))
     found = checkpointed(found)
-    if found.count() <= BROADCAST_BARCODES:
-        found = F.broadcast(found)
+    found = F.broadcast(found) if found.count() <= BROADCAST_BARCODES else found.hint("merge")  # the optimiser's estimate is that of the file they come from
     return reads.join(found, F.col(barcode) == F.col("_bc"), "left").drop("_bc")
 
 

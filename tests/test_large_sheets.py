@@ -100,3 +100,33 @@ def test_a_sheet_of_ten_thousand_is_checked_in_seconds():
     began = time.perf_counter()
     S.check_barcode_pairs(listed, 1, 2)
     assert time.perf_counter() - began < 10
+
+
+def test_broadcasts_are_counted_not_estimated(spark, tmp_path, monkeypatch):
+    """The optimiser takes an index for as small as the file that its barcodes come from; beyond the bound nothing is broadcast. The results are the same."""
+    rng = random.Random(8)
+    expected = sheet_of(rng, 400, 15)
+    spark.createDataFrame([(b, i) for i, b in enumerate(expected)], "barcode string, sample_ordinal int").write.parquet(f"{tmp_path}/sheet")
+    sheet = spark.read.parquet(f"{tmp_path}/sheet")
+    seen = spark.createDataFrame([(b[:k] + "N" + b[k + 1 :],) for b in expected for k in (0, 7)] + [(b,) for b in expected], "bc string")
+    want = rows(with_match(seen, "bc", expected, MatcherKind.CACHED, 1, 2, 1))
+    monkeypatch.setattr(pigeonhole, "BROADCAST_ROWS", 0)
+    plan = pigeonhole.matches(seen.distinct(), sheet, MatcherKind.CACHED, 1, 2, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert rows(with_match(seen, "bc", sheet, MatcherKind.CACHED, 1, 2, 1)) == want
+
+
+@pytest.mark.parametrize(("length", "radius"), [(12, 3), (15, 4), (15, 0), (7, 6), (5, 5), (0, 1)])
+@pytest.mark.parametrize("n", [0, 1000, 10**6, 10**9])
+def test_barcodes_within_the_radius_share_a_key(length, radius, n):
+    rng, keys = random.Random(length), pigeonhole.blocks(length, radius, n)
+    assert len(keys) <= pigeonhole.MOST_KEYS
+    for _ in range(50):
+        wrong = set(rng.sample(range(1, length + 1), min(length, radius)))
+        assert any(not wrong & {b for at, size in key for b in range(at, at + size)} for key in keys)
+
+
+def test_keys_grow_with_the_sheet():
+    """Pairs by chance of 12 bases and three mismatches: blocks of three bases have 64 values whatever the sheet, and so pairs grow with its square."""
+    pairs = lambda n: sum(n * n / 4.0 ** sum(size for _, size in key) for key in pigeonhole.blocks(12, 3, n))
+    assert pairs(900_000) < 3000 * 900_000 and pairs(900_000) < 4 * 900_000**2 / 64 / 20
