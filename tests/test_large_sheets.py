@@ -130,3 +130,18 @@ def test_keys_grow_with_the_sheet():
     """Pairs by chance of 12 bases and three mismatches: blocks of three bases have 64 values whatever the sheet, and so pairs grow with its square."""
     pairs = lambda n: sum(n * n / 4.0 ** sum(size for _, size in key) for key in pigeonhole.blocks(12, 3, n))
     assert pairs(900_000) < 3000 * 900_000 and pairs(900_000) < 4 * 900_000**2 / 64 / 20
+
+
+def test_first_violation_with_copies_and_behind_the_first_samples(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(pigeonhole, "FIRST_SAMPLES", 2)
+    for bound in (0, 100_000):
+        monkeypatch.setattr(pigeonhole, "BROADCAST_ROWS", bound)
+        codes = ["".join(rng.choice("ACGT") for _ in range(24)) for _ in range(60)]
+        for far, near in ((52, None), (52, 41), (30, 41)):
+            codes[58] = codes[far]
+            if near:
+                codes[57] = codes[near][:-1] + ("A" if codes[near][-1] != "A" else "C")
+            sheet = spark.createDataFrame([(b, i) for i, b in enumerate(codes)], "barcode string, sample_ordinal int")
+            assert [tuple(r) for r in pigeonhole.first_violation(sheet, 1, 1).collect()] == [first_by_all_pairs(codes, 1, 1)]
+            codes[58] = "".join(rng.choice("ACGT") for _ in range(24))
