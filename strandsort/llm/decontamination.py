@@ -74,24 +74,37 @@ class Walks:
         """(repetitions, rows): one hash of the sampled steps of each row's embedding; seq has n columns, PAD behind the last word."""
         rows, reps = len(seq), len(self.steps)
         wide = np.concatenate([seq, np.full((rows, 1), PAD)], axis=1).ravel()
+        by_last = np.argsort(-self.steps[:, -1], kind="stable")  # walks that have made their last step are at the end, and are left
+        steps, turns = self.steps[by_last], self.turns[by_last]
         begin = np.arange(rows) * (self.n + 1)
-        at = np.zeros((reps, rows), np.int64)
-        out = np.repeat(np.arange(reps, dtype=np.uint64)[:, None], rows, axis=1)
+        at, end = np.repeat(begin[None, :], reps, axis=0), begin + self.n
+        out = np.repeat(by_last.astype(np.uint64)[:, None], rows, axis=1)
         sampled: dict[int, list[int]] = {}
-        for r, j in zip(*[x.ravel() for x in (np.repeat(np.arange(reps)[:, None], self.steps.shape[1], axis=1), self.steps)], strict=True):
-            sampled.setdefault(int(j), []).append(int(r))
-        for j in range(int(self.steps.max()) + 1):
-            word = wide[begin + at]
-            if j in sampled:
-                r = sampled[j]
+        for r, of in enumerate(steps.tolist()):
+            for j in of:
+                sampled.setdefault(j, []).append(r)
+        going = np.searchsorted(-steps[:, -1], -np.arange(int(steps.max()) + 1), "right").tolist()
+        for j, n in enumerate(going):
+            here = at[:n]
+            word = wide.take(here, mode="clip")
+            if r := sampled.get(j):
                 out[r] = W.mix(out[r] ^ word[r]) * np.uint64(0x9E3779B97F4A7C15)
-            at += ((word * self.turns[:, j : j + 1]) >> np.uint64(63)).astype(np.int64)
-            np.minimum(at, self.n, out=at)
-        return out
+            word *= turns[:n, j : j + 1]
+            word >>= np.uint64(63)
+            here += word.view(np.int64)
+            np.minimum(here, end, out=here)
+        keys = np.empty_like(out)
+        keys[by_last] = out
+        return keys
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Exact word edit distances of the rows of a (size words each, then PAD) and of b (all of its columns), a table row at a time."""
+def edit_distances(a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Exact word edit distances of the rows of a (size words each, then PAD) and of b (all of its columns), a table row at a time.
+
+    What is more than ``most`` may come out as any number above it.
+    """
+    if 0 < b.shape[1] <= 64 and len(a):
+        return bit_distances(a, b, size, b.shape[1] + a.shape[1] if most is None else most)
     kind = np.int16 if a.shape[1] + b.shape[1] < 30_000 else np.int64
     n, span = b.shape[1], np.arange(b.shape[1] + 1, dtype=kind)
     line = np.repeat(span[None, :], len(a), axis=0)
@@ -103,6 +116,37 @@ def edit_distances(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray
     return out
 
 
+def bit_distances(a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """edit_distances() for up to 64 columns of b: a table row is two words of bits, where it rises and where it falls (Myers, Hyyro).
+
+    A row that can't come down to ``most`` with the words left is given up.
+    """
+    one, n = np.uint64(1), b.shape[1]
+    last = np.uint64(n - 1)
+    out, left = np.where(size == 0, n, most + 1), np.flatnonzero(size > 0)
+    a, b, size = a[left], np.broadcast_to(b, (len(out), n))[left], size[left]
+    up, down, score = np.full(len(left), ~np.uint64(0)), np.zeros(len(left), np.uint64), np.full(len(left), n)
+    bits = np.zeros((len(left), 8), np.uint8)
+    for i in range(a.shape[1]):
+        packed = np.packbits(b == a[:, i : i + 1], axis=1, bitorder="little")
+        bits[:, : packed.shape[1]] = packed
+        equal = bits.view(np.uint64)[:, 0]
+        vertical = equal | down
+        across = (((equal & up) + up) ^ up) | equal
+        rise, fall = down | ~(across | up), up & across
+        score += ((rise >> last) & one).view(np.int64) - ((fall >> last) & one).view(np.int64)
+        rise, fall = (rise << one) | one, fall << one
+        up, down = fall | ~(vertical | rise), rise & vertical
+        done = size == i + 1
+        out[left[done]] = score[done]
+        able = ~done & (score - (size - i - 1) <= most)
+        if 4 * np.count_nonzero(able) < 3 * len(able):
+            left, a, b, size, up, down, score, bits = (x[able] for x in (left, a, b, size, up, down, score, bits))
+            if not len(left):
+                break
+    return out
+
+
 @dataclass
 class Items:
     """The items of one length n: ids, words, and their keys in all repetitions, sorted, with the items they are of."""
@@ -281,8 +325,8 @@ def matches(documents: DataFrame, compiled: list[Items], search: Search) -> Data
 
 def compare(seq: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, items: Items, search: Search, best: dict) -> None:
     """Put into best, for each document and item, the fewest edits and the bytes of the first such window."""
-    for lo in range(0, len(seq), 4096):
-        keys = items.walks.keys(seq[lo : lo + 4096])
+    for lo in range(0, len(seq), 2048):
+        keys = items.walks.keys(seq[lo : lo + 2048])
         a, z = np.searchsorted(items.keys, keys, "left"), np.searchsorted(items.keys, keys, "right")
         r, w = np.nonzero(z > a)
         times = (z - a)[r, w]
@@ -295,7 +339,7 @@ def compare(seq: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarra
         w, i = w[~exact], i[~exact]  # nothing is nearer than a copy
         for k in range(0, len(w), 4096):
             x, y = w[k : k + 4096], i[k : k + 4096]
-            edits = edit_distances(seq[x], items.seq[y], size[x])
+            edits = edit_distances(seq[x], items.seq[y], size[x], search.reach(items.n))
             near = edits <= search.reach(items.n)
             note(best, doc, start, end, items, x[near], y[near], edits[near])
 
@@ -324,7 +368,7 @@ def verify_rest(
         now[np.flatnonzero(rank < some)[:step]] = True
         some *= 4
         x, y, k = w[rest[now]], i[rest[now]], to[rest[now]]
-        got = edit_distances(seq[x], items.seq[y], size[x])
+        got = edit_distances(seq[x], items.seq[y], size[x], reach)
         near = got <= reach
         note(best, doc, start, end, items, x[near], y[near], got[near])
         for a, b, c in zip(k[near].tolist(), x[near].tolist(), y[near].tolist(), strict=True):

@@ -592,3 +592,43 @@ def test_quality_sample_is_drawn_by_all_tasks(spark):
     assert sample.rdd.getNumPartitions() == 1 and 300 < sample.count() < 700
     shuffled = sample.rdd.toDebugString().decode()
     assert "(20)" in shuffled  # the scan's tasks
+
+
+def plain_edits(a, b):
+    line = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, line[0] = line[0], i
+        for j, y in enumerate(b, 1):
+            before, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, before + (x != y))
+    return line[-1]
+
+
+@pytest.mark.parametrize("n", [1, 2, 15, 63, 64, 65])
+def test_edit_distances_by_bits_against_plain_python(n):
+    rng = np.random.default_rng(n)
+    b = rng.integers(0, 5, (300, n), np.uint64)
+    a = b.copy()
+    a[:, : n // 2] = np.roll(a, 1, axis=1)[:, : n // 2]
+    a[100:, rng.integers(0, n)] = 9
+    a[200:] = rng.integers(0, 5, (100, n))
+    size = rng.integers(0, n + 1, 300)
+    a[np.arange(n)[None, :] >= size[:, None]] = decontamination.PAD
+    want = np.array([plain_edits(x[:k].tolist(), y.tolist()) for x, y, k in zip(a, b, size, strict=True)])
+    assert (decontamination.edit_distances(a, b, size) == want).all()
+    for most in (0, n // 5, n):
+        got = decontamination.edit_distances(a, b, size, most)
+        assert (np.minimum(got, most + 1) == np.minimum(want, most + 1)).all()
+
+
+def test_rows_beyond_the_bound_are_given_up():
+    """Pairs of nothing in common are left after as many words as edits are allowed, not compared to their end."""
+    seen = []
+
+    class Told(np.ndarray):
+        def __getitem__(self, k):
+            if isinstance(k, tuple) and isinstance(k[1], slice):
+                seen.append(k[1].start)
+            return super().__getitem__(k)
+
+    a, b = np.full((10, 50), 1, np.uint64).view(Told), np.full((10, 50), 2, np.uint64)
+    assert (decontamination.edit_distances(a, b, np.full(10, 50), 10) > 10).all() and max(seen) <= 11
