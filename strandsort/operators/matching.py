@@ -15,7 +15,6 @@ Two rules decide, which differ near the thresholds: ``cached`` (best and runner-
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from strandsort.operators.numbering import checkpointed
 
 #: Distance and sample in one number: the least is the nearest, of equal ones the first.
 SHIFT = 1 << 20
-#: Up to so many samples have a column each for their distance, which keeps the code generated for a row small.
+#: Up to so many samples are compared with each row.
 INLINE = 64
 #: Up to so many distinct barcodes with a match are broadcast.
 BROADCAST_BARCODES = 100_000
@@ -50,12 +49,24 @@ def distance(words: list[Column], compared: Column, expected: str) -> Column:
 
 def nearest(df: DataFrame, expected: list[str], free: Column, rival: Callable[[Column, Column], Column]) -> DataFrame:
     """Add _best, the nearest expected barcode as distance and number in one, and _near, how many are rivals of it, itself included."""
-    c, words = F.col, [F.col(f"_w{i}") for i in range(-(-len(expected[0]) // WORD))]
-    ranks = [f"_d{i}" for i in range(len(expected))]
-    df = df.withColumns({r: ((distance(words, c("_len"), e) - free) * SHIFT + i).cast("long") for i, (r, e) in enumerate(zip(ranks, expected, strict=True))})
-    df = df.withColumn("_best", F.least(*ranks) if len(ranks) > 1 else c(ranks[0]))
-    near = [F.when(rival(c("_best"), c(r)), 1).otherwise(0) for r in ranks]
-    return df.withColumn("_near", reduce(lambda x, y: x + y, near)).drop(*ranks)
+    c, hots = F.col, list(zip(*[hot(e) for e in expected], strict=True))
+    first, *rest = [F.array(*[F.lit(h) for h in word]) for word in hots]
+
+    def ranks(read: Column) -> Column:
+        def rank(e: Column, i: Column) -> Column:
+            same = F.bit_count(read["w0"].bitwiseAND(e))
+            for k, word in enumerate(rest, 1):
+                same = same + F.bit_count(read[f"w{k}"].bitwiseAND(F.get(word, i)))
+            return (read["most"] - same).cast("long") * SHIFT + i
+
+        return F.transform(first, rank)
+
+    # arrays, as a column for each sample makes the code generated for a row too long to be compiled, and then it is
+    # interpreted; an array of the read's one struct, as the optimiser would put the struct's making in place of each use
+    read = F.struct(*[c(f"_w{k}").alias(f"w{k}") for k in range(len(hots))], (c("_len") - free).alias("most"))
+    df = df.withColumn("_ranks", F.get(F.transform(F.array(read), ranks), F.lit(0)))
+    df = df.withColumn("_best", F.array_min("_ranks"))
+    return df.withColumn("_near", F.size(F.filter("_ranks", lambda r: rival(c("_best"), r)))).drop("_ranks")
 
 
 def decided(reads: DataFrame, barcode: str, expected: list[str], kind: MatcherKind, max_mismatches: int, min_delta: int, free_ns: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 
 from strandsort import samples as S
 from strandsort.operators import pigeonhole
-from strandsort.operators.matching import MatcherKind, decided_in_batches, with_match
+from strandsort.operators.matching import MatcherKind, decided, decided_in_batches, with_match
 
 
 def sheet_of(rng, n, length):
@@ -145,3 +145,13 @@ def test_first_violation_with_copies_and_behind_the_first_samples(spark, monkeyp
             sheet = spark.createDataFrame([(b, i) for i, b in enumerate(codes)], "barcode string, sample_ordinal int")
             assert [tuple(r) for r in pigeonhole.first_violation(sheet, 1, 1).collect()] == [first_by_all_pairs(codes, 1, 1)]
             codes[58] = "".join(rng.choice("ACGT") for _ in range(24))
+
+
+def test_the_barcode_is_put_as_bits_once_a_row(spark):
+    """And no column for each sample: the code generated for a row was too long to be compiled."""
+    rng = random.Random(10)
+    expected = ["".join(rng.choice("ACGT") for _ in range(20)) for _ in range(60)]
+    df = decided(spark.createDataFrame([(b,) for b in expected] + [(None,), ("",)], "bc string"), "bc", expected, MatcherKind.CACHED, 1, 2, 1)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2 and plan.count("bit_count") == 2  # two words of bits
+    assert rows(df) == sorted(map(str, [*[(b, i, 0) for i, b in enumerate(expected)], (None, None, None), ("", None, None)]))
